@@ -6,8 +6,6 @@ limbs are added as decimals (so a sum is a plain, mergeable aggregate) and carri
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from recohort.contracts import INTEGER_PATTERN, TOKEN_PLACES, USD_PLACES
@@ -80,65 +78,94 @@ def compare_text(left: Column, right: Column) -> Column:
     return F.when(longer != 0, F.signum(longer)).when(a < b, -1).when(a > b, 1).otherwise(0).cast("int")
 
 
-_LIMB = 9
+_LIMB = 15
 _LIMB_BASE = 10 ** _LIMB
+_ZERO_TYPE = "decimal(38,0)"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _limbs(raw: Column) -> Column:
-    """Little-endian array of nine-digit limbs."""
+    """Little-endian array of fixed-width limbs."""
     count = F.ceil(F.length(raw) / F.lit(_LIMB)).cast("int")
     padded = F.lpad(raw, count * _LIMB, F.lit("0"))
-    return F.transform(F.sequence(F.lit(1), count),
-                       lambda i: F.substr(padded, (count - i) * _LIMB + 1, F.lit(_LIMB)).cast("decimal(38,0)"))
+    return F.transform(F.sequence(count - 1, F.lit(0), F.lit(-1)),
+                       lambda i: F.substr(padded, i * _LIMB + 1, F.lit(_LIMB)).cast(_ZERO_TYPE))
 
 
 def _carried(values: Column) -> Column:
     """Integer text from little-endian limbs that may be negative or above the base."""
-    base = F.lit(_LIMB_BASE).cast("decimal(10,0)")
-    zero = F.struct(F.lit(0).cast("decimal(38,0)").alias("carry"), F.lit("").alias("text"))
+    base = F.lit(_LIMB_BASE).cast("decimal(16,0)")
+    start = F.struct(F.lit(0).cast(_ZERO_TYPE).alias("carry"), F.lit("").alias("text"))
 
     def step(state, value):
-        total = (value + state["carry"]).cast("decimal(38,0)")
-        digit = F.pmod(total, base).cast("decimal(38,0)")
-        carry = F.call_function("div", (total - digit).cast("decimal(38,0)"), base).cast("decimal(38,0)")
-        return F.struct(carry.alias("carry"),
-                        F.concat(F.lpad(digit.cast("string"), _LIMB, "0"), state["text"]).alias("text"))
-
-    return strip_zeros(F.aggregate(values, zero, step,
+        def split(total):
+            digit = F.pmod(total, base).cast(_ZERO_TYPE)
+            carry = F.call_function("div", (total - digit).cast(_ZERO_TYPE), base).cast(_ZERO_TYPE)
+            return F.struct(carry.alias("carry"),
+                            F.concat(F.lpad(digit.cast("string"), _LIMB, "0"), state["text"]).alias("text"))
+        return let((value + state["carry"]).cast(_ZERO_TYPE), split)
+
+    return strip_zeros(F.aggregate(values, start, step,
                                    lambda state: F.concat(state["carry"].cast("string"), state["text"])))
 
 
+def _number(raw: Column) -> Column:
+    return raw.cast(_ZERO_TYPE)
+
+
+def _subtract_wide(left: Column, right: Column) -> Column:
+    zero = F.lit(0).cast(_ZERO_TYPE)
+    return _carried(F.zip_with(_limbs(left), _limbs(right), lambda a, b: (
+        F.coalesce(a, zero) - F.coalesce(b, zero)).cast(_ZERO_TYPE)))
+
+
+def _multiply_wide(left: Column, right: Column) -> Column:
+    zero = F.lit(0).cast(_ZERO_TYPE)
+
+    def convolve(pair):
+        a, b = pair["a"], pair["b"]
+
+        def place(position):
+            low = F.greatest(F.lit(0), position - F.size(b) + 1)
+            high = F.least(position, F.size(a) - 1)
+            return F.aggregate(F.sequence(low, high), zero, lambda total, i: (
+                total + F.get(a, i).cast("decimal(15,0)") * F.get(b, position - i).cast("decimal(15,0)")).cast(_ZERO_TYPE))
+
+        return _carried(F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), place))
+
+    return let(F.struct(_limbs(left).alias("a"), _limbs(right).alias("b")), convolve)
+
+
 def subtract_text(left: Column, right: Column) -> Column:
-    """``left - right`` for integer texts with left >= right."""
-    pairs = F.zip_with(_limbs(left), _limbs(right), lambda a, b: (
-        F.coalesce(a, F.lit(0).cast("decimal(38,0)")) - F.coalesce(b, F.lit(0).cast("decimal(38,0)"))
-    ).cast("decimal(38,0)"))
-    return _carried(pairs)
+    """``left - right`` for integer texts with left >= right; limbs are used above 38 digits only."""
+    def difference(pair):
+        a, b = pair["a"], pair["b"]
+        return F.when(F.length(a) <= 38, (_number(a) - _number(b)).cast("string")).otherwise(_subtract_wide(a, b))
 
+    return let(F.struct(strip_zeros(left).alias("a"), strip_zeros(right).alias("b")), difference)
 
-def multiply_text(left: Column, right: Column) -> Column:
-    """Product of two integer texts by limb convolution."""
-    a, b = _limbs(left), _limbs(right)
-    size = F.size(a) + F.size(b) - 1
-    zero = F.lit(0).cast("decimal(38,0)")
 
-    def column(position):
-        low = F.greatest(F.lit(0), position - F.size(b) + 1)
-        high = F.least(position, F.size(a) - 1)
-        products = F.transform(F.sequence(low, high),
-                               lambda i: (F.get(a, i).cast("decimal(10,0)")
-                                          * F.get(b, position - i).cast("decimal(10,0)")).cast("decimal(38,0)"))
-        return F.aggregate(products, zero, lambda total, item: (total + item).cast("decimal(38,0)"))
+def multiply_text(left: Column, right: Column) -> Column:
+    """Product of two integer texts; limbs are used when it may pass 38 digits."""
+    def product(pair):
+        a, b = pair["a"], pair["b"]
+        return F.when(F.length(a) + F.length(b) <= 38, (_number(a) * _number(b)).cast("string")).otherwise(_multiply_wide(a, b))
 
-    return _carried(F.transform(F.sequence(F.lit(0), size - 1), column))
+    return let(F.struct(strip_zeros(left).alias("a"), strip_zeros(right).alias("b")), product)
 
 
 def net_fee(fee: Column, discount: Column, price: Column, places: int = USD_PLACES) -> Column:
     """(fee - discount) * price over 10^places as exact text; null when any part is unknown."""
-    known = fee.isNotNull() & discount.isNotNull() & price.isNotNull()
-    return F.when(known & fee_fault(fee, discount, price).isNull(),
-                  scale_usd(multiply_text(subtract_text(strip_zeros(fee), strip_zeros(discount)),
-                                          strip_zeros(price)), places))
+    def value(parts):
+        a, b, c = parts["a"], parts["b"], parts["c"]
+        return F.when(fee_fault(a, b, c).isNull() & a.isNotNull() & b.isNotNull() & c.isNotNull(),
+                      let(multiply_text(subtract_text(a, b), c), lambda total: scale_usd(total, places)))
+
+    return let(F.struct(fee.alias("a"), discount.alias("b"), price.alias("c")), value)
 
 
 def fee_fault(fee: Column, discount: Column, price: Column) -> Column:
@@ -150,6 +177,3 @@ def fee_fault(fee: Column, discount: Column, price: Column) -> Column:
                   .when(compare_text(discount, fee) > 0, "discount exceeds fee")
                   .when(strip_zeros(price) == "0", "price is not positive"))
 
-
-def total_of(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)

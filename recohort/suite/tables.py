@@ -307,10 +307,10 @@ allocations AS (
   UNION ALL SELECT file, epoch_start, other, CAST(k AS VARCHAR), k FROM files),
 units AS (
   SELECT *, CASE WHEN length(amount_raw) > 18 THEN left(amount_raw, length(amount_raw) - 18) ELSE '0' END || '.'
-         || right(lpad(amount_raw, greatest(length(amount_raw), 18), '0'), 18) AS amount_units FROM allocations)"""
+         || right(lpad(amount_raw, CAST(greatest(length(amount_raw), 18) AS INTEGER), '0'), 18) AS amount_units FROM allocations)"""
 
 
 def units_sql(raw: str) -> str:
     """Eighteen-place text of a non-negative integer column given as text."""
     return (f"(CASE WHEN length({raw}) > 18 THEN left({raw}, length({raw}) - 18) ELSE '0' END || '.' || "
-            f"right(lpad({raw}, greatest(length({raw}), 18), '0'), 18))")
+            f"right(lpad({raw}, CAST(greatest(length({raw}), 18) AS INTEGER), '0'), 18))")
