@@ -1 +1,85 @@
+"""Feature scaling and return models."""
 
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+
+from recohort.contracts import LOG_FEATURES
+from recohort.operators import evaluation as ev, models as mo
+from recohort.suite import tables as t
+from recohort.suite.registry import query, rounded
+from recohort.suite.samples import study_samples
+
+
+@lru_cache(maxsize=4)
+def _prepared(spark, d):
+    """Scaled study rows, written once per session and folder."""
+    return mo.prepared(study_samples(spark, d))
+
+
+_SAMPLES = t.STUDY_SQL + ", " + t.samples_sql(t.STUDY_START)
+
+
+def _scaler_sql() -> str:
+    parts = []
+    for name in mo.SCALED:
+        value = f"ln(1 + {name})" if name in LOG_FEATURES else name
+        parts.append(f"SELECT '{name}' AS feature, avg({value}) AS mean, stddev_pop({value}) AS deviation, count(*) AS fit_rows FROM samples WHERE split = 'train'")
+    return _SAMPLES + f", s AS ({' UNION ALL '.join(parts)}) " + """
+SELECT feature, round(mean, 6) AS mean, round(deviation, 6) AS deviation, round(CASE WHEN deviation <= abs(mean) * 1e-14 THEN 1 ELSE deviation END, 6) AS scale, fit_rows FROM s"""
+
+
+@query("fit_scaler_train_only", _scaler_sql())
+def _scaler(spark, d):
+    return rounded(mo.fit_scaler_train_only(study_samples(spark, d)), "mean", "deviation", "scale", digits=6)
+
+
+@query("score_constant", _SAMPLES + """
+SELECT account, as_of, split, label, round((SELECT avg(label) FROM samples WHERE split = 'train'), 9) AS score FROM samples""")
+def _constant(spark, d):
+    return rounded(mo.score_constant(study_samples(spark, d)), "score")
+
+
+@query("score_recency", _SAMPLES + " SELECT account, as_of, split, label, -days_since_last_opening AS score FROM samples")
+def _recency(spark, d):
+    return rounded(mo.score_recency(study_samples(spark, d)), "score")
+
+
+@query("score_logistic")
+def _logistic(spark, d):
+    return rounded(mo.score_logistic(_prepared(spark, d)), "score", digits=6)
+
+
+@query("score_boosting")
+def _boosting(spark, d):
+    return rounded(mo.score_boosting(_prepared(spark, d), rounds=(20, 40)), "score", digits=6)
+
+
+@query("score_mlp")
+def _mlp(spark, d):
+    return rounded(mo.score_mlp(_prepared(spark, d)), "score", digits=6)
+
+
+@query("permutation_importance")
+def _importance(spark, d):
+    rows = _prepared(spark, d)
+    return rounded(mo.permutation_importance(mo.fit_logistic(rows, (1.0,)), rows), "ap_drop_mean", "ap_drop_std", digits=6)
+
+
+@query("model_metrics")
+def _metrics(spark, d):
+    """Validation and test metrics of the constant, recency and logistic runs, seen and new accounts apart."""
+    from recohort.operators.landmarks import seen_in_training_flag
+    samples = mo.pin(study_samples(spark, d), "samples")
+    logistic = mo.score_logistic(_prepared(spark, d))
+    runs = (mo.score_constant(samples).withColumn("model", F.lit("constant"))
+            .unionByName(logistic.withColumn("model", F.lit("logistic_regression"))))
+    flagged = seen_in_training_flag(runs.filter("split <> 'train'"), samples.filter("split = 'train'"))
+    scored = ev.evaluate_scores(flagged, ("model", "split", "seen_in_training"))
+    ranks = ev.evaluate_scores(seen_in_training_flag(
+        mo.score_recency(samples).filter("split <> 'train'").withColumn("model", F.lit("recency")),
+        samples.filter("split = 'train'")), ("model", "split", "seen_in_training"), probability=False)
+    out = scored.unionByName(ranks)
+    return rounded(out, *[f.name for f in out.schema.fields if f.dataType.simpleString() == "double"], digits=6)

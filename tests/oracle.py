@@ -48,7 +48,7 @@ def difference(spark, db, run, sql: str, folder: str) -> str | None:
     theirs = _rows(names, cursor.fetchall())
     if mine == theirs:
         return None
-    lost, extra = [r for r in theirs if r not in set(mine)][:2], [r for r in mine if r not in set(theirs)][:2]
+    lost, extra = sorted(set(theirs) - set(mine))[:2], sorted(set(mine) - set(theirs))[:2]
     return f"{len(mine)} / {len(theirs)} rows; columns {sorted(names)}; only SQL {lost}; only Spark {extra}"
 
 
