@@ -21,18 +21,20 @@ def is_integer_text(raw: Column) -> Column:
 
 
 def strip_zeros(digits: Column) -> Column:
-    return F.regexp_replace(digits, "^0+(?=.)", "")
+    """Digits without leading zeros; zero stays one digit."""
+    return F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.substring(digits, 1, 1))
 
 
 def shift_point(digits: Column, places: int) -> tuple[Column, Column]:
     """Whole and fractional digits after moving the decimal point left."""
+    digits = F.ltrim(digits, F.lit("0"))
     padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(places + 1)), F.lit("0"))
     return F.left(padded, F.length(padded) - places), F.right(padded, F.lit(places))
 
 
 def scale_usd(raw: Column, places: int = USD_PLACES) -> Column:
     """Raw integer text over 10^places, exact and without trailing zeros; null when not an integer."""
-    whole, fraction = shift_point(strip_zeros(raw), places)
+    whole, fraction = shift_point(raw, places)
     fraction = F.rtrim(fraction, F.lit("0"))
     return F.when(raw.rlike("^[0-9]+$"),
                   F.when(fraction == "", whole).otherwise(F.concat_ws(".", whole, fraction)))
@@ -41,7 +43,7 @@ def scale_usd(raw: Column, places: int = USD_PLACES) -> Column:
 def scale_token_units(raw: Column, places: int = TOKEN_PLACES) -> Column:
     """Raw signed integer text over 10^places with every fractional digit kept."""
     sign = F.when(raw.startswith("-"), "-").otherwise("")
-    whole, fraction = shift_point(strip_zeros(F.regexp_replace(raw, "^-", "")), places)
+    whole, fraction = shift_point(F.ltrim(raw, F.lit("-")), places)
     return F.when(raw.rlike("^-?[0-9]+$"), F.concat(sign, whole, F.lit("."), fraction))
 
 

@@ -73,21 +73,17 @@ def _scored(model: Model, rows: DataFrame) -> DataFrame:
     return out.select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def _validation_ap(model: Model, rows: DataFrame) -> float | None:
-    scores = _scored(model, rows.filter(F.col("split") == "validation"))
-    return average_precision(scores).first()["average_precision"]
-
-
 def _choose(name: str, rows: DataFrame, settings, build) -> Fitted:
+    """Fit every candidate on training rows and keep the best; all are evaluated in one pass."""
     train = rows.filter(F.col("split") == "train")
-    best, best_ap, tried = None, None, []
-    for setting in settings:
-        model = build(setting).fit(train)
-        ap = _validation_ap(model, rows)
-        tried.append((float(setting), ap))
-        if best is None or (ap is not None and (best_ap is None or ap > best_ap)):
-            best, best_ap = (model, setting), ap
-    return Fitted(name, best[0], float(best[1]), tuple(tried))
+    validation = rows.filter(F.col("split") == "validation")
+    models = [build(setting).fit(train) for setting in settings]
+    scored = reduce(DataFrame.unionByName, [
+        _scored(model, validation).withColumn("candidate", F.lit(i)) for i, model in enumerate(models)])
+    found = {row["candidate"]: row["average_precision"] for row in average_precision(scored, ("candidate",)).collect()}
+    best = max(range(len(models)), key=lambda i: (found.get(i) is not None, found.get(i) or 0.0, -i))
+    tried = tuple((float(setting), found.get(i)) for i, setting in enumerate(settings))
+    return Fitted(name, models[best], float(settings[best]), tried)
 
 
 def score_constant(samples: DataFrame) -> DataFrame:
@@ -105,7 +101,7 @@ def fit_logistic(rows: DataFrame, strengths=(0.1, 1.0, 10.0)) -> Fitted:
     """L2 logistic regression; C is turned into the mean-loss penalty 1 / (C n)."""
     n = rows.filter(F.col("split") == "train").count()
     return _choose("logistic_regression", rows, strengths, lambda c: LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8))
+        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-5))
 
 
 def fit_boosting(rows: DataFrame, rounds=(100, 200), depth: int = 3, rate: float = 0.05) -> Fitted:

@@ -56,7 +56,8 @@ def reward_row_faults(allocations: DataFrame, overrides: DataFrame | None = None
 
 def batch_total_faults(allocations: DataFrame, batches: DataFrame) -> DataFrame:
     """Files whose exact allocation sum differs from the declared batch total (file, total_raw)."""
-    sums = allocations.groupBy("file").agg(sum_limbs(F.col("amount_raw")).alias("limbs")).select(
+    usable = F.when(is_integer_text(F.col("amount_raw")), F.col("amount_raw"))
+    sums = allocations.groupBy("file").agg(sum_limbs(usable).alias("limbs")).select(
         "file", carry_limbs(F.col("limbs")).alias("sum_raw"))
     return (batches.join(sums, "file", "left").filter(~F.col("sum_raw").eqNullSafe(strip_zeros(F.col("total_raw"))))
             .select("file", F.lit("allocation sum differs from batch total").alias("rule"), "sum_raw", "total_raw"))

@@ -30,8 +30,12 @@ def parse_pages(texts: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """One row per record, with its page and position."""
-    return pages.select("page", F.posexplode("actions").alias("pos", "a")).select("page", "pos", "a.*")
+    """One row per record, with its page and position.
+
+    The outer form keeps the optimizer from adding a size filter, which would parse each page twice.
+    """
+    return (pages.select("page", F.posexplode_outer("actions").alias("pos", "a")).filter("pos IS NOT NULL")
+            .select("page", "pos", "a.*"))
 
 
 def ingest_action_pages(pages: DataFrame, low: datetime, high: datetime) -> DataFrame:

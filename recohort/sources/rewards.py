@@ -16,15 +16,16 @@ def distribution_documents(texts: DataFrame) -> DataFrame:
     return texts.select("file", "epoch_start", F.try_parse_json("text").alias("payload"))
 
 
-def _entries(documents: DataFrame, path: str, outer: bool) -> DataFrame:
+def _entries(documents: DataFrame, path: str) -> DataFrame:
+    """Entries of a map, and one row without a key for a missing or empty map."""
     entries = F.try_variant_get("payload", path, "map<string,variant>")
-    explode = F.explode_outer if outer else F.explode
-    return documents.select("file", "epoch_start", entries.isNotNull().alias("recorded"), explode(entries).alias("k", "v"))
+    return documents.select("file", "epoch_start", entries.alias("m")).select(
+        "file", "epoch_start", F.col("m").isNotNull().alias("recorded"), F.explode_outer("m").alias("k", "v"))
 
 
 def ingest_reward_files(documents: DataFrame) -> DataFrame:
     """(file, epoch, recipient, raw amount as text, JSON type of the amount)."""
-    return _entries(documents, "$.amounts", False).select(
+    return _entries(documents, "$.amounts").filter("k IS NOT NULL").select(
         "file", "epoch_start", F.col("k").alias("recipient"),
         F.try_variant_get("v", "$", "string").alias("amount_raw"), F.schema_of_variant("v").alias("amount_kind"))
 
@@ -34,6 +35,6 @@ def ingest_override_maps(documents: DataFrame) -> DataFrame:
 
     An empty map gives one row too, recorded true with a null original.
     """
-    return _entries(documents, "$.appliedOverrides", True).select(
+    return _entries(documents, "$.appliedOverrides").select(
         "file", "epoch_start", "recorded", F.col("k").alias("original"),
         F.try_variant_get("v", "$", "string").alias("receiver"))

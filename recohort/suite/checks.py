@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recohort.contracts import AUDIT_FIELDS, DAILY_FIELDS, EVENT_FIELDS, MUST_BE_ZERO
 from recohort.operators import cohort as co, gates, quality, reconcile as rc, rewards as rw
+from recohort.session import pin
 from recohort.sources import rewards as sr
 from recohort.suite import audit as au, tables as t
 from recohort.suite.ingest import event_text_rows
@@ -199,9 +200,14 @@ def _results(spark, d):
     return rc.compare_results(left, right, "k", "result")
 
 
-def _ledger(spark, d):
+def _ingested(spark, d):
+    """Allocations and overrides, written once: the files are not parsed again by every later use."""
     documents = sr.distribution_documents(t.distribution_texts(spark, d))
-    return rw.reward_ledger(sr.ingest_reward_files(documents), sr.ingest_override_maps(documents), t.TOKEN)
+    return pin(sr.ingest_reward_files(documents), "allocations"), pin(sr.ingest_override_maps(documents), "overrides")
+
+
+def _ledger(spark, d):
+    return rw.reward_ledger(*_ingested(spark, d), t.TOKEN)
 
 
 @query("reward_ledger", t.REWARD_SQL + f"""
@@ -223,10 +229,8 @@ SELECT s.epoch_start, strftime(CAST(s.epoch_start AS DATE) + 7, '%Y-%m-%d') AS e
   {t.units_sql('amount_raw')} AS amount_units, overrides_recorded, CASE WHEN overrides_recorded THEN n END AS recorded_override_count
 FROM sums s JOIN over o ON o.epoch_start = s.epoch_start""")
 def _epochs(spark, d):
-    documents = sr.distribution_documents(t.distribution_texts(spark, d))
-    overrides = sr.ingest_override_maps(documents)
-    ledger = rw.reward_ledger(sr.ingest_reward_files(documents), overrides, t.TOKEN)
-    return rw.reward_epoch_summary(ledger, overrides)
+    allocations, overrides = _ingested(spark, d)
+    return rw.reward_epoch_summary(rw.reward_ledger(allocations, overrides, t.TOKEN), overrides)
 
 
 @query("reward_report_reconcile", t.REWARD_SQL + f""", s AS (
@@ -247,14 +251,14 @@ UNION ALL SELECT file, 'absent override recipient', main FROM o WHERE k % 40 = 2
 UNION ALL SELECT file, 'repeated recipient', main FROM o WHERE k % 40 = 3
 UNION ALL SELECT file, 'allocation sum differs from batch total', CAST(CAST(raw AS HUGEINT) + k + CASE WHEN k % 40 = 3 THEN CAST(raw AS HUGEINT) ELSE 0 END AS VARCHAR) FROM o WHERE k % 40 IN (3, 4)""")
 def _validate(spark, d):
-    documents = sr.distribution_documents(t.distribution_texts(spark, d))
-    rows = sr.ingest_reward_files(documents).withColumn("k", F.col("file").cast("bigint"))
+    allocations, overrides = _ingested(spark, d)
+    rows = allocations.withColumn("k", F.col("file").cast("bigint"))
     main = F.length("amount_raw") > 16
     rows = rows.withColumns({
         "amount_kind": F.when(main & (F.col("k") % 40 == 1), "BIGINT").otherwise(F.col("amount_kind")),
         "recipient": F.when(main & (F.col("k") % 40 == 2), "0x" + "0" * 40).otherwise(F.col("recipient"))})
     again = rows.filter(main & (F.col("k") % 40 == 3)).withColumn("recipient", F.concat(F.lit("0x"), F.upper(F.substring("recipient", 3, 40))))
     batches = t.table(spark, d, "orders").select(
-        F.col("o_orderkey").cast("string").alias("file"), (F.col("o_orderkey") % 40 == 4).alias("wrong"),
+        F.col("o_orderkey").cast("string").alias("file"),
         (t._raw_amount().cast("decimal(38,0)") + F.col("o_orderkey") + F.when(F.col("o_orderkey") % 40 == 4, 1).otherwise(0)).cast("string").alias("total_raw"))
-    return rw.validate_rewards(rows.unionByName(again), batches.drop("wrong"), sr.ingest_override_maps(documents))
+    return rw.validate_rewards(rows.unionByName(again), batches, overrides)

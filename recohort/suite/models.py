@@ -44,7 +44,7 @@ def _constant(spark, d):
 
 @query("score_recency", _SAMPLES + " SELECT account, as_of, split, label, -days_since_last_opening AS score FROM samples")
 def _recency(spark, d):
-    return rounded(mo.score_recency(study_samples(spark, d)), "score")
+    return mo.score_recency(study_samples(spark, d))
 
 
 @query("score_logistic")
@@ -59,7 +59,7 @@ def _boosting(spark, d):
 
 @query("score_mlp")
 def _mlp(spark, d):
-    return rounded(mo.score_mlp(_prepared(spark, d)), "score", digits=6)
+    return rounded(mo.score_mlp(_prepared(spark, d), iterations=(25, 50)), "score", digits=6)
 
 
 @query("permutation_importance")

@@ -11,7 +11,7 @@ from recohort.operators import classify, landmarks as lm
 from recohort.suite import tables as t
 from recohort.suite.registry import query, rounded
 
-_DAYS = ("days_since_first_observed_opening", "days_since_last_opening", "top_market_share_30d")
+_SHARE = "top_market_share_30d"
 
 
 def study_openings(spark, d):
@@ -87,12 +87,12 @@ def _windows(spark, d):
 @query("recency_features", _EVENT_SAMPLES + """
 SELECT as_of, account, days_since_first_observed_opening, days_since_last_opening, pre_campaign_opening FROM past""")
 def _recency(spark, d):
-    return rounded(lm.recency_features(event_openings(spark, d), t.EVENT_MARKS, t.EVENT_START), *_DAYS[:2])
+    return lm.recency_features(event_openings(spark, d), t.EVENT_MARKS, t.EVENT_START)
 
 
 @query("market_concentration", _EVENT_SAMPLES + " SELECT * FROM spread")
 def _markets(spark, d):
-    return rounded(lm.market_concentration(event_openings(spark, d), t.EVENT_MARKS, t.EVENT_START), _DAYS[2])
+    return rounded(lm.market_concentration(event_openings(spark, d), t.EVENT_MARKS, t.EVENT_START), _SHARE)
 
 
 _STUDY_SAMPLES = t.STUDY_SQL + ", " + t.samples_sql(t.STUDY_START)
@@ -102,12 +102,12 @@ _STUDY_SAMPLES = t.STUDY_SQL + ", " + t.samples_sql(t.STUDY_START)
 def _join_markets(spark, d):
     rows = study_openings(spark, d)
     members = lm.join_landmarks(rows, t.STUDY_MARKS, t.STUDY_START).select("as_of", "account")
-    return rounded(lm.join_market_features(members, lm.market_concentration(rows, t.STUDY_MARKS, t.STUDY_START)), _DAYS[2])
+    return rounded(lm.join_market_features(members, lm.market_concentration(rows, t.STUDY_MARKS, t.STUDY_START)), _SHARE)
 
 
 @query("landmark_samples", _STUDY_SAMPLES + f" SELECT account, as_of, split, label, {', '.join(FEATURES)} FROM samples")
 def _samples(spark, d):
-    return rounded(study_samples(spark, d), *_DAYS)
+    return rounded(study_samples(spark, d), _SHARE)
 
 
 @query("split_summary", _STUDY_SAMPLES + """

@@ -84,15 +84,14 @@ def _text(spark, d):
 
 
 @query("scalar_time", """SELECT event_id, date_trunc('day', ts) AS day_start, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(ts AS DATE) AS day,
-  ts + INTERVAL '23 days' AS later, round(epoch(TIMESTAMP '2024-02-01' - ts) / 86400.0, 9) AS days_to_end, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events""")
+  ts + INTERVAL '23 days' AS later, CAST(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) AS DOUBLE) / 86400000000.0::DOUBLE AS days_to_end, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events""")
 def _time(spark, d):
     ts = F.col("ts")
     end = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    out = t.table(spark, d, "events").select(
+    return t.table(spark, d, "events").select(
         "event_id", F.date_trunc("day", ts).cast("timestamp_ntz").alias("day_start"), times.entry_week(ts).alias("week"),
         F.to_date(ts).alias("day"), (ts + F.expr("INTERVAL '23' DAY")).alias("later"),
         times.fractional_days(end, ts).alias("days_to_end"), F.unix_seconds(ts.cast("timestamp")).alias("seconds"))
-    return rounded(out, "days_to_end")
 
 
 @query("scalar_math", """SELECT o_orderkey, CAST(ceil(o_totalprice * 0.01::DOUBLE) AS BIGINT) AS up, CAST(floor(o_totalprice) AS BIGINT) AS down,

@@ -153,8 +153,8 @@ def samples_sql(start: datetime) -> str:
          CAST(coalesce(sum(CASE WHEN {near} THEN o.fee END), 0) AS DOUBLE) AS opening_fee_usd_{d}d,""")
     return f"""past AS (
   SELECT m.as_of, m.split, m.account, {''.join(windows)}
-         round(epoch(m.as_of - min(o.ts)) / 86400.0, 9) AS days_since_first_observed_opening,
-         round(epoch(m.as_of - max(o.ts)) / 86400.0, 9) AS days_since_last_opening,
+         CAST(epoch_us(m.as_of) - epoch_us(min(o.ts)) AS DOUBLE) / 86400000000.0::DOUBLE AS days_since_first_observed_opening,
+         CAST(epoch_us(m.as_of) - epoch_us(max(o.ts)) AS DOUBLE) / 86400000000.0::DOUBLE AS days_since_last_opening,
          CAST(CASE WHEN min(o.ts) < {_sql_time(start)} THEN 1 ELSE 0 END AS DOUBLE) AS pre_campaign_opening
   FROM members m JOIN openings o ON o.account = m.account AND o.ts < m.as_of GROUP BY m.as_of, m.split, m.account),
 spread AS (
