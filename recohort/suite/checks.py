@@ -201,9 +201,9 @@ def _results(spark, d):
 
 
 def _ingested(spark, d):
-    """Allocations and overrides, written once: the files are not parsed again by every later use."""
-    documents = sr.distribution_documents(t.distribution_texts(spark, d))
-    return pin(sr.ingest_reward_files(documents), "allocations"), pin(sr.ingest_override_maps(documents), "overrides")
+    """Allocations and overrides of documents that are parsed and written once."""
+    documents = pin(sr.distribution_documents(t.distribution_texts(spark, d)), "documents")
+    return sr.ingest_reward_files(documents), sr.ingest_override_maps(documents)
 
 
 def _ledger(spark, d):
