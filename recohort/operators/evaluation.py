@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recohort.functions.scalars import is_finite, rate
 from recohort.operators.ranking import linear_quantiles, running_totals, top_count
 
+_SALTS = 256
+
 
 def scored_faults(scores: DataFrame, probability: bool = True) -> DataFrame:
     """Rows whose label or score cannot be evaluated."""
@@ -114,7 +116,10 @@ def reliability_bins(scores: DataFrame, within: tuple[str, ...] = (), bins: int
     # Inner edges only; one array of at most bins + 1 numbers per run.
     inner = F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))))
     if within:
-        placed = scores.join(edges, list(within))
+        # A run may hold most rows: its edges are copied to every salt so that its rows still spread.
+        salted = scores.withColumn("_salt", F.pmod(F.xxhash64("account"), F.lit(_SALTS)).cast("int"))
+        copies = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        placed = salted.join(copies, [*within, "_salt"])
     else:
         placed = scores.withColumn("edges", edges.select("edges").scalar())
     bucket = F.size(F.filter(F.coalesce(inner, F.array().cast("array<double>")), lambda e: e <= F.col("score")))

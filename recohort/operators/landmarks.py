@@ -233,11 +233,13 @@ def validate_features(samples: DataFrame) -> DataFrame:
 
 
 def expected_counts(summary: DataFrame, expected: DataFrame) -> DataFrame:
-    """Frozen counts (as_of, n, positive) that the samples do not reproduce."""
-    frozen = expected.select("as_of", F.col("n").alias("expected_n"), F.col("positive").alias("expected_positive"))
+    """Frozen counts (as_of, n, positive) that the samples do not reproduce, or that name a cutoff twice."""
+    frozen = expected.groupBy("as_of").agg(F.min("n").alias("expected_n"), F.min("positive").alias("expected_positive"),
+                                           F.count("*").alias("copies"))
     found = summary.select("as_of", "n", "positive")
     both = frozen.join(found, "as_of", "left")
     wrong = (~F.col("n").eqNullSafe(F.col("expected_n"))) | (~F.col("positive").eqNullSafe(F.col("expected_positive")))
+    wrong = wrong | (F.col("copies") > 1)
     return both.filter(wrong).select("as_of", "n", "expected_n", "positive", "expected_positive")
 
 

@@ -46,7 +46,7 @@ def write_case(tables: dict[str, DataFrame], path: str) -> None:
     """Account tables as Parquet, daily facts by day, summaries as CSV."""
     for name, rows in tables.items():
         if name == "wallet_daily":
-            write_results(rows.repartition("day"), f"{path}/{name}", partition=["day"])
+            write_results(rows, f"{path}/{name}", partition=["day"])
         elif name == "wallet_cohorts":
             write_results(rows, f"{path}/{name}", order=["account"])
         else:

@@ -26,11 +26,12 @@ def build_samples(trades: DataFrame, marks: list[Landmark], start: datetime,
     return samples
 
 
-def run_study(samples: DataFrame, repeats: int = 10, seeds=mo.SEEDS) -> dict[str, DataFrame]:
+def run_study(samples: DataFrame, repeats: int = 10, seeds=mo.SEEDS, rounds=(100, 200),
+              iterations=(50, 100)) -> dict[str, DataFrame]:
     """Scores of every run, validation and test metrics, subgroups, selection and importance."""
     rows = mo.prepared(samples)
-    logistic, boosting = mo.fit_logistic(rows), mo.fit_boosting(rows)
-    networks = {seed: mo.fit_mlp(rows, seed) for seed in seeds}
+    logistic, boosting = mo.fit_logistic(rows), mo.fit_boosting(rows, rounds)
+    networks = {seed: mo.fit_mlp(rows, seed, iterations) for seed in seeds}
     primary = mo.PRIMARY_SEED if mo.PRIMARY_SEED in networks else seeds[0]
 
     def run(scores: DataFrame, name: str, seed: int | None = None) -> DataFrame:

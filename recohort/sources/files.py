@@ -36,8 +36,16 @@ def export_key_faults(export: DataFrame, key: str) -> DataFrame:
 
 def write_results(rows: DataFrame, path: str, kind: str = "parquet", order: list[str] | None = None,
                   partition: list[str] | None = None, compression: str | None = None) -> None:
-    """Parquet, CSV or JSON output; global order comes from range partitions, not from one task."""
-    writer = (rows.orderBy(*order) if order else rows).write.mode("errorifexists")
+    """Parquet, CSV or JSON output; global order comes from range partitions, not from one task.
+
+    Partitioned output is rebalanced by its partition columns: few files each, and a large
+    partition is split over several tasks.
+    """
+    if order:
+        rows = rows.orderBy(*order)
+    elif partition:
+        rows = rows.hint("rebalance", *partition)
+    writer = rows.write.mode("errorifexists")
     if partition:
         writer = writer.partitionBy(*partition)
     if compression:

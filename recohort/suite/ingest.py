@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recohort.functions.times import within
 from recohort.operators import classify, gates, partitions as pt, quality
-from recohort.session import new_folder
+from recohort.session import new_folder, pin
 from recohort.sources import events as se, files as sf, pages as sp, rewards as sr
 from recohort.streaming import ingest as stream
 from recohort.suite import tables as t
@@ -102,7 +102,8 @@ SELECT '42161' AS chain_id, tx AS tx_hash, '10' AS log_index, account, tx AS ord
   'true' AS success, {trim_sql('raw')} AS size_delta_usd, CASE WHEN k % 13 <> 0 THEN {trim_sql(_FEE)} END AS position_fee_usd,
   CASE WHEN k % 19 <> 0 THEN strftime(ts - to_days(CAST(k % 60 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS order_created_at, 0::BIGINT AS faults FROM r""")
 def _normalize(spark, d):
-    pages = sp.parse_pages(page_texts(spark, d))
+    # Executions and creations read the same pages, so they are parsed and written once.
+    pages = pin(sp.parse_pages(page_texts(spark, d)), "pages")
     rows = sp.normalize_execution(sp.ingest_action_pages(pages, _LOW, _HIGH), sp.page_creations(pages), 42161)
     return rows.withColumn("faults", F.size("faults"))
 
@@ -220,7 +221,7 @@ WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2
 def _write(spark, d):
     from recohort.operators.cohort import wallet_daily
     path = new_folder(spark, "wallet_daily")
-    sf.write_results(wallet_daily(t.event_trades(spark, d)).repartition("day"), path, partition=["day"])
+    sf.write_results(wallet_daily(t.event_trades(spark, d)), path, partition=["day"])
     return spark.read.parquet(path).filter("day >= DATE '2024-01-10' AND day < DATE '2024-01-13'").select("account", "day", "increases")
 
 

@@ -137,6 +137,16 @@ def test_metrics_against_formulas(spark, levels):
     assert len(curve) <= 500 and curve[0].sampled == (levels > 500)
 
 
+def test_bins_of_a_dominant_run(spark):
+    # Two thirds of all rows belong to one run; bins by run equal the bins of each run alone.
+    rng = random.Random(5)
+    rows = [(f"a{i:04d}", rng.randrange(2), rng.randrange(40) / 40, "big" if i % 3 else "small") for i in range(900)]
+    frame = spark.createDataFrame(rows, "account string, label int, score double, model string")
+    together = {(r.model, r.bin, r["count"]) for r in ev.reliability_bins(frame, ("model",)).collect()}
+    apart = {(m, r.bin, r["count"]) for m in ("big", "small") for r in ev.reliability_bins(frame.filter(F.col("model") == m)).collect()}
+    assert together == apart
+
+
 def test_ties_and_degenerate_runs(spark):
     def run(rows, **options):
         return ev.evaluate_scores(spark.createDataFrame(rows, "account string, label int, score double"), **options).first()
@@ -204,13 +214,13 @@ def test_feature_gate(study):
 
 
 def test_study_runs_and_ignores_test_labels(study):
-    found = return_study.run_study(study, repeats=2, seeds=(42,))
+    found = return_study.run_study(study, repeats=2, seeds=(42,), rounds=(3, 5), iterations=(5, 10))
     assert found["predictions"].count() == 5 * 16
     assert found["predictions"].filter("seen_in_training = 1").count() == 5 * 8
     assert found["metrics"].count() == 2 * 5 and found["importance"].count() == 17
     chosen = found["selected"].first().selected_model
     flipped = study.withColumn("label", F.when(F.col("split") == "test", 1 - F.col("label")).otherwise(F.col("label")))
-    again = return_study.run_study(flipped, repeats=1, seeds=(42,))
+    again = return_study.run_study(flipped, repeats=1, seeds=(42,), rounds=(3, 5), iterations=(5, 10))
     assert again["selected"].first().selected_model == chosen
     key = ("model", "seed", "average_precision")
     assert sorted(map(str, found["metrics"].filter("split = 'validation'").select(*key).collect())) == sorted(
