@@ -25,6 +25,7 @@ def load_checked(spark, path, chain_id: int, coverage: tuple[datetime, datetime]
 def describe_campaign(trades: DataFrame, campaign: Campaign, coverage: tuple[datetime, datetime], *,
                       history_complete: bool = False, decreases_verified: bool = True) -> dict[str, DataFrame]:
     """All tables of the case. The account profile and the daily facts are written once and shared."""
+    prepare(trades.sparkSession)
     gates.check_case_boundaries(campaign, *coverage)
     profile = pin(co.retention_profile(trades, campaign), "profile")
     daily = pin(co.wallet_daily(trades), "daily")

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 from recohort.contracts import Landmark
 from recohort.operators import evaluation as ev, gates, landmarks as lm, models as mo
 from recohort.operators.classify import scan_openings
-from recohort.session import pin
+from recohort.session import pin, prepare
 
 
 def build_samples(trades: DataFrame, marks: list[Landmark], start: datetime,
                   coverage: tuple[datetime, datetime], expected: DataFrame | None = None) -> DataFrame:
     """Samples that passed the fee, feature and frozen-count gates."""
+    prepare(trades.sparkSession)
     gates.check_study_boundaries(marks, start, *coverage)
     openings = scan_openings(trades)
     gates.enforce(lm.validate_fee_presence(openings, marks, start))
