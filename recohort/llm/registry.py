@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, frames
+from recohort.llm import bpe, chat, frames, neighbours, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_quality": quality.op2_quality,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_token_files": frames.op6_token_files,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {"op1_chat_format": chat.OP1_SQL}
