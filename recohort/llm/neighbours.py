@@ -83,8 +83,8 @@ class Block:
                 ids, scores = ids[best], scores[best]
             if (low == 0).all() and (high == size).all():
                 return ids, scores
-            # A vector at distance d differs on a line by less than the width with the probability of a normal |x| < width / d.
-            # The threshold is the median line, for which |x| < 0.755 * d when THRESHOLD is 0.55; twice the spread is left.
+            # On a line, a vector at distance d is within the width as often as a normal number is within width / d: on the
+            # share THRESHOLD of the lines where the width is 0.755 * d. MARGIN leaves room for chance.
             if len(ids) == min(count, size - own) and verified.sum() - own >= min(size - own, 4 * count):
                 distance = np.sqrt(max(0.0, 2 - 2 * scores[-1]))
                 if width >= distance * MARGIN:
@@ -93,7 +93,7 @@ class Block:
 
 
 #: A width of this many distances lets the vector at that distance collide on the needed share of lines, and some more.
-MARGIN = 0.9
+MARGIN = 1.2
 
 
 def _clean(rows: DataFrame, id_name: str, vector_name: str) -> DataFrame:

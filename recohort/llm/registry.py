@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, frames, neighbours, quality, toxicity
+from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_quality": quality.op2_quality,
+    "op4_minhash": minhash.op4_minhash,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_token_files": frames.op6_token_files,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {"op1_chat_format": chat.OP1_SQL}

@@ -103,9 +103,9 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, label): a bounded number of labelled rows; the labels, so bounded, go to the tasks that read the texts."""
     chosen = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    # Copies share the least hash of their words more often than not; one of them is enough to learn from.
-    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
-    least = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
+    # Copies share the least hash of their long words more often than not; one of them is enough to learn from.
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w) > 7)
+    least = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     return rows.withColumn("key", F.struct(least, "label")).groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
