@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, quality, toxicity
+from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_files": frames.op6_token_files,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_ngrams": ngrams.op9_ngrams,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {"op1_chat_format": chat.OP1_SQL}
