@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, toxicity
+from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, suffixes, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_quality": quality.op2_quality,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_minhash": minhash.op4_minhash,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_token_files": frames.op6_token_files,
