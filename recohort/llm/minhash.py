@@ -7,8 +7,9 @@ the minima are packed into a signature; runs of whole minima are the keys of ban
 2. In each band bucket all classes are compared with the least one. The share of equal lanes, corrected for lanes that are
    equal by chance, estimates the similarity by counting bits; only unlikely pairs are left out, and the rest is confirmed
    on the full sets. Links make components.
-3. Buckets that still hold several components are cut into blocks of bounded size, and all pairs of blocks are compared by
-   their signatures inside tasks; only pairs of different components that are likely go on, and are confirmed in the same way.
+3. Buckets that still hold several components are cut into blocks of bounded size, and pairs of blocks are compared inside
+   tasks: by their signatures and, where different components are likely to be linked, on the full sets. Only links go on, no
+   more of them than join the components.
 
 So no bucket is capped, none is written out as pairs, and every candidate pair is either confirmed, refused on its full
 sets, unlikely by SLACK standard errors and more, or within one component already.
@@ -37,7 +38,8 @@ MINIMA, BITS = BANDS * ROWS, 2
 SLACK = 6.0
 #: Similarity of a link: PERCENT * union <= 100 * intersection.
 PERCENT = 75
-BLOCK = 1024
+#: Bounds of a block of a bucket: rows and shingles.
+CELL_ROWS, CELL_SHINGLES = 4096, 2_000_000
 #: Up to this many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -140,12 +142,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["a", "b"])
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with the ids, written down."""
+    wanted = pin(ids, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi"), "wanted-texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids that are links by the full sets of their texts."""
-    wanted = pin(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    count = wanted.count()
-    few = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
-    texts = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi"), "wanted-texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
@@ -175,54 +181,126 @@ def components(links: DataFrame) -> DataFrame:
     return members.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, node, component, signature), those of a key and pair of blocks together: likely pairs."""
-    held: list = []
-    held_key = None
-
-    def pairs():
-        side = np.array([h[0] for h in held])
-        node, part = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
-        sign = np.array([h[3] for h in held], np.int64).view(np.uint64)
-        lanes = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)),) * 2
-        for at in range(0, len(left), 128):
-            x = sign[left[at:at + 128], None, :] ^ sign[None, right, :]
-            y = x.copy()
-            for bit in range(1, BITS):
-                y |= x >> np.uint64(bit)
-            equal = 1 - np.bitwise_count(y & lanes).sum(axis=2) / MINIMA
-            chance = 1 / (1 << BITS)
-            good = (equal - chance) / (1 - chance) >= LIKELY
-            good &= part[left[at:at + 128], None] != part[None, right]
-            p, q = np.nonzero(good)
-            p, q = node[left[at:at + 128]][p], node[right][q]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (a, b) of sets: bits of shingles that several sets have, counted in columns."""
+    value = np.concatenate(sets)
+    names, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = count > 1
+    numbers = np.cumsum(several) - 1
+    keep = several[column]
+    row, column = row[keep], numbers[column[keep]]
+    out = np.zeros(len(a), np.int64)
+    step = 1 << 15
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for begin in range(0, int(several.sum()), step):
+        low, high = np.searchsorted(column, (begin, begin + step))
+        bits = np.zeros((len(sets), step // 8), np.uint8)
+        own, bit = row[low:high], column[low:high] - begin
+        np.bitwise_or.at(bits, (own, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        for at in range(0, len(a), 4096):
+            out[at:at + 4096] += np.bitwise_count(words[a[at:at + 4096]] & words[b[at:at + 4096]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _links_between(band_key: int, side: np.ndarray, node: np.ndarray, part: np.ndarray, sign: np.ndarray, bands: np.ndarray, texts: pa.Array) -> list[tuple[int, int]]:
+    """Links between components in one cell of a bucket, no more than join them."""
+    lanes = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)),) * 2
+    band = int(np.flatnonzero(bands[0] == band_key)[0])
+    chance = 1 / (1 << BITS)
+    found = []
+    for at in range(0, len(left), 64):
+        some = left[at:at + 64]
+        x = sign[some, None, :] ^ sign[None, right, :]
+        y = x.copy()
+        for bit in range(1, BITS):
+            y |= x >> np.uint64(bit)
+        equal = 1 - np.bitwise_count(y & lanes).sum(axis=2) / MINIMA
+        good = ((equal - chance) / (1 - chance) >= LIKELY) & (part[some, None] != part[None, right])
+        p, q = np.nonzero(good)
+        p, q = some[p], right[q]
+        # A pair that meets in several bands is looked at in the first of them, and once.
+        mine = (bands[p] == bands[q]).argmax(axis=1) == band
+        if not side.any():
+            mine &= p < q
+        found.append(np.stack([p[mine], q[mine]]))
+    p, q = np.concatenate(found, axis=1)
+    if not len(p):
+        return []
+    used, number = np.unique(np.concatenate([p, q]), return_inverse=True)
+    a, b = number[:len(p)], number[len(p):]
+    chunk = next(chunks(iter([pa.RecordBatch.from_arrays([texts.take(pa.array(used))], names=["text"])]), "text", 1 << 62))
+    value, before = shingles(chunk)
+    sets = np.split(value, before[1:-1])
+    size = np.diff(before)
+    both = _shared(sets, a, b)
+    linked = 100 * both >= PERCENT * (size[a] + size[b] - both)
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for k, m in zip(p[linked].tolist(), q[linked].tolist(), strict=True):
+        u, v = top(int(part[k])), top(int(part[m]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((int(node[k]), int(node[m])))
+    return out
+
+
+def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, node, component, signature, bands, text), those of a cell (key, i, j) together: links."""
+    held: list[pa.RecordBatch] = []
+
+    def cell():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        flat = lambda n: np.asarray(rows[n].combine_chunks().flatten() if rows[n].num_chunks else [], np.int64).reshape(rows.num_rows, -1)
+        links = []
+        if rows.num_rows > 1:
+            links = _links_between(rows["key"][0].as_py(), *(rows[n].to_numpy() for n in ("side", "node", "component")),
+                                   flat("signature").view(np.uint64), flat("bands"), rows["text"].combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    last = None
     for batch in batches:
-        for key, i, j, side, node, part, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, i, j) != held_key:
-                if held:
-                    yield from pairs()
-                held, held_key = [], (key, i, j)
-            held.append((side, node, part, sign))
+        key, i, j = (batch.column(k).to_numpy() for k in range(3))
+        begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+            own = (key[a], i[a], j[a])
+            if held and own != last:
+                yield cell()
+            held.append(batch.slice(a, b - a))
+            last = own
     if held:
-        yield from pairs()
+        yield cell()
+
 
+def _left_over(keyed: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components in buckets that hold several. keyed: (key, node) of buckets with more than one class.
 
-def _left_over(keyed: DataFrame, parts: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a bucket. keyed: (key, node) of buckets with more than one class."""
+    A large bucket is cut into blocks, and each pair of blocks is a cell, so a cell is bounded in rows and in shingles. Its
+    pairs are compared in its task on signatures and, where likely, on the full sets; no pair leaves it but links.
+    """
     named = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = named.join(mixed.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A class of block k goes to the pairs of blocks (i, k) with i <= k and (k, j) with k < j.
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = named.join(mixed.select("key"), "key", "left_semi").join(heads.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    sized = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("n_shingles") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A class of block k goes to the cells (i, k) with i <= k and (k, j) with k < j.
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), (x < F.col("own")).cast("int").alias("side")))
-    rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.*", "node", "component")
-    rows = rows.join(signed.select(F.col("doc_id").alias("node"), "signature"), "node")
-    rows = rows.select("key", "i", "j", "side", "node", "component", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_likely_pairs, "a long, b long").where("a < b").distinct()
+    rows = pin(rows.withColumn("cell", F.explode(cells)).select("key", "cell.*", "node", "component"), "cells")
+    full = texts_of(rows.select(F.col("node").alias("doc_id")).distinct(), docs).join(heads.select("doc_id", "signature", "bands"), "doc_id")
+    rows = rows.join(full.withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.select("key", "i", "j", "side", "node", "component", "signature", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_link_cells, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,8 +318,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pin(pairs.where(similarity(F.col("sa"), F.col("sb")) >= LIKELY).select("a", "b"), "pairs")
     links = pin(confirm(pairs, docs), "links")
     parts = components(links)
-    more = pin(_left_over(keyed.select("key", "node"), parts, signed).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    parts = components(links.union(confirm(more, docs)))
+    unique = heads.select("doc_id", "n_shingles", "signature", "bands").dropDuplicates(["doc_id"])
+    parts = components(links.union(_left_over(keyed.select("key", "node"), parts, unique, docs)))
     found = named.join(parts, named["class"] == parts["node"], "left")
     component = F.coalesce("component", "class")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
