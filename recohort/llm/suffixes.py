@@ -48,7 +48,7 @@ SPAN, SEED = 50, 24
 PLACES = SPAN - SEED + 1
 HALF = SEED + PLACES // 2
 #: Bytes of texts in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
