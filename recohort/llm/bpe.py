@@ -27,7 +27,7 @@ from recohort.llm.text import each_range
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANKS_MEET = regex.compile(r"\s\s|^\s|\s$")
 #: Pieces of texts a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Characters encoded at a time.
 SLICE_CHARS = 1 << 20
 

@@ -39,7 +39,7 @@ SLACK = 6.0
 #: Similarity of a link: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Bounds of a block of a bucket: rows and shingles.
-CELL_ROWS, CELL_SHINGLES = 4096, 2_000_000
+CELL_ROWS, CELL_SHINGLES = 4096, 1_000_000
 #: Up to this many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -123,23 +123,21 @@ LIKELY = PERCENT / 100 - SLACK * 0.046
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text_a, text_b): the pairs whose full sets are similar enough."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 64):
-            part = batch.slice(begin, 64)
-            sets = []
-            for name in ("text_a", "text_b"):
-                some = [shingles(c) for c in chunks(iter([part]), name, 1 << 62)]
-                sets.append(some[0])
-            (va, na), (vb, nb) = sets
-            row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(n)) for n in (na, nb)])
-            value = np.concatenate([va, vb])
-            order = np.argsort(value, kind="stable")
-            order = order[np.argsort(row[order], kind="stable")]
-            value, row = value[order], row[order]
-            same = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
-            both = np.bincount(row[1:][same], minlength=part.num_rows)
-            union = np.diff(na) + np.diff(nb) - both
-            linked = (100 * both >= PERCENT * union) & (both > 0)
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["a", "b"])
+        # Cut by the longer texts of the pairs, so that a few very long ones do not meet in one piece.
+        for cut in chunks(iter([batch]), "text_a"):
+            for piece in chunks(iter([cut.batch]), "text_b"):
+                part = piece.batch
+                (va, na), (vb, nb) = (shingles(next(chunks(iter([part]), name, 1 << 62))) for name in ("text_a", "text_b"))
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(n)) for n in (na, nb)])
+                value = np.concatenate([va, vb])
+                order = np.argsort(value, kind="stable")
+                order = order[np.argsort(row[order], kind="stable")]
+                value, row = value[order], row[order]
+                same = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
+                both = np.bincount(row[1:][same], minlength=part.num_rows)
+                union = np.diff(na) + np.diff(nb) - both
+                linked = (100 * both >= PERCENT * union) & (both > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["a", "b"])
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -232,10 +230,11 @@ def _links_between(band_key: int, side: np.ndarray, node: np.ndarray, part: np.n
         return []
     used, number = np.unique(np.concatenate([p, q]), return_inverse=True)
     a, b = number[:len(p)], number[len(p):]
-    chunk = next(chunks(iter([pa.RecordBatch.from_arrays([texts.take(pa.array(used))], names=["text"])]), "text", 1 << 62))
-    value, before = shingles(chunk)
-    sets = np.split(value, before[1:-1])
-    size = np.diff(before)
+    sets: list[np.ndarray] = []
+    for chunk in chunks(iter([pa.RecordBatch.from_arrays([texts.take(pa.array(used))], names=["text"])])):
+        value, before = shingles(chunk)
+        sets += np.split(value, before[1:-1])
+    size = np.array([len(s) for s in sets])
     both = _shared(sets, a, b)
     linked = 100 * both >= PERCENT * (size[a] + size[b] - both)
     root: dict[int, int] = {}

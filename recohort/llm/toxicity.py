@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 12_000
 MAX_TERMS = 3_000
 MAX_PHRASES = 1_000
+#: Terms a task counts before it passes them on to be added up.
+HELD_TERMS = 150_000
 #: A term must be in this share of the toxic rows, and so much more often there than elsewhere.
 MIN_SHARE, MIN_ROWS, MIN_ODDS = 0.015, 4, 3.0
 #: Lengths of beginnings of words that can be terms.
@@ -111,14 +113,21 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        every = list(toxic.keys() | clean.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[t] for t in every], pa.int64()), pa.array([clean[t] for t in every], pa.int64())],
+                                         names=["term", "toxic", "clean"])
+        toxic.clear()
+        clean.clear()
+        return out
+
     for batch in batches:
         for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             (toxic if label else clean).update(terms_of(fold(text)))
-    every = list(toxic.keys() | clean.keys())
-    for at in range(0, len(every), 50_000):
-        some = every[at:at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([toxic[t] for t in some], pa.int64()), pa.array([clean[t] for t in some], pa.int64())],
-                                         names=["term", "toxic", "clean"])
+            if len(clean) + len(toxic) > HELD_TERMS:
+                yield counted()
+    yield counted()
 
 
 def _log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
