@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recohort.llm.text import each_range
+from recohort.llm.text import each_range, small_batches
 
 #: How the vocabulary's words are cut out of a text (fixed value of byte-level BPE).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -214,6 +214,7 @@ def encode_documents(docs: DataFrame, path: str, ids: str = "ids", decoded: str
 
     A column of docs with one of these names is replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(ids, *([decoded] if decoded else []))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()),
                            *([T.StructField(decoded, T.StringType())] if decoded else [])])
@@ -253,6 +254,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 begin += len(some)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

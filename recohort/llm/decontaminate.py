@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recohort.llm.text import LETTERS, Chunk, chunks, each_range
+from recohort.llm.text import LETTERS, Chunk, chunks, each_range, small_batches
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -225,6 +225,7 @@ def _search(docs: DataFrame, windows: Windows) -> DataFrame:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """All columns of docs, with n_words, n_hit, spans (merged, of bytes of the text) and items (ids as sorted strings)."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recohort.llm.bpe import slices, vocabulary
+from recohort.llm.text import small_batches
 from recohort.session import new_folder, pin
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -181,6 +182,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(some)), pa.array(found, pa.binary())], names=["doc_id", "ids"])
                 begin += len(some)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 

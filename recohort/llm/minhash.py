@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix
+from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix, small_batches
 from recohort.session import pin
 
 SHINGLE = 5
@@ -304,6 +304,7 @@ def _left_over(keyed: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataF
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     every = pin(sign(docs), "signatures")
     classes = every.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("class"))
     named = pin(every.join(classes, ["name_a", "name_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class"), "signature", "bands"), "classes")

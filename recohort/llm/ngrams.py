@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recohort.llm.frames import open_folder
-from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix
+from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix, small_batches
 from recohort.llm.toxicity import remainder
 from recohort.session import new_folder, pin
 
@@ -306,6 +306,7 @@ class Model:
 def train(docs: DataFrame, buckets: int) -> Model:
     """The model of the texts of docs; its files lie in the shared folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_folder(spark, "ngrams")
     parts = docs.select("text").mapInArrow(_counter(buckets), "kind string, bucket int, piece binary")
     merged = parts.groupBy("kind", "bucket").applyInPandas(_merge_parts(folder, buckets), "kind string, bucket int, piece binary")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix
+from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix, small_batches
 from recohort.llm.toxicity import remainder
 
 BUCKETS, DIMS, NONZERO = 4096, 64, 6
@@ -172,6 +172,7 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Network]:
     """Word vectors from all docs, and the network from a bounded number of labels (doc_id, label 0 or 1)."""
+    small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     chosen = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").select("label", "text")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recohort.llm.text import CHUNK_BYTES, Chunk, chunks, each_range
+from recohort.llm.text import CHUNK_BYTES, Chunk, chunks, each_range, small_batches
 from recohort.session import pin
 
 SPAN, SEED = 50, 24
@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     digest: instead (doc_id, n_bytes, n_removed, n_spans, kept_sha256).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, buckets)
     message = "bucket int, block long, n long, piece binary"

@@ -22,6 +22,14 @@ NOT_SPACE = ~SPACES
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+
+
+def small_batches(spark) -> None:
+    """Lets Spark hand texts to Python in batches of some megabytes, however long they are, instead of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recohort.llm.text import small_batches
+
 MAX_LABELLED = 12_000
 MAX_TERMS = 3_000
 MAX_PHRASES = 1_000
@@ -151,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Lexicon, exception phrases and curve, learnt from labels (doc_id, label 0 or 1)."""
     from recohort.session import pin
 
+    small_batches(docs.sparkSession)
     sample = pin(_sample(docs, labels, max_labelled), "toxic-sample")
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
