@@ -42,7 +42,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    # Written down between: two Python operators in one stage would hold twice the workers.
+    found = pin(decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "hits")
     return _with_length(decontaminate.cut_spans(found).select(*docs.columns))
 
 

@@ -39,7 +39,7 @@ SLACK = 6.0
 #: Similarity of a link: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Bounds of a block of a bucket: rows and shingles.
-CELL_ROWS, CELL_SHINGLES = 4096, 1_000_000
+CELL_ROWS, CELL_SHINGLES = 4096, 500_000
 #: Up to this many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -210,8 +210,8 @@ def _links_between(band_key: int, side: np.ndarray, node: np.ndarray, part: np.n
     band = int(np.flatnonzero(bands[0] == band_key)[0])
     chance = 1 / (1 << BITS)
     found = []
-    for at in range(0, len(left), 64):
-        some = left[at:at + 64]
+    for at in range(0, len(left), 8):
+        some = left[at:at + 8]
         x = sign[some, None, :] ^ sign[None, right, :]
         y = x.copy()
         for bit in range(1, BITS):
