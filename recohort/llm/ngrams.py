@@ -92,7 +92,7 @@ def unpacked(pieces, *types: str) -> list[np.ndarray]:
 def _parts(kind: str, bucket: np.ndarray, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     numbers, begins = np.unique(bucket[order], return_index=True)
-    ends = np.append(begins[1:], len(bucket))
+    ends = np.append(begins[1:], len(bucket))[:len(begins)]
     return [(kind, int(k), packed(*(c[order[a:b]] for c in columns))) for k, a, b in zip(numbers, begins, ends, strict=True)]
 
 
@@ -268,7 +268,7 @@ class Model:
         out = [np.zeros(len(names)) for _ in columns]
         order = np.argsort(bucket, kind="stable")
         numbers, begins = np.unique(bucket[order], return_index=True)
-        for k, a, b in zip(numbers, begins, np.append(begins[1:], len(bucket)), strict=True):
+        for k, a, b in zip(numbers, begins, np.append(begins[1:], len(bucket))[:len(begins)], strict=True):
             arrays = self.opened(kind, int(k))
             if arrays is not None:
                 some = order[a:b]

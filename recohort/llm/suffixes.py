@@ -48,7 +48,7 @@ SPAN, SEED = 50, 24
 PLACES = SPAN - SEED + 1
 HALF = SEED + PLACES // 2
 #: Bytes of texts in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -117,7 +117,7 @@ class Block:
         piece = begin // step
         order = np.argsort(piece, kind="stable")
         numbers, starts = np.unique(piece[order], return_index=True)
-        for k, a, b in zip(numbers.tolist(), starts, np.append(starts[1:], len(order)), strict=True):
+        for k, a, b in zip(numbers.tolist(), starts, np.append(starts[1:], len(order))[:len(starts)], strict=True):
             some = order[a:b]
             base = k * step
             data = self.data[base:base + step + 2 * SPAN]
@@ -239,7 +239,7 @@ def _send(block: int, names: np.ndarray, buckets: int, *columns: np.ndarray) ->
     order = np.argsort(bucket, kind="stable")
     numbers, begins = np.unique(bucket[order], return_index=True)
     rows = []
-    for k, a, b in zip(numbers.tolist(), begins, np.append(begins[1:], len(order)), strict=True):
+    for k, a, b in zip(numbers.tolist(), begins, np.append(begins[1:], len(order))[:len(begins)], strict=True):
         some = order[a:b]
         rows.append((k, block, len(some), _pack(*(np.ascontiguousarray(c[some]) for c in columns))))
     cells = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -252,7 +252,7 @@ def _received(names: np.ndarray, buckets: int, replies: list | None, bits: int)
     bucket = (names % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     numbers, begins = np.unique(bucket[order], return_index=True)
-    spans = dict(zip(numbers.tolist(), zip(begins.tolist(), np.append(begins[1:], len(order)).tolist(), strict=True), strict=True))
+    spans = dict(zip(numbers.tolist(), zip(begins.tolist(), np.append(begins[1:], len(order))[:len(begins)].tolist(), strict=True), strict=True))
     for reply in replies or []:
         a, b = spans[reply["bucket"]]
         out[:, order[a:b]] = np.unpackbits(np.frombuffer(reply["bits"], np.uint8), count=bits * (b - a)).reshape(bits, b - a)
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, buckets)
     message = "bucket int, block long, n long, piece binary"
 
