@@ -42,7 +42,7 @@ def is_finite(number: Column) -> Column:
 def is_close(left: Column, right: Column, tolerance: float) -> Column:
     """Relative or absolute closeness with the same tolerance."""
     gap = F.abs(left - right)
-    return (left == right) | (gap <= F.greatest(F.lit(tolerance) * F.greatest(F.abs(left), F.abs(right)),
+    return (left == right) | is_finite(left) & is_finite(right) & (gap <= F.greatest(F.lit(tolerance) * F.greatest(F.abs(left), F.abs(right)),
                                                 F.lit(tolerance)))
 
 

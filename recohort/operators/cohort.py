@@ -176,9 +176,9 @@ def history_groups(profile: DataFrame, campaign: Campaign, history_complete: boo
             .withColumn("rate", rate(F.col("r30_n"), F.col("cohort_size"))))
 
 
-def post_weeks(campaign: Campaign, coverage_end: datetime, most: int = 8) -> int:
+def post_weeks(campaign: Campaign, coverage_end: datetime) -> int:
     """Number of whole post-campaign weeks the coverage allows."""
-    return max(0, min(most, (coverage_end - campaign.anchor).days // 7))
+    return max(0, (coverage_end - campaign.anchor).days // 7)
 
 
 def _returns_by_week(trades: DataFrame, campaign: Campaign, weeks: int) -> DataFrame:
@@ -190,13 +190,13 @@ def _returns_by_week(trades: DataFrame, campaign: Campaign, weeks: int) -> DataF
 
 
 def _week_grid(sized: DataFrame, weeks: int) -> DataFrame:
-    return sized.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+    # sequence(1, 0) would count down.
+    return sized.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(weeks)))).filter("week > 0")
 
 
-def weekly_repeat(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime,
-                  most: int = 8) -> DataFrame:
+def weekly_repeat(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime) -> DataFrame:
     """Distinct returning accounts in each post week over the fixed denominator, zeros kept."""
-    weeks = post_weeks(campaign, coverage_end, most)
+    weeks = post_weeks(campaign, coverage_end)
     hits = (_returns_by_week(trades, campaign, weeks).join(cohort.select("account"), "account", "left_semi")
             .groupBy("week").agg(F.count("*").alias("n")))
     grid = _week_grid(cohort.agg(F.count("*").alias("cohort_size")), weeks)
@@ -207,10 +207,9 @@ def weekly_repeat(trades: DataFrame, cohort: DataFrame, campaign: Campaign, cove
             .withColumn("rate", rate(F.col("n"), F.col("cohort_size"))))
 
 
-def cohort_heatmap(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime,
-                   most: int = 8) -> DataFrame:
+def cohort_heatmap(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime) -> DataFrame:
     """Entry week by post week: distinct returners and rate, zero cells kept."""
-    weeks = post_weeks(campaign, coverage_end, most)
+    weeks = post_weeks(campaign, coverage_end)
     hits = (_returns_by_week(trades, campaign, weeks).join(cohort.select("account", "entry_week"), "account")
             .groupBy("entry_week", "week").agg(F.count("*").alias("n")))
     grid = _week_grid(cohort.groupBy("entry_week").agg(F.count("*").alias("size")), weeks)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +14,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_local_folder: list[str] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only for a local master without it."""
+    """The folder named by spark.checkpoint.dir; on a local master without it, one beside the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        if not _local_folder:
-            _local_folder.append(tempfile.mkdtemp(prefix="recohort-"))
-        configured = _local_folder[0]
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return f"{configured.rstrip('/')}/recohort/{spark.sparkContext.applicationId}"
 
 

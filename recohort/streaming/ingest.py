@@ -1,8 +1,8 @@
 """Incremental ingest: new part files once, event keys de-duplicated, daily counts kept complete.
 
-The stream drops repeats inside the watermark, so its state stays bounded. Each micro-batch writes
-its own folder (a retry overwrites it), and the table of accepted events is de-duplicated once more
-by key, so a repeat older than the watermark cannot count twice.
+No event is dropped for its age: parts may arrive in any order and in any number of batches. Each
+micro-batch writes its own folder without repeats inside it (a retry overwrites it), the stream keeps
+no state, and the table of accepted events is de-duplicated by key across batches when it is read.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ def new_parts(spark: SparkSession, path: str, schema, file_format: str = "parque
     return reader.load(path)
 
 
-def incremental_ingest(parts: DataFrame, key: list[str], time: str, accepted: str, checkpoint: str,
-                       delay: str = "7 days") -> None:
-    """Process all files not seen yet, then stop; run again to pick up later files."""
-    # The watermark needs a zoned type; the stored column keeps its own.
-    marked = (parts.withColumn("_event_time", F.col(time).cast("timestamp"))
-              .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(key).drop("_event_time"))
+def _once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of repeated keys the smallest row."""
+    others = [name for name in rows.columns if name not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*others)).alias("r")).select(*key, "r.*")
+
 
+def incremental_ingest(parts: DataFrame, key: list[str], accepted: str, checkpoint: str) -> None:
+    """Process all files not seen yet, then stop; run again to pick up later files."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+        _once(batch, key).write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
 
-    query = (marked.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    query = (parts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
 
@@ -37,8 +38,7 @@ def incremental_ingest(parts: DataFrame, key: list[str], time: str, accepted: st
 def accepted_events(spark: SparkSession, accepted: str, key: list[str], schema) -> DataFrame:
     """Every accepted event once: of repeated keys the smallest row stays."""
     rows = spark.read.schema(schema).parquet(f"{accepted}/batch=*")
-    others = [name for name in rows.columns if name not in key]
-    return rows.groupBy(*key).agg(F.min(F.struct(*others)).alias("r")).select(*key, "r.*")
+    return _once(rows, key)
 
 
 def daily_counts(events: DataFrame, time: str) -> DataFrame:

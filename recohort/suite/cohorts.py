@@ -134,7 +134,7 @@ def _history_groups(spark, d):
 _WEEKLY_SQL = t.ORDER_CASE_SQL + """,
 hits AS (SELECT DISTINCT f.account, p.entry_week, CAST(date_diff('day', TIMESTAMP '1998-01-01', f.ts) // 7 + 1 AS BIGINT) AS week
          FROM flagged f JOIN profile p ON p.account = f.account
-         WHERE f.opened AND f.ts >= TIMESTAMP '1998-01-01' AND f.ts < TIMESTAMP '1998-02-26')"""
+         WHERE f.opened AND f.ts >= TIMESTAMP '1998-01-01' AND f.ts < TIMESTAMP '2001-08-02')"""
 
 
 @query("weekly_repeat", _WEEKLY_SQL + """
@@ -142,7 +142,7 @@ SELECT w.week, TIMESTAMP '1998-01-01' + to_days(CAST((w.week - 1) * 7 AS INTEGER
        TIMESTAMP '1998-01-01' + to_days(CAST(w.week * 7 AS INTEGER)) AS "end",
        (SELECT count(*) FROM hits h WHERE h.week = w.week) AS n, (SELECT count(*) FROM profile) AS cohort_size,
        round((SELECT count(*) FROM hits h WHERE h.week = w.week)::DOUBLE / nullif((SELECT count(*) FROM profile), 0), 9) AS rate
-FROM (SELECT CAST(range AS BIGINT) AS week FROM range(1, 9)) w""")
+FROM (SELECT CAST(range AS BIGINT) AS week FROM range(1, 188)) w""")
 def _weekly(spark, d):
     trades = t.order_trades(spark, d)
     out = co.weekly_repeat(trades, co.campaign_cohort(trades, C), C, t.ORDER_COVERAGE[1])
@@ -152,7 +152,7 @@ def _weekly(spark, d):
 @query("cohort_heatmap", _WEEKLY_SQL + """
 SELECT g.entry_week, g.size, w.week, count(h.account) AS n, round(count(h.account)::DOUBLE / g.size, 9) AS rate
 FROM (SELECT entry_week, count(*) AS size FROM profile GROUP BY 1) g
-JOIN (SELECT CAST(range AS BIGINT) AS week FROM range(1, 9)) w ON TRUE
+JOIN (SELECT CAST(range AS BIGINT) AS week FROM range(1, 188)) w ON TRUE
 LEFT JOIN hits h ON h.entry_week = g.entry_week AND h.week = w.week GROUP BY 1, 2, 3""")
 def _heatmap(spark, d):
     trades = t.order_trades(spark, d)

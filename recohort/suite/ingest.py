@@ -237,7 +237,7 @@ def _stream(spark, d):
     schema = t.table(spark, d, "events").schema
     accepted, state = new_folder(spark, "accepted"), new_folder(spark, "stream")
     parts = stream.new_parts(spark, d, schema, pattern="events*.parquet")
-    stream.incremental_ingest(parts, ["event_id"], "ts", accepted, state)
+    stream.incremental_ingest(parts, ["event_id"], accepted, state)
     return stream.daily_counts(stream.accepted_events(spark, accepted, ["event_id"], schema), "ts")
 
 

@@ -18,7 +18,7 @@ def test_incremental_ingest(spark, tmp_path):
     part = spark.createDataFrame([(i, first + timedelta(hours=i)) for i in range(48)], "id long, ts timestamp_ntz")
 
     def run():
-        ingest.incremental_ingest(ingest.new_parts(spark, landed, part.schema), ["id"], "ts", accepted, state)
+        ingest.incremental_ingest(ingest.new_parts(spark, landed, part.schema), ["id"], accepted, state)
         events = ingest.accepted_events(spark, accepted, ["id"], part.schema)
         return {str(r.day): r.rows for r in ingest.daily_counts(events, "ts").collect()}
 
@@ -31,6 +31,21 @@ def test_incremental_ingest(spark, tmp_path):
     assert run() == {"2024-01-01": 24, "2024-01-02": 24, "2024-01-03": 24}
 
 
+@pytest.mark.parametrize("runs", [1, 3])
+def test_parts_out_of_order_lose_nothing(spark, tmp_path, runs):
+    landed, accepted, state = str(tmp_path / "landed"), new_folder(spark, "accepted"), new_folder(spark, "state")
+    schema = "id long, ts timestamp_ntz"
+    for k, first in enumerate((datetime(2024, 3, 1), datetime(2024, 3, 2), datetime(2024, 1, 1))):
+        part = spark.createDataFrame([(10 * k + i, first + timedelta(minutes=i)) for i in range(10)], schema)
+        part.coalesce(1).write.mode("append").parquet(landed)
+        if runs == 3 or k == 2:
+            parts = ingest.new_parts(spark, landed, part.schema, files_per_batch=1)
+            ingest.incremental_ingest(parts, ["id"], accepted, state)
+    events = ingest.accepted_events(spark, accepted, ["id"], part.schema)
+    assert {str(r.day): r.rows for r in ingest.daily_counts(events, "ts").collect()} == {
+        "2024-01-01": 10, "2024-03-01": 10, "2024-03-02": 10}
+
+
 @pytest.fixture(scope="module")
 def database():
     db = connect(FOLDER)
