@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recohort.llm.text import small_batches
+
 PROJECTIONS = 48
 #: Collisions on this share of the lines make a candidate.
 THRESHOLD = 0.55
@@ -131,6 +133,8 @@ def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, count: int = 5, id_name: str = "vec_id", vector_name: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found of vectors for each row of queries."""
+    spark = vectors.sparkSession
+    small_batches(spark)
     data = _pack(_clean(vectors, id_name, vector_name), BLOCK_VECTORS, "data")
     asked = _pack(_clean(queries, id_name, vector_name), BLOCK_QUERIES, "query")
 
@@ -148,19 +152,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, count: int = 5, id_name: str
                         held.append(some)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
 
-    # Few large rows on either side: each block of queries is set beside each block of vectors of its length.
-    pairs = data.repartition("data_ids").join(F.broadcast(asked), "dims") if _small(queries) else data.join(asked, "dims")
+    # Few large rows on either side: each block of queries is set beside each block of vectors of its length. Too many queries
+    # for a broadcast go, as blocks, to each of the places to which the blocks of vectors are dealt.
+    if (queries.agg(F.sum(F.array_size(vector_name))).first()[0] or 0) <= BROADCAST_NUMBERS:
+        pairs = data.repartition("data_ids").join(F.broadcast(asked), "dims")
+    else:
+        places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = data.withColumn("place", F.pmod(F.xxhash64("data_ids"), F.lit(places)).cast("int"))
+        spread = asked.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+        pairs = dealt.join(spread.hint("merge"), ["dims", "place"])
     met = pairs.select("dims", "data_ids", "data_vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
 
 
-#: Queries up to this number are broadcast (at 64 numbers each, 10 MB); more are joined by a shuffle of both sides' blocks.
-BROADCAST_QUERIES = 20_000
-
-
-def _small(queries: DataFrame) -> bool:
-    return queries.count() <= BROADCAST_QUERIES
+#: Queries whose vectors hold at most this many numbers (10 MB) are broadcast.
+BROADCAST_NUMBERS = 1_280_000
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -149,6 +149,19 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 5 * len(found)
 
 
+def test_neighbours_of_many_queries(spark, monkeypatch):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    broadcast = sorted(map(tuple, neighbours.op5_neighbours(spark, FOLDER).collect()))
+    monkeypatch.setattr(neighbours, "BROADCAST_NUMBERS", 0)
+    assert sorted(map(tuple, neighbours.op5_neighbours(spark, FOLDER).collect())) == broadcast
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    hard = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [2.0, 0.1]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0])],
+                                 "vec_id long, embedding array<double>")
+    found = neighbours.nearest(hard, hard.where("vec_id = 0")).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in found} == {(0, 3)}
+    assert neighbours.nearest(hard.limit(0), hard.limit(0)).count() == 0
+
+
 def test_classifiers_take_hard_rows(spark):
     docs = spark.createDataFrame(HARD, "doc_id long, text string")
     labels = spark.createDataFrame([(3, 1), (5, 0), (6, None), (1, 1)], "doc_id long, label int")
