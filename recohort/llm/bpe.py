@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recohort.llm.text import each_range, small_batches
+from recohort.llm.text import each_range, giving_back, small_batches
 
 #: How the vocabulary's words are cut out of a text (fixed value of byte-level BPE).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -234,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, ids: str = "ids", decoded: str
                     columns.append(pa.array([codec.decode(x).decode("utf-8") for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -256,7 +256,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary(name: str) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recohort.llm.text import LETTERS, Chunk, chunks, each_range, small_batches
+from recohort.llm.text import LETTERS, Chunk, chunks, each_range, giving_back, small_batches
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -220,7 +220,7 @@ def _search(docs: DataFrame, windows: Windows) -> DataFrame:
                 pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                 pa.array([sorted(s) for s in found], pa.list_(pa.string()))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -252,7 +252,7 @@ def cut_spans(docs: DataFrame) -> DataFrame:
                     texts[k] = b"".join(raw[at[i]:at[i + 1]] for i in range(0, len(at), 2)).decode("utf-8")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else get(n) for n in schema.names], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 

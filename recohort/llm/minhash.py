@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recohort.llm.text import NOT_SPACE, Chunk, chunks, mix, small_batches
+from recohort.llm.text import NOT_SPACE, Chunk, chunks, giving_back, mix, small_batches
 from recohort.session import pin
 
 SHINGLE = 5
@@ -100,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, name_a, name_b, signature, bands) of every document; the last two are null without shingles."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_signatures, "doc_id long, n_shingles long, name_a long, name_b long, signature array<long>, bands array<long>")
+    return rows.mapInArrow(giving_back(_signatures), "doc_id long, n_shingles long, name_a long, name_b long, signature array<long>, bands array<long>")
 
 
 def similarity(a, b):
@@ -152,7 +152,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(_confirm), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _left_over(keyed: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataF
     full = texts_of(rows.select(F.col("node").alias("doc_id")).distinct(), docs).join(heads.select("doc_id", "signature", "bands"), "doc_id")
     rows = rows.join(full.withColumnRenamed("doc_id", "node"), "node")
     rows = rows.select("key", "i", "j", "side", "node", "component", "signature", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_link_cells, "a long, b long").distinct()
+    return rows.mapInArrow(giving_back(_link_cells), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recohort.llm.text import CHUNK_BYTES, Chunk, chunks, each_range, small_batches
+from recohort.llm.text import CHUNK_BYTES, Chunk, chunks, each_range, giving_back, small_batches
 from recohort.session import pin
 
 SPAN, SEED = 50, 24
@@ -211,7 +211,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             yield block()
 
     name = f"recohort_blocks_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(run, "block long, payload binary")
+    packed = docs.mapInArrow(giving_back(run), "block long, payload binary")
     packed.write.bucketBy(buckets, "block").format("parquet").option("compression", "none").saveAsTable(name)
     return docs.sparkSession.table(name)
 
@@ -378,13 +378,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                 columns = [new if n == "text" else get(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    first = _judge(blocks.mapInArrow(send_reaches, message), ("u4", "u8", "i8"), _judge_reaches)
+    first = _judge(blocks.mapInArrow(giving_back(send_reaches), message), ("u4", "u8", "i8"), _judge_reaches)
     told = blocks.join(first.withColumnRenamed("replies", "first"), "block", "left")
-    second = _judge(told.mapInArrow(send_halves, message), ("u8", "u1"), _judge_halves)
+    second = _judge(told.mapInArrow(giving_back(send_halves), message), ("u8", "u1"), _judge_halves)
     told = told.join(second.withColumnRenamed("replies", "second"), "block", "left")
-    third = _judge(told.mapInArrow(send_strings, message), ("u8", "i8"), _judge_strings)
+    third = _judge(told.mapInArrow(giving_back(send_strings), message), ("u8", "i8"), _judge_strings)
     told = told.join(third.withColumnRenamed("replies", "third"), "block", "left")
-    return told.mapInArrow(finish, schema)
+    return told.mapInArrow(giving_back(finish), schema)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

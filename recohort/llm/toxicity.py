@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recohort.llm.text import small_batches
+from recohort.llm.text import giving_back, small_batches
 
 MAX_LABELLED = 12_000
 MAX_TERMS = 3_000
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return {}, [], [0.0, 0.0, 0.0, 30.0 if toxic else -30.0]
-    counts = sample.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(giving_back(_count_terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     kept = counts.where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * toxic)) & (odds >= MIN_ODDS))
     kept = kept.orderBy((odds * F.col("toxic")).desc(), "term").limit(MAX_TERMS)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([bad[t] for t in every], pa.int64()), pa.array([good[t] for t in every], pa.int64())],
                                          names=["phrase", "toxic", "clean"])
 
-    found = sample.mapInArrow(beside, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.mapInArrow(giving_back(beside), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = found.where("clean >= 2 and clean > toxic").orderBy(F.col("clean").desc(), "phrase").limit(MAX_PHRASES)
     phrases = [r["phrase"] for r in found.collect()]
     features = _measure(sample, weights, phrases).select("label", "heaviest", "total", "rate").toPandas().to_numpy(float)
@@ -206,7 +206,7 @@ def _measure(rows: DataFrame, weights: dict[str, float], phrases: list[str]) ->
             columns = [pa.array(c, pa.float64()) for c in zip(*values, strict=True)] if values else [pa.array([], pa.float64())] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[str], list[float]], name: str = "score") -> DataFrame:
