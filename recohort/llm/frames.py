@@ -170,15 +170,25 @@ class LibraryEncoder:
         return [np.array([i for w in some for i in known[w]] + self.end, np.uint32) for some in words]
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """The width of an id in bytes (2 where all ids fit, else 4) and the ids, little-endian."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+
+
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): ids of the whole text and the end id, as binary of little-endian unsigned 32-bit numbers."""
+    """(doc_id, ids): ids of the whole text and the end id, as binary: a byte for the width of an id, then the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(path)
         for batch in batches:
             begin = 0
             for some in slices(batch.column(1).to_pylist()):
-                found = [x.astype("<u4").tobytes() for x in encoder.encode(some)]
+                found = [_packed(x) for x in encoder.encode(some)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(some)), pa.array(found, pa.binary())], names=["doc_id", "ids"])
                 begin += len(some)
 
@@ -195,7 +205,7 @@ def write_files(encoded: DataFrame, folder: str, files: int) -> DataFrame:
     dealt = encoded.repartitionByRange(files, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     # The ranges are drawn anew for each plan, so the order is written down once, before totals are taken from it.
     dealt = pin(dealt.withColumn("file", F.spark_partition_id()), "ids")
-    totals = dealt.groupBy("file").agg(F.sum(F.length("ids") / 4).cast("long").alias("n"))
+    totals = dealt.groupBy("file").agg(F.sum(F.expr("(length(ids) - 1) div if(substring(ids, 1, 1) = X'02', 2, 4)")).alias("n"))
     first = totals.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_start"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +231,7 @@ def write_files(encoded: DataFrame, folder: str, files: int) -> DataFrame:
                     path = f"{place}/ids-{number:06d}-{uuid.uuid4().hex}.zst"
                     sink = system.open_output_stream(path, compression=None)
                     writer = FrameWriter(sink)
-                found = np.frombuffer(ids[k].as_py(), "<u4")
+                found = _unpacked(ids[k].as_py())
                 writer.add(doc_ids[k].as_py(), at, found)
                 at += len(found)
                 docs += 1
