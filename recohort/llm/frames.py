@@ -6,14 +6,16 @@ byte and a magic number. A reader takes the table from the end of the file and d
 frame holds whole documents:
 
     number of documents (uint32), width of an id in bytes (uint32), then for all documents doc_id (int64), whether it has
-    one (uint8), position of its first id in the whole corpus (int64), number of ids (int64), then the ids.
+    one (uint8), position of its first id in the file (int64), number of ids (int64), then the ids.
+
+The table of files, written beside them, gives each file's number and how many ids all files before it hold.
 
 Files are written by tasks into the shared folder under names of their own; a task that runs twice writes twice, and only
 the file that its committed row names is read. Documents are dealt to files by ranges of doc_id, so the order of the files
 is the order of the corpus. Only one row per file meets in one task.
 
-Defined results: a null text is empty and has only the end id; null doc_ids come first, equal ones in the order of their
-ids; an empty table gives no file and no row; other columns are ignored.
+Defined results: a null text is empty and has only the end id; null doc_ids come first, equal ones in the order of the hash
+of their text; an empty table gives no file and no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recohort.llm.bpe import slices, vocabulary
-from recohort.llm.text import small_batches
+from recohort.llm.text import each_range, small_batches
 from recohort.session import new_folder, pin
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -157,91 +160,88 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.end, self.remembered, self.known = [end_id], remembered, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.remembered:
-            self.known = {}
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({w for some in words for w in some}.difference(self.known))
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = found.ids
-        known = self.known
-        return [np.array([i for w in some for i in known[w]] + self.end, np.uint32) for some in words]
-
-
-def _packed(ids: np.ndarray) -> bytes:
-    """The width of an id in bytes (2 where all ids fit, else 4) and the ids, little-endian."""
-    width = 2 if ids.max(initial=0) < 1 << 16 else 4
-    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
-
+        self.end, self.remembered = np.array([end_id], np.uint32), remembered
+        self._forget()
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, *(np.array(i, np.uint32) for i in found)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(i) for i in found])])
 
-def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): ids of the whole text and the end id, as binary: a byte for the width of an id, then the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path)
-        for batch in batches:
-            begin = 0
-            for some in slices(batch.column(1).to_pylist()):
-                found = [_packed(x) for x in encoder.encode(some)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(some)), pa.array(found, pa.binary())], names=["doc_id", "ids"])
-                begin += len(some)
-
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def write_files(encoded: DataFrame, folder: str, files: int) -> DataFrame:
-    """Writes rows (doc_id, ids) in ascending doc_id order into at most so many files; returns one row per file.
-
-    encoded must be a written table: its rows are read twice, once to find the ranges and totals, once to be written.
-    Returns (file, first_start, path, n_docs, n_ids), ordered by file through its number.
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > self.remembered:
+            self._forget()
+        words: list[str] = []
+        ends = [0]
+        for text in texts:
+            words += text.replace("\n", " ").replace("\t", " ").split(" ")
+            ends.append(len(words))
+        new = list(set(words).difference(self.number))
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        lengths = self.starts[number + 1] - self.starts[number]
+        ids = self.ids[each_range(self.starts[number], lengths)]
+        at = np.concatenate([[0], np.cumsum(lengths)])[ends].tolist()
+        return [np.concatenate([ids[i:j], self.end]) for i, j in zip(at, at[1:], strict=False)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> LibraryEncoder:
+    """The encoder of a worker, which later tasks of the worker use on: at most `remembered` words are kept."""
+    return LibraryEncoder(path)
+
+
+_WRITTEN = pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+
+def write_files(docs: DataFrame, path: str, folder: str, files: int) -> DataFrame:
+    """Encodes the whole texts of docs with the vocabulary at path and writes them into at most so many files.
+
+    The texts are shuffled once, as they are; ids never are. A task encodes the documents of one range of doc_id in ascending
+    order and writes them as it goes, so it holds one frame. Rows of one doc_id are dealt by the hash of their text and
+    their number in the input, so that repeated rows do not meet in one task; texts themselves never serve as range bounds.
+    Returns (file, first_start, path, n_docs, n_ids), one row per file, in the order of the corpus by file.
     """
-    dealt = encoded.repartitionByRange(files, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    # The ranges are drawn anew for each plan, so the order is written down once, before totals are taken from it.
-    dealt = pin(dealt.withColumn("file", F.spark_partition_id()), "ids")
-    totals = dealt.groupBy("file").agg(F.sum(F.expr("(length(ids) - 1) div if(substring(ids, 1, 1) = X'02', 2, 4)")).alias("n"))
-    first = totals.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_start"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, place = open_folder(folder)
-        system.create_dir(place, recursive=True)
-        current, writer, sink, path, docs, at, begun = None, None, None, "", 0, 0, 0
-
-        def row():
-            writer.close()
-            sink.close()
-            return pa.RecordBatch.from_pylist([{"file": current, "first_start": begun, "path": path, "n_docs": docs, "n_ids": at - begun}],
-                                              schema=pa.schema([("file", pa.int32()), ("first_start", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-
+        writer, docs_written, at = None, 0, 0
         for batch in batches:
-            numbers, starts, doc_ids, ids = (batch.column(k) for k in range(4))
-            for k in range(batch.num_rows):
-                number = numbers[k].as_py()
-                if number != current:
-                    if writer:
-                        yield row()
-                    current, begun, docs = number, starts[k].as_py(), 0
-                    at = begun
-                    path = f"{place}/ids-{number:06d}-{uuid.uuid4().hex}.zst"
-                    sink = system.open_output_stream(path, compression=None)
-                    writer = FrameWriter(sink)
-                found = _unpacked(ids[k].as_py())
-                writer.add(doc_ids[k].as_py(), at, found)
-                at += len(found)
-                docs += 1
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                system, place = open_folder(folder)
+                system.create_dir(place, recursive=True)
+                number = batch.column(0)[0].as_py()
+                name = f"{place}/ids-{number:06d}-{uuid.uuid4().hex}.zst"
+                sink = system.open_output_stream(name, compression=None)
+                writer, encoder = FrameWriter(sink), _encoder(path)
+            doc_ids, begin = batch.column(1).to_pylist(), 0
+            for some in slices(batch.column(2).to_pylist()):
+                for doc_id, ids in zip(doc_ids[begin:begin + len(some)], encoder.encode(some), strict=True):
+                    writer.add(doc_id, at, ids)
+                    at += len(ids)
+                begin += len(some)
+            docs_written += begin
         if writer:
-            yield row()
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_pylist([{"file": number, "path": name, "n_docs": docs_written, "n_ids": at}], schema=_WRITTEN)
 
-    # One row per file is broadcast: bounded by the number of files, a parameter.
-    placed = dealt.join(F.broadcast(first), "file").select("file", "first_start", "doc_id", "ids")
-    placed = placed.repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    return pin(placed.mapInArrow(write, "file int, first_start long, path string, n_docs long, n_ids long"), "files")
+    small_batches(docs.sparkSession)
+    order = ["doc_id", "tie", "row"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("file"), "doc_id", "text")
+    written = pin(dealt.mapInArrow(write, "file int, path string, n_docs long, n_ids long"), "files")
+    # One row per file meets in one task and is broadcast: bounded by the number of files, a parameter.
+    before = F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    first = written.select("file", F.coalesce(before, F.lit(0)).alias("first_start"))
+    return written.join(F.broadcast(first), "file").select("file", "first_start", "path", "n_docs", "n_ids")
 
 
 def read_files(written: DataFrame, folder: str) -> DataFrame:
@@ -250,20 +250,19 @@ def read_files(written: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = open_folder(folder)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for first, path in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 with system.open_input_file(path) as source:
                     reader = FrameReader(source)
                     for number in range(len(reader)):
-                        rows = [(d, s, len(i), zlib.crc32(i.astype("<u4").tobytes())) for d, s, i in reader.frame(number)]
+                        rows = [(d, first + s, len(i), zlib.crc32(i.astype("<u4").tobytes())) for d, s, i in reader.frame(number)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
                                                          names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return written.select("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return written.select("first_start", "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = new_folder(spark, "token-files")
-    encoded = pin(encode_ids(docs, vocabulary("word_bpe_49k.json")), "encoded")
     files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_files(write_files(encoded, folder, files), folder)
+    return read_files(write_files(docs, vocabulary("word_bpe_49k.json"), folder, files), folder)
