@@ -43,7 +43,7 @@ CHECKSUMS = 0x80
 #: A frame is closed when it holds this many ids.
 FRAME_IDS = 1 << 17
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 END_ID = 1
 
 
