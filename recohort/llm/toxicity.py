@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
 Folding lower-cases, takes accents off, turns letters of other scripts that look like Latin ones into those, undoes digit
-and sign substitutions, and leaves words between single blanks. The lexicon is learnt: whole words and beginnings of words
+and sign substitutions, and leaves words between single blanks. '1', '!' and '|' stand for i and for l, so i and l are one
+letter here, in texts and in terms. Signs that end a word are punctuation, as are '|' and '!!' before one; one or two '$'
+at its end may also be letters ('as$'), so the word is there with and without them. The lexicon is learnt: whole words and beginnings of words
 that mark labelled toxic texts, weighted by their log odds. Where a word beside a hit makes it harmless more often than not
 among the labelled texts, the two words are an exception phrase, and the hit does not count. What the hits weigh, also in
 proportion to the length of the text, gives the probability through a logistic curve fitted to the same rows.
@@ -41,23 +43,30 @@ MIN_SHARE, MIN_ROWS, MIN_ODDS = 0.015, 4, 3.0
 STEMS = (4, 5, 6, 7)
 TOXIC_FROM = 0.3
 
-# Letters that look like the Latin letter below them, and signs written for letters.
+# Letters that look like the Latin letter below them, and signs written for letters; l is also i.
 LOOKALIKES = str.maketrans(
-    "авекмнорстухіјѕԁɡһαβγεικνορτυχωℓ013457@$!|€",
-    "abekmhopctyxijsdghabyeiknoptyxwloieastasile")
+    "авекмнорстухіјѕԁɡһαβγεικνορτυχωiℓ013457@$!|€",
+    "abekmhopctyxljsdghabyelknoptyxwlloleastaslle")
 _MARKS = {c: None for c in range(0x300, 0x370)} | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
-_FOLD = LOOKALIKES | _MARKS
 _ASCII_FOLD = bytes(LOOKALIKES.get(b, b) for b in range(128)) + bytes(range(128, 256))
 _GAPS = re.compile(r"[\W_]+")
+_MAYBE_S = re.compile(r"(?<![^\W_])(?<![!|$@€])((?:[^\W_]|[!|$@€])*[^\W_])(\$\$?)(?![^\W_]|[!|$@€])")
+_EDGES = re.compile(r"[!|$@€]++(?![^\W_])|(?<![^\W_])(?<![!|$@€])(?:\||!!)[!|]*+")
 
 
 def fold(text: str | None) -> str:
     """The folded words between single blanks, with a blank at both ends."""
     text = (text or "").lower()
-    if text.isascii():
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
+    if "$" in text:
+        text = _MAYBE_S.sub(lambda m: f"{m[1]} {m[1]}{'s' * len(m[2])}", text)
+    text = _EDGES.sub(" ", text)
+    if plain:
         text = text.encode("ascii").translate(_ASCII_FOLD).decode("ascii")
     else:
-        text = unicodedata.normalize("NFKD", text).translate(_FOLD)
+        text = text.translate(LOOKALIKES)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 

@@ -170,3 +170,12 @@ def test_classifiers_take_hard_rows(spark):
         assert len(found) == len(HARD) and all(0 <= r["score"] <= 1 for r in found)
         none = module.score(docs, module.fit(docs, labels.limit(0)))
         assert none.count() == len(HARD)
+
+
+def test_signs_and_digits_for_letters():
+    lexicon = toxicity.Lexicon({toxicity.fold(w): 1.0 for w in ("scum", "idiot", "asshole", "kill", "ass")}, [])
+    for word in ("scum", "SCUM!!", "scum!", "scum$$$", "scum|", "|scum|", "!!scum!!", "SCUM!!,", "$cum", "s\u0441um!", "id1ot", "idi0t", "!d!ot", "id|ot!!",
+                 "assho1e", "a$$ho|e", "ki11", "k!ll!", "as$", "a$$", "\u0456diot", "scum$", "sc\u00fam!!"):
+        assert lexicon.hits(toxicity.fold(f"x {word} y")), word
+    for word in ("scummy", "as", "skill", "a !! b", "| |"):
+        assert not lexicon.hits(toxicity.fold(f"x {word} y")), word
