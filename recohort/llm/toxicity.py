@@ -9,7 +9,7 @@ among the labelled texts, the two words are an exception phrase, and the hit doe
 proportion to the length of the text, gives the probability through a logistic curve fitted to the same rows.
 
 Bounds, all parameters: at most MAX_LABELLED labelled rows are learnt from (those first by a hash of doc_id, one of rows
-that look like copies), the lexicon has at most MAX_TERMS terms and MAX_PHRASES phrases; so the model that goes to all
+with the same words and label), the lexicon has at most MAX_TERMS terms and MAX_PHRASES phrases; so the model that goes to all
 tasks is bounded. Every text is scored whole.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; a null label is not learnt
@@ -116,10 +116,9 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, label): a bounded number of labelled rows; the labels, so bounded, go to the tasks that read the texts."""
     chosen = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    # Copies share the least hash of their long words more often than not; one of them is enough to learn from.
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w) > 7)
-    least = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    return rows.withColumn("key", F.struct(least, "label")).groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.first("label").alias("label")).select("text", "label")
+    # One of rows with the same words and label is enough to learn from.
+    words = F.sha2(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), 256)
+    return rows.withColumn("key", F.struct(words, "label")).groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,3 +179,13 @@ def test_signs_and_digits_for_letters():
         assert lexicon.hits(toxicity.fold(f"x {word} y")), word
     for word in ("scummy", "as", "skill", "a !! b", "| |"):
         assert not lexicon.hits(toxicity.fold(f"x {word} y")), word
+
+
+def test_only_copies_are_learnt_from_once(spark):
+    # All texts share their long words; only the first two rows are copies, and the third has another label.
+    texts = [(1, "Common opening statement a1"), (2, " common  opening statement A1"), (3, "common opening statement a1"),
+             *((i, f"common opening statement b{i} c{i}") for i in range(4, 24)), (30, None), (31, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i, _ in texts], "doc_id long, label int")
+    sample = toxicity._sample(docs, labels, 100).collect()
+    assert len(sample) == 23 and sum(r["label"] for r in sample) == 1
