@@ -54,18 +54,18 @@ def _logistic(spark, d):
 
 @query("score_boosting")
 def _boosting(spark, d):
-    return rounded(mo.score_boosting(_prepared(spark, d), rounds=(20, 40)), "score", digits=6)
+    return rounded(mo.score_boosting(_prepared(spark, d)), "score", digits=6)
 
 
 @query("score_mlp")
 def _mlp(spark, d):
-    return rounded(mo.score_mlp(_prepared(spark, d), iterations=(25, 50)), "score", digits=6)
+    return rounded(mo.score_mlp(_prepared(spark, d)), "score", digits=6)
 
 
 @query("permutation_importance")
 def _importance(spark, d):
     rows = _prepared(spark, d)
-    return rounded(mo.permutation_importance(mo.fit_logistic(rows, (1.0,)), rows), "ap_drop_mean", "ap_drop_std", digits=6)
+    return rounded(mo.permutation_importance(mo.fit_mlp(rows), rows), "ap_drop_mean", "ap_drop_std", digits=6)
 
 
 @query("model_metrics")

@@ -66,3 +66,21 @@ def test_registry():
 def test_entry(spark):
     import __spark_entry__ as driver
     assert driver.entry(spark).count() == 7
+
+
+def test_registered_models_use_the_operators_settings(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from recohort.suite import models
+
+    tried, explained = [], []
+    monkeypatch.setattr(models, "_prepared", lambda spark, d: MagicMock())
+    monkeypatch.setattr(models, "rounded", lambda rows, *names, digits: rows)
+    monkeypatch.setattr(models.mo, "_choose", lambda name, rows, settings, build: tried.append((name, settings)) or name)
+    monkeypatch.setattr(models.mo, "score_model", lambda fitted, rows: MagicMock())
+    monkeypatch.setattr(models.mo.F, "lit", lambda value: value)
+    monkeypatch.setattr(models.mo, "reduce", lambda join, runs: runs)
+    monkeypatch.setattr(models.mo, "permutation_importance", lambda fitted, rows: explained.append(fitted))
+    for name in ("score_boosting", "score_mlp", "permutation_importance"):
+        QUERIES[name].__wrapped__(None, "")
+    assert tried == [("gradient_boosting", (100, 200))] + [("mlp", (50, 100))] * 4 and explained == ["mlp"]
