@@ -57,31 +57,32 @@ def roc_auc(scores: DataFrame, within: tuple[str, ...] = (), steps: DataFrame |
     return totals.select(*within, (F.lit(1.0) - rate(F.col("lost"), pairs * 2)).alias("roc_auc"))
 
 
-def pr_curve_points(scores: DataFrame, within: tuple[str, ...] = (), most: int = 500,
-                    steps: DataFrame | None = None) -> DataFrame:
-    """Precision and recall per threshold in ascending order, then the (1, 0) end point.
-
-    Curves above ``most`` points are thinned evenly and marked; metrics never use this.
-    """
+def pr_curve(scores: DataFrame, within: tuple[str, ...] = (), steps: DataFrame | None = None) -> DataFrame:
+    """Precision and recall at every threshold in ascending order, then the (1, 0) end point."""
     steps = score_steps(scores, within) if steps is None else steps
     known = steps.filter("hits_total > 0").withColumn("thresholds", F.col("steps_total"))
     point = known.select(*within, (F.col("thresholds") - F.col("steps_before") - 1).alias("point"),
-                         F.col("score").cast("double").alias("threshold"),
                          rate(F.col("hits_upto"), F.col("n_upto")).alias("precision"),
-                         rate(F.col("hits_upto"), F.col("hits_total")).alias("recall"), "thresholds")
+                         rate(F.col("hits_upto"), F.col("hits_total")).alias("recall"),
+                         F.col("score").cast("double").alias("threshold"), "thresholds")
     end = (known.groupBy(*within).agg(F.max("thresholds").alias("thresholds")).filter("thresholds IS NOT NULL")
-           .select(*within, F.col("thresholds").alias("point"), F.lit(None).cast("double").alias("threshold"),
-                   F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), "thresholds"))
-    full = F.col("thresholds") + 1
+           .select(*within, F.col("thresholds").alias("point"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
+                   F.lit(None).cast("double").alias("threshold"), "thresholds"))
+    return point.unionByName(end).withColumn("full_point_count", F.col("thresholds") + 1).drop("thresholds")
+
+
+def pr_curve_points(scores: DataFrame, within: tuple[str, ...] = (), most: int = 500,
+                    steps: DataFrame | None = None) -> DataFrame:
+    """The curve for drawing: above ``most`` points it is thinned evenly and marked. ``pr_curve`` has every point."""
+    full = F.col("full_point_count")
     kept = F.least(full, F.lit(most))
     step = (full - 1).cast("double") / F.greatest(kept - 1, F.lit(1)).cast("double")
     # A point survives when some index lands on it after flooring.
     index = F.floor(F.col("point") / step)
     lands = F.exists(F.array(index - 1, index, index + 1), lambda i: (
         (i >= 0) & (i < kept) & (F.when(i == kept - 1, full - 1).otherwise(F.floor(i * step)) == F.col("point"))))
-    return (point.unionByName(end).filter((F.col("thresholds") < most) | lands)
-            .select(*within, "point", "precision", "recall", "threshold",
-                    (full > most).alias("sampled"), full.alias("full_point_count")))
+    return (pr_curve(scores, within, steps).filter((full <= most) | lands)
+            .select(*within, "point", "precision", "recall", "threshold", (full > most).alias("sampled"), "full_point_count"))
 
 
 def top_decile_metrics(scores: DataFrame, within: tuple[str, ...] = (), share: float = 0.1) -> DataFrame:

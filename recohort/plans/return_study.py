@@ -54,7 +54,7 @@ def run_study(samples: DataFrame, repeats: int = 10, seeds=mo.SEEDS, rounds=(100
     validation = metrics.filter((F.col("split") == "validation") & ((F.col("model") != "mlp") | (F.col("seed") == primary)))
     return {
         "predictions": scored.unionByName(ranked).filter("split = 'test'"), "metrics": metrics, "subgroups": subgroups,
-        "reliability": ev.reliability_bins(scored, key), "pr_curve": ev.pr_curve_points(scored.unionByName(ranked), key),
+        "reliability": ev.reliability_bins(scored, key), "pr_curve": ev.pr_curve(scored.unionByName(ranked), key),
         "selected": ev.select_model(validation, [logistic.name, boosting.name, "mlp"]),
         "importance": mo.permutation_importance(networks[primary], rows, repeats),
         "feature_shift": lm.feature_shift(samples),

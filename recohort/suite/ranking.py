@@ -75,6 +75,16 @@ def _curve(spark, d):
     return rounded(ev.pr_curve_points(_order_scores(spark, d)), "precision", "recall")
 
 
+@query("pr_curve", f"""WITH {_ORDER_SCORES_SQL}, {_steps_sql()},
+points AS (SELECT row_number() OVER (ORDER BY score) - 1 AS point, hits_upto::DOUBLE / n_upto AS precision,
+                  hits_upto::DOUBLE / positives AS recall, score AS threshold FROM cum
+           UNION ALL SELECT count(*), 1.0, 0.0, NULL FROM steps)
+SELECT CAST(point AS BIGINT) AS point, round(precision, 9) AS precision, round(recall, 9) AS recall, threshold,
+       CAST(count(*) OVER () AS BIGINT) AS full_point_count FROM points""")
+def _whole_curve(spark, d):
+    return rounded(ev.pr_curve(_order_scores(spark, d)), "precision", "recall")
+
+
 @query("top_decile_metrics", f"""WITH {_SCORES_SQL},
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, account) AS pos, count(*) OVER () AS n, sum(label) OVER () AS p FROM scores),
 s AS (SELECT CAST(ceil(max(n) * 0.1::DOUBLE) AS BIGINT) AS k, max(n) AS n, max(p) AS p,

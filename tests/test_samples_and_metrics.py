@@ -225,3 +225,13 @@ def test_study_runs_and_ignores_test_labels(study):
     key = ("model", "seed", "average_precision")
     assert sorted(map(str, found["metrics"].filter("split = 'validation'").select(*key).collect())) == sorted(
         map(str, again["metrics"].filter("split = 'validation'").select(*key).collect()))
+
+
+def test_whole_curve_has_every_threshold(spark):
+    rows = [(f"a{i:04d}", i % 3 % 2, i / 1000) for i in range(1000)]
+    scores = spark.createDataFrame(rows, "account string, label int, score double")
+    curve = ev.pr_curve(scores).orderBy("point").collect()
+    assert [r.threshold for r in curve] == [i / 1000 for i in range(1000)] + [None]
+    assert [r.point for r in curve] == list(range(1001)) and (curve[-1].precision, curve[-1].recall) == (1.0, 0.0)
+    thinned = {r.point: tuple(r[1:4]) for r in ev.pr_curve_points(scores).collect()}
+    assert len(thinned) == 500 and all(tuple(curve[p][1:4]) == r for p, r in thinned.items())
