@@ -1,13 +1,10 @@
-"""Removal of repeated 50-byte strings by prefix doubling over sampled suffixes.
-
-Which bytes of a document are covered by a string of SPAN bytes that also starts in a document with a smaller id? Prefix
-doubling ranks positions by ever longer prefixes: pairs (name, document) are sorted, equal ones get one rank, positions that
-are alone are left out, and the rest goes on with names of twice the reach, made from the names at a growing offset, until all
-are unique or the names reach SPAN bytes. Ranking every byte of the corpus would shuffle many times the corpus, so doubling
-runs over a sample of positions that depends on content only: a position is in the sample if the hash of its SEED bytes is the
-least in some SPAN-byte string around it. Every string of SPAN bytes holds such a position, at the same place in each copy.
-Names are hashes of the prefixes (64 bits and more), so a longer name needs no look-up of the shorter ones it is made of, and
-only the verdicts go back.
+"""Removal of repeated 50-byte strings by hashes at sampled positions, which replace prefix doubling.
+
+Which bytes of a document are covered by a string of SPAN bytes that also starts in a document with a smaller id? No ranks
+are made here, and no name is built from names at an offset: three fixed rounds compare hashes of SEED, 37 and SPAN bytes.
+They run over a sample of positions that depends on content only: a position is in the sample if the hash of its SEED bytes
+is the least in some SPAN-byte string around it. Every string of SPAN bytes holds such a position, at the same place in each
+copy. Hashes have 64 bits and more; only the verdicts go back.
 
 1. Positions are named by their SEED bytes and by all the bytes that any SPAN-byte string with that position can reach. Equal
    reach: all strings around it are equal, so one verdict holds for all. Only positions whose seed stands in several reaches
