@@ -5,7 +5,8 @@ entries and then the products of entries centred by the rounded mean; what round
 So the covariance does not depend on how the rows are dealt to tasks, and loses no digit to cancellation.
 
 Its eigenvectors are found in float32 and corrected by the iteration of Ogita and Aishima, which needs only matrix products
-(here in extended precision): with R = I - X'X and S = X'VX, X becomes X + XE, where e_ij = (s_ij + l_j r_ij) / (l_j - l_i).
+(here in extended precision): with R = I - X'X and S = X'VX, X becomes X + XE, where e_ij = (s_ij + l_j r_ij) / (l_j - l_i),
+written so that e_ij + e_ji is r_ij to the last digit: what rounding puts into the quotient turns vectors, but bends none.
 Eigenvalues that stand too close together for that division are a cluster: its vectors are made orthogonal, and the small
 problem X_J'(V - m I)X_J of the cluster alone is solved and rotates them.
 
@@ -137,11 +138,14 @@ def refine(matrix: np.ndarray, vectors: np.ndarray, steps: int = 12) -> tuple[np
     for _ in range(steps):
         r = unit - x.T @ x
         s = x.T @ matrix @ x
+        s = (s + s.T) / 2
         values = np.diag(s) / (1 - np.diag(r))
         close = 2 * (np.sqrt(((s - np.diag(values)) ** 2).sum()) + size * np.sqrt((r * r).sum()))
+        # Below the second bound, rounding alone would turn vectors by more than the square root of the precision.
+        close = max(close, size * np.sqrt(np.finfo(matrix.dtype).eps))
         gap = values[None, :] - values[:, None]
         apart = np.abs(gap) > close
-        e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
+        e = r / 2 + np.where(apart, (s + (values[None, :] + values[:, None]) / 2 * r) / np.where(apart, gap, 1), 0)
         x = x + x @ e
         # A cluster is a problem of its own; the shift by its mean keeps the digits in which its values differ.
         for some in _clusters(values, close):
@@ -152,7 +156,7 @@ def refine(matrix: np.ndarray, vectors: np.ndarray, steps: int = 12) -> tuple[np
                 if np.abs(inner - np.diag(np.diag(inner))).max() > 1e-17 * float(size):
                     x[:, some] = own @ np.linalg.eigh(inner)[1].astype(matrix.dtype)
         change = float(np.abs(e).max())
-        if change < 1e-18 or (change < 1e-15 and change >= before):
+        if np.abs(r).max() < 1e-18 and change > before / 2:
             break
         before = change
     values = (x * (matrix @ x)).sum(axis=0) / (x * x).sum(axis=0)
