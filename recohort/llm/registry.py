@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, suffixes, toxicity, whitening
+from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, repair, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_ngrams": ngrams.op9_ngrams,
     "op10_bpe": bpe.op10_bpe,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op13_whitening": whitening.op13_whitening,
 }
-ORACLES = {"op1_chat_format": chat.OP1_SQL}
+ORACLES = {"op1_chat_format": chat.OP1_SQL, "op11_conversation_repair": repair.OP11_SQL}
