@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recohort.llm import bpe, chat, decontaminate, frames, minhash, neighbours, ngrams, quality, repair, suffixes, toxicity, whitening
+from recohort.llm import bpe, chat, decontaminate, frames, langid, minhash, neighbours, ngrams, quality, repair, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngrams": ngrams.op9_ngrams,
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_language_id": langid.op12_language_id,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {"op1_chat_format": chat.OP1_SQL, "op11_conversation_repair": repair.OP11_SQL}
