@@ -30,10 +30,11 @@ from pyspark.sql import types as T
 
 from recohort.llm.text import Chunk, chunks, small_batches
 from recohort.llm.toxicity import remainder
+from recohort.session import pin
 
 BUCKET_BITS, LONGEST = 12, 4
 BUCKETS = 1 << BUCKET_BITS
-PER_LANGUAGE, MAX_LABELLED = 1500, 6000
+PER_LANGUAGE, MAX_LABELLED = 1000, 4000
 #: Weight of a badly told row against the size of the weights.
 COST = 1.0
 UNKNOWN = "und"
@@ -103,32 +104,40 @@ def pooled(chunk: Chunk, weights: np.ndarray) -> np.ndarray:
 
 
 def machine(x: np.ndarray, sign: np.ndarray, cost: float = COST) -> np.ndarray:
-    """A linear support vector machine: weights and, last, the bias. Both signs weigh the same in all."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = cost * np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * len(sign)
-    w = np.zeros(x.shape[1])
+    """A linear support vector machine: weights and, last, the bias. Rows with sign 0 are left out; both signs weigh the same in all."""
+    weight = cost * np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), np.where(sign < 0, 0.5 / max(1, (sign < 0).sum()), 0)) * (sign != 0).sum()
+    w = np.zeros(x.shape[1] + 1)
     small = np.ones(len(w))
     small[-1] = 1e-3
+
+    # The matrix is used as it is: no copy with a column of ones, of chosen rows or in another precision is made.
+    def ahead(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1].astype(x.dtype) + v[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(r.astype(x.dtype) @ x, r.sum())
+
+    def loss(v: np.ndarray) -> float:
+        return 0.5 * (small * v * v).sum() + (weight * np.maximum(1 - sign * ahead(v), 0) ** 2).sum()
+
     for _ in range(20):
-        short = 1 - sign * (x @ w)
-        active = short > 0
-        rows, c = x[active], weight[active]
-        gradient = small * w - 2 * rows.T @ (c * sign[active] * short[active])
+        short = 1 - sign * ahead(w)
+        c = weight * (short > 0)
+        gradient = small * w - 2 * back(c * sign * short)
         if np.linalg.norm(gradient) < 1e-4 * (1 + np.linalg.norm(w)):
             break
         # Conjugate gradients for the Newton step.
         step, left = np.zeros_like(w), -gradient
         way, size = left.copy(), left @ left
         for _ in range(30):
-            ahead = small * way + 2 * rows.T @ (c * (rows @ way))
-            length = size / (way @ ahead)
+            bent = small * way + 2 * back(c * ahead(way))
+            length = size / (way @ bent)
             step += length * way
-            left -= length * ahead
+            left -= length * bent
             before, size = size, left @ left
             if size < 1e-6 * (gradient @ gradient):
                 break
             way = left + size / before * way
-        loss = lambda v: 0.5 * (small * v * v).sum() + (weight * np.maximum(1 - sign * (x @ v), 0) ** 2).sum()
         now, part = loss(w), 1.0
         while loss(w + part * step) > now and part > 1e-3:
             part /= 2
@@ -140,19 +149,19 @@ class Model:
     """Families, machines and how sharply their margins tell."""
 
     def __init__(self, x: np.ndarray, languages: np.ndarray, known=family_of):
+        """x: shares, float32, which are scaled in place."""
         self.languages = sorted(set(languages.tolist()))
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6) if len(x) else np.ones(BUCKETS)
-        x = (x * scale).astype(np.float32)
+        scale = (1 / np.sqrt(x.mean(axis=0) + 1e-6) if len(x) else np.ones(BUCKETS)).astype(np.float32)
+        x *= scale
         self.families = self._families(x, languages, known)
         self.names = sorted(set(self.families.values()))
         self.pairs = [p for p in combinations(self.languages, 2) if self.families[p[0]] == self.families[p[1]]]
         family = np.array([self.families[v] for v in languages.tolist()], object)
         side = np.arange(len(x)) % 5 == 0 if len(x) >= 50 else np.zeros(len(x), bool)
         learn = ~side
-        made = [machine(x[learn], np.where(family[learn] == f, 1.0, -1.0)) for f in self.names] if len(self.names) > 1 else []
+        made = [machine(x, np.where(family == f, 1.0, -1.0) * learn) for f in self.names] if len(self.names) > 1 else []
         for a, b in self.pairs:
-            some = learn & ((languages == a) | (languages == b))
-            made.append(machine(x[some], np.where(languages[some] == a, 1.0, -1.0)))
+            made.append(machine(x, ((languages == a) * 1.0 - (languages == b)) * learn))
         table = np.stack(made, axis=1) if made else np.zeros((BUCKETS + 1, 0))
         self.bias = table[-1]
         self.weights = (table[:-1] * scale[:, None]).astype(np.float32)
@@ -223,11 +232,11 @@ def _has_letter(text) -> F.Column:
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_LABELLED) -> DataFrame:
     """(lang, text): rows of each language, first by a hash over all rows; about per_language of each, at most `most` in all."""
     rows = labelled.where(F.col("lang").isNotNull() & _has_letter("text")).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("lot"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # As many of each language, so that the whole keeps its bound however many languages there are.
+    counts = pin(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     kinds = counts.count()
+    # As many of each language, so that the whole keeps its bound however many languages there are.
     each = min(per_language, max(1, most // max(1, kinds)))
-    chosen = rows.join(counts, "lang").where((F.col("lot") / 2.0**64 + 0.5) * F.col("n") <= F.lit(float(each)))
+    chosen = rows.join(F.broadcast(counts) if kinds <= most else counts, "lang").where((F.col("lot") / 2.0**64 + 0.5) * F.col("n") <= F.lit(float(each)))
     return chosen.orderBy("lot", "doc_id", "lang").limit(most).select("lot", "lang", "text")
 
 
@@ -240,10 +249,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_L
             yield pa.RecordBatch.from_arrays([chunk.column("lot"), chunk.column("lang"), pa.array([row.tobytes() for row in shares(chunk)], pa.binary())],
                                              names=["lot", "lang", "x"])
 
-    found = sample(labelled, per_language, most).mapInArrow(run, "lot long, lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, BUCKETS)
-    lots, languages = found.column("lot").to_numpy(), np.array(found.column("lang").to_pylist(), object)
-    order = np.lexsort((languages.astype(str), lots)) if len(lots) else np.zeros(0, int)
+    chosen = sample(labelled, per_language, most).repartition(labelled.sparkSession.sparkContext.defaultParallelism, "lot")
+    x, labels = np.zeros((most, BUCKETS), np.float32), []
+    for row in chosen.mapInArrow(run, "lot long, lang string, x binary").toLocalIterator():
+        x[len(labels)] = np.frombuffer(row["x"], np.float32)
+        labels.append((row["lot"], row["lang"]))
+    # The same order however the rows came.
+    x, languages = x[:len(labels)], np.array([lang for _, lang in labels], object)
+    order = sorted(range(len(labels)), key=labels.__getitem__)
     return Model(x[order], languages[order], known)
 
 
