@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recohort.llm import decontaminate, minhash, neighbours, ngrams, quality, suffixes, toxicity
 
@@ -155,11 +156,52 @@ def test_neighbours_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BROADCAST_NUMBERS", 0)
     assert sorted(map(tuple, neighbours.op5_neighbours(spark, FOLDER).collect())) == broadcast
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
-    hard = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [2.0, 0.1]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0])],
-                                 "vec_id long, embedding array<double>")
-    found = neighbours.nearest(hard, hard.where("vec_id = 0")).collect()
-    assert {(r["query_id"], r["vec_id"]) for r in found} == {(0, 3)}
-    assert neighbours.nearest(hard.limit(0), hard.limit(0)).count() == 0
+
+
+HARD_VECTORS = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [2.0, 0.1]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0]), (6, [4.0, 0.2]),
+                (7, [float("inf"), 1.0]), (8, [1e-200, 1e-200]), (9, []), (10, [0.0, -3.0]), (11, [0.5]), (50, [7.0]), (100, [1.0, 2.0, 3.0])]
+
+
+@pytest.mark.parametrize("limit", [1_280_000, 0])
+def test_neighbours_of_hard_rows(spark, monkeypatch, limit):
+    """Repeated ids, equal vectors and cosines, unsound vectors, several lengths: every row's results are its own."""
+    monkeypatch.setattr(neighbours, "BROADCAST_NUMBERS", limit)
+    hard = spark.createDataFrame([(*r, 1, "x") for r in HARD_VECTORS], "vec_id long, embedding array<double>, block int, asked string")
+    found = Counter(tuple(r) for r in neighbours.nearest(hard, F.col("vec_id") % 50 == 0, 3).selectExpr("query_id", "rank", "vec_id", "round(score, 12)").collect())
+    near = round(2 / math.sqrt(4.01), 12)
+    # Both rows with id 0 have the other one first, then the equal cosines of 3 and 6 by id.
+    assert found == Counter({(0, 1, 0, 1.0): 2, (0, 2, 3, near): 2, (0, 3, 6, near): 2, (50, 1, 5, 1.0): 1, (50, 2, 11, 1.0): 1})
+    tiny = neighbours.nearest(hard.where("vec_id in (8, 10)"), F.col("vec_id") == 8).first()
+    assert tiny["vec_id"] == 10 and tiny["score"] == pytest.approx(-math.sqrt(0.5))
+    assert neighbours.nearest(hard.limit(0), F.lit(True)).count() == 0
+    assert neighbours.nearest(hard, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_neighbour_search_counts_collisions():
+    """Recall against brute force, few vectors verified, and the same with and without a bound or a sample."""
+    random = np.random.Generator(np.random.PCG64(9))
+    vectors = random.normal(size=(6000, 64))
+    ids = np.arange(6000)
+    block = neighbours.Block(ids, vectors)
+    asked = ids[::100]
+    limits = neighbours.bounds(asked, vectors[asked], (ids[:3000], vectors[:3000]), 5)
+    found, scores, verified = block.search(vectors[asked], asked, 5, limits)
+    alone = block.search(vectors[asked], asked, 5)[0]
+    hits = other = 0
+    for j, q in enumerate(asked):
+        c = neighbours.cosines(vectors[q], vectors)
+        c[q] = -9
+        want = set(np.argsort(-c)[:5].tolist())
+        hits += len(want & set(found[j].tolist()))
+        other += len(want & set(alone[j].tolist()))
+        assert scores[j].tolist() == c[found[j]].tolist() and limits[j] >= math.sqrt(2 - 2 * np.sort(c)[-5])
+    assert hits >= 0.93 * 5 * len(asked) and other >= 0.93 * 5 * len(asked)
+    assert verified.mean() < 0.1 * len(ids)
+    # A window's bounds and the counted ranks say the same as the projections themselves.
+    heights = vectors / np.linalg.norm(vectors, axis=1)[:, None] @ block.lines
+    low, size = block.windows(heights[:3], np.full(3, 0.7))
+    for j in range(3):
+        assert (block.collisions(low[j], size[j]) == (np.abs(heights - heights[j]) <= 0.7).sum(axis=1)).mean() > 0.999
 
 
 def test_classifiers_take_hard_rows(spark):
