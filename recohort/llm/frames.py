@@ -42,8 +42,10 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 #: A frame is closed when it holds this many ids.
 FRAME_IDS = 1 << 17
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Words, and characters in them, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 1 << 25
+#: New words that the library is given at once.
+JOINED = 1000
 END_ID = 1
 
 
@@ -149,9 +151,25 @@ class FrameReader:
                     yield doc_id, start, ids
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for, and keeps the new ones in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library. The vocabulary drops white space before words are cut, so a text is encoded
-    blank by blank and words met before are remembered."""
+    """Ids by the tokenizers library. Where the vocabulary drops blanks before words are cut, which is tried out on the
+    library itself, a text is encoded blank by blank and words met before are remembered; otherwise whole.
+
+    New words go to the library many at a time, with a special token between them that the library cuts out before anything
+    else, so that its ids fall apart where the token's id stands."""
 
     def __init__(self, path: str, end_id: int = END_ID, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,30 +179,57 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end, self.remembered = np.array([end_id], np.uint32), remembered
+        added = self.library.get_added_tokens_decoder()
+        self.specials = [t.content for t in added.values()]
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.by_words = all(whole(f"{one}{blank}{two}") == whole(one) + whole(two) for blank in " \n\t" for one in ("", "a", "it's", "9.", ",") for two in ("", "b", "'s", "9", "."))
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, *(np.array(i, np.uint32) for i in found)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(i) for i in found])])
+        self.number, self.chars = _Numbers(), 0
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def _apart(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and the number of ids of each."""
+        if self.between:
+            number, token = self.between
+            joined = token.join(words)
+            if sum(joined.count(t) for t in self.specials) == len(words) - 1:
+                ids = np.array(self._apart([joined])[0], np.uint32)
+                cuts = np.concatenate([[-1], np.flatnonzero(ids == number), [len(ids)]])
+                if len(cuts) == len(words) + 1:
+                    return ids[ids != number], np.diff(cuts) - 1
+        found = self._apart(words)
+        return np.array([i for own in found for i in own], np.uint32), np.array([len(own) for own in found])
+
+    def _learn(self) -> None:
+        words, self.number.new = self.number.new, []
+        self.chars += sum(map(len, words))
+        parts = [self._found(words[at:at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        used = int(self.starts[-1])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * len(ids), np.uint32)])
+        self.ids[used:used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, used + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > self.remembered:
+        if not self.by_words:
+            return [np.append(np.array(ids, np.uint32), self.end) for ids in self._apart(texts)]
+        if len(self.number) > self.remembered or self.chars > REMEMBERED_CHARS:
             self._forget()
         words: list[str] = []
         ends = [0]
         for text in texts:
             words += text.replace("\n", " ").replace("\t", " ").split(" ")
             ends.append(len(words))
-        new = list(set(words).difference(self.number))
-        if new:
-            self._learn(new)
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.new:
+            self._learn()
         lengths = self.starts[number + 1] - self.starts[number]
         ids = self.ids[each_range(self.starts[number], lengths)]
         at = np.concatenate([[0], np.cumsum(lengths)])[ends].tolist()

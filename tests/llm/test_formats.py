@@ -71,6 +71,24 @@ def test_bpe_query(spark):
     assert bpe.digest_documents(docs.limit(0), path).count() == 0
 
 
+def test_words_are_encoded_as_the_library_does(tmp_path):
+    random.seed(11)
+    pool = ["a", "B", "é", "é", "́", "Σ", "1", "½", "'s", "'", ".", "…", "日", "\x1c", "\u00a0", "\u2028", "<|endoftext|>", "<|startoftext|>", "<|end", " ", "\n", "\t", "  "]
+    texts = ["".join(random.choices(pool, k=random.randrange(30))) for _ in range(4000)] + ["", "x" * 40000]
+    path = bpe.vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    encoder = frames.LibraryEncoder(path)
+    assert encoder.by_words and [i.tolist() for i in encoder.encode(texts)] == want
+    # A short memory, and a vocabulary in which blanks count.
+    small = frames.LibraryEncoder(path, remembered=5)
+    assert [i.tolist() for at in range(0, len(texts), 50) for i in small.encode(texts[at:at + 50])] == want
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), frames.LibraryEncoder(path)
+    assert not encoder.by_words
+    assert [i.tolist() for i in encoder.encode(texts[:300])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts[:300]]
+
+
 def test_token_files(spark, tmp_path):
     path = bpe.vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
