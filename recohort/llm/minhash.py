@@ -15,8 +15,9 @@ So no bucket is capped, none is written out as pairs, and every candidate pair i
 sets, unlikely by SLACK standard errors and more, or within one component already.
 
 Defined results: a text without words (or null) has no shingles, is linked with nothing and is its own component; rows that
-share a doc_id stand and fall together; a null doc_id that is alone in its class has a null component and is kept; an empty
-table gives no row; other columns are ignored.
+share a doc_id stand and fall together, so texts linked with any of them are one component, even if the texts of that doc_id
+are not alike; a null doc_id that is alone in its class has a null component and is kept; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -302,10 +303,8 @@ def _left_over(keyed: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataF
     return rows.mapInArrow(giving_back(_link_cells), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    every = pin(sign(docs), "signatures")
+def _components_of(every: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept). every: the signatures of docs, in which a doc_id has one set."""
     classes = every.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("class"))
     named = pin(every.join(classes, ["name_a", "name_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class"), "signature", "bands"), "classes")
     heads = named.where("doc_id = class and n_shingles > 0")
@@ -325,5 +324,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _of_repeated_ids(docs: DataFrame) -> DataFrame:
+    """The same where rows with different sets share a doc_id: rows are compared by numbers of their own, and what shares a
+    doc_id is linked."""
+    rows = pin(docs.select(F.col("doc_id").cast("long").alias("named"), "text").withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select("doc_id", "text")
+    found = _components_of(pin(sign(numbered), "signatures"), numbered).select("doc_id", "n_shingles", F.col("component_id").alias("part"))
+    found = pin(found.join(rows.select("doc_id", "named"), "doc_id").select("named", "n_shingles", "part"), "parts")
+    known = found.where("named is not null")
+    least = known.groupBy("named").agg(F.min("part").alias("a"), F.max("part").alias("high")).where("a < high").select("named", "a")
+    joined = components(known.join(least, "named").select("a", F.col("part").alias("b")))
+    found = found.join(joined, found["part"] == joined["node"], "left").withColumn("part", F.coalesce("component", "part")).drop("node", "component")
+    names = found.groupBy("part").agg(F.min("named").alias("component_id"))
+    found = found.join(names, "part").withColumnRenamed("named", "doc_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    every = pin(sign(docs), "signatures")
+    sets = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("name_a").alias("low"), F.max("name_a").alias("high"))
+    if sets.where("low < high").limit(1).count():
+        return _of_repeated_ids(docs)
+    return _components_of(every, docs)
+
+
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -289,7 +289,7 @@ class Model:
             context[start] = count[end] if end < len(words) and words[end] == END else self._ends()
         a, c = place[:len(previous)], place[len(previous):]
         near = np.maximum(before - self.lower[np.minimum(before, 3).astype(int)], 0)
-        q = (near / self.preceding if self.preceding else 0.0) + self.rest
+        q = (near / self.preceding if self.preceding else near) + self.rest
         kept = np.where(context > 0, (self.higher[1] * n1 + self.higher[2] * n2 + self.higher[3] * n3) / np.maximum(context, 1), 1.0)
         names, which = np.unique(bigram_hash(previous, word), return_index=True)
         inverse = np.searchsorted(names, bigram_hash(previous, word))

@@ -117,6 +117,27 @@ def test_near_duplicates(spark):
     assert {(r["doc_id"], r["component_id"]) for r in hard} >= {(1, 1), (2, 2), (3, 3), (4, 3), (5, 5)}
 
 
+def near(spark, rows, schema="doc_id long, text string"):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, z = " ".join(words), " ".join([*words, "more"]), "something that is quite unlike all the other texts"
+    # The rows of document 1 are not alike; 2 is near one of them.
+    assert near(spark, [(1, a), (1, z), (2, b)]) == [(1, 5, 1, True), (1, 56, 1, True), (2, 57, 1, False)]
+    # Document 4 stands and falls as a whole, and what is only linked through it is one component.
+    assert near(spark, [(2, a), (4, z), (4, a), (9, z), (5, "alone"), (None, z), (None, "x y")]) == sorted(
+        [(2, 56, 2, True), (4, 5, 2, False), (4, 56, 2, False), (9, 5, 2, False), (5, 1, 5, True), (None, 5, 2, False), (None, 1, None, True)], key=str)
+
+
+def test_near_duplicates_of_hard_tables(spark):
+    hard = [(1, "tab\tand\x0bblank  A B c", "x", 5, 1), (2, "TAB and\nblank a b C", "y", 6, 2), (3, "é " * 30000 + "end", "z", 7, 3), (4, "é " * 30001 + "end", "z", 7, 3)]
+    schema = "doc_id long, text string, kept string, n_shingles int, component long"
+    assert near(spark, hard, schema) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (4, 2, 3, False)]
+    assert near(spark, [], schema) == [] and near(spark, [(1, None), (2, "")]) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
 def test_decontamination(spark):
     found = {r[0]: tuple(r)[1:] for r in decontaminate.op8_decontaminate(spark, FOLDER).collect()}
     assert found == plain_hits(pairs(spark, "documents", "doc_id", "text"), pairs(spark, "benchmark", "item_id", "text"))
@@ -136,6 +157,21 @@ def test_model(spark):
         assert found[k][4:] == pytest.approx(w[4:], abs=1e-5)
 
 
+def test_model_of_hard_tables(spark):
+    rows = [(1, None, 2), (2, "", 3), (3, "one two one two one", 4), (3, "one two one two one", 4), (None, "Two", 5), (5, "never seen", 6), (6, "x" * 100_000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    learnt = docs.where("doc_id <= 3")
+    found = ngrams.score(docs, ngrams.train(learnt, 3)).collect()
+    # Learnt are four ends and ten words, of three kinds in all.
+    want = {None: (2, 2), 1: (1, 1), 2: (1, 1), 3: (6, 6), 5: (3, 1), 6: (2, 1)}
+    assert len(found) == len(rows) and all((r["n_tokens"], r["n_known"]) == want[r["doc_id"]] and r["score"] < 0 for r in found)
+    assert next(r["base_score"] for r in found if r["doc_id"] == 1) == pytest.approx(math.log10(5 / (14 + 3 + 1)))
+    # Nothing learnt: every token has probability 1 / (0 + 1).
+    none = ngrams.train(docs.limit(0), 2)
+    assert {(r["score"], r["base_score"], r["n_known"]) for r in ngrams.score(docs, none).collect()} == {(0.0, 0.0, 0)}
+    assert none.train_tokens == 0 and ngrams.score(docs.limit(0), none).count() == 0 and ngrams.score(docs.limit(0), ngrams.train(learnt, 3)).count() == 0
+
+
 def test_neighbours(spark):
     rows = [(int(i), v) for i, v in pairs(spark, "embeddings", "vec_id", "embedding")]
     ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
