@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -51,16 +52,25 @@ def fractional_days(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later).cast("double") / F.lit(86_400_000_000.0)
 
 
-def day_bit(day: Column, first_day: datetime) -> Column:
-    """One bit per calendar day after ``first_day``, for exact distinct-day counts by bitwise OR.
+WORD_DAYS = 64
 
-    Valid for windows of at most 62 days; a bitwise OR merges map-side and needs no second
-    shuffle, unlike a distinct count.
+
+def distinct_days(inside: Column, day: Column, low: datetime, high: datetime) -> Column:
+    """Aggregate: how many distinct UTC dates of ``[low, high)`` have a row that is inside.
+
+    One bit per date, in as many 64-bit words as the window needs; each word merges map-side by a
+    bitwise OR, so the count is exact without the second shuffle of a distinct count. A row touches
+    one word. ``inside`` must already be false outside the window.
     """
-    offset = F.datediff(day, F.lit(first_day.date())).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), offset)
+    offset = F.datediff(day, F.lit(low.date()))
+    words = []
+    for first in range(0, days_long(low, high), WORD_DAYS):
+        here = inside & (offset >= first) & (offset < first + WORD_DAYS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (offset - first).cast("int"))
+        words.append(F.bit_count(F.coalesce(F.bit_or(F.when(here, bit)), F.lit(0).cast("long"))))
+    return reduce(lambda a, b: a + b, words, F.lit(0).cast("int")).cast("long")
 
 
 def days_long(low: datetime, high: datetime) -> int:
-    """Number of calendar days touched by ``[low, high)``."""
-    return ((high - timedelta(microseconds=1)).date() - low.date()).days + 1
+    """Number of calendar days touched by ``[low, high)``; none if it is empty."""
+    return max(0, ((high - timedelta(microseconds=1)).date() - low.date()).days + 1)

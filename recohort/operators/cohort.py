@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recohort.contracts import Campaign, midnight
 from recohort.functions.scalars import rate
-from recohort.functions.times import day_bit, days_long, entry_week, instant, within
+from recohort.functions.times import distinct_days, entry_week, instant, within
 from recohort.operators.classify import history_kind, opening, participation
 
 RETURN_FLAGS = ("r30", "cumulative30", "sustained30", "open_or_decrease30", "voluntary30", "strict_r30", "r60")
@@ -39,11 +39,19 @@ def join_first_seen(entered: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def _days_active(flag: Column, low: datetime, high: datetime) -> Column:
-    """Aggregate: exact number of distinct UTC dates in a window of at most 62 days."""
-    if days_long(low, high) > 62:
-        raise ValueError("a distinct-day window may span at most 62 days")
-    inside = flag & within(F.col(_TS), low, high)
-    return F.bit_count(F.coalesce(F.bit_or(F.when(inside, day_bit(F.to_date(_TS), low))), F.lit(0).cast("long")))
+    """Aggregate: exact number of distinct UTC dates with such a row in a window of any length."""
+    return distinct_days(flag & within(F.col(_TS), low, high), F.to_date(_TS), low, high)
+
+
+def return_days(trades: DataFrame, campaign: Campaign, spans: dict[str, tuple[int, int]]) -> DataFrame:
+    """For each account of the cohort, on how many distinct days it opened in each span of days after the campaign."""
+    ts, opened = F.col(_TS), opening()
+    windows = {name: campaign.window(span) for name, span in spans.items()}
+    entered = opened & within(ts, campaign.start, campaign.end)
+    high = max([campaign.end, *(high for _, high in windows.values())])
+    return (trades.filter(opened & within(ts, campaign.start, high)).groupBy("account")
+            .agg(F.count_if(entered).alias("entered"), *[_days_active(opened, *window).alias(name) for name, window in windows.items()])
+            .filter("entered > 0").drop("entered"))
 
 
 def _outcome_columns(campaign: Campaign) -> dict[str, Column]:

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recohort.contracts import AUDIT_FIELDS, DAILY_FIELDS, DECREASE_TYPES, INCREASE_TYPES, LIQUIDATION_TYPE
-from recohort.functions.times import day_bit, instant, within
+from recohort.functions.times import distinct_days, instant, within
 from recohort.operators.classify import allowed_position_type, comparable, perpetual_type, swap_type
+from recohort.session import pin
 
 MATCH_KEY = ("block_date", "tx_hash", "order_key", "account")
 
@@ -174,7 +175,8 @@ def matched_events(positions: DataFrame, executions: DataFrame, creations: DataF
 
 def daily_audit(days: DataFrame, positions: DataFrame, executions: DataFrame, creations: DataFrame,
                 zero_account: Column, upper=None) -> DataFrame:
-    """The whole daily audit."""
+    """The whole daily audit. Both sides are written once, so that matching, grouping and counting read each source once."""
+    positions, executions = pin(positions, "positions"), pin(executions, "executions")
     audit = daily_join_audit(matched_events(positions, executions, creations, upper), zero_account)
     return densify_dates(days, audit, duplicate_event_counts(positions, "position_index"),
                          duplicate_event_counts(executions, "execution_index"))
@@ -186,9 +188,9 @@ def matched_retention(increases: DataFrame, executions: DataFrame, creations: Da
 
     A creation is unknown when missing, repeated, of another account, or later than the execution.
     """
-    opened = semi_matched_positions(
+    opened = pin(semi_matched_positions(
         increases.filter(F.col("order_type").isin(*INCREASE_TYPES) & (F.col("size_delta_usd") > 0)
-                         & F.col("account").isNotNull() & (F.col("account") != zero_account)), executions)
+                         & F.col("account").isNotNull() & (F.col("account") != zero_account)), executions), "opened")
     late, anywhere, second = (campaign.window(o) for o in (campaign.late, campaign.any_time, campaign.second))
     ts = F.col("block_time")
     in_late = within(ts, *late)
@@ -201,11 +203,10 @@ def matched_retention(increases: DataFrame, executions: DataFrame, creations: Da
               .join(made, "order_key", "left").groupBy("account").agg(
                   (F.count_if(sound & (F.col("created_at") >= instant(campaign.end))) > 0).alias("strict_r30"),
                   F.coalesce(F.sum(F.when(~F.coalesce(sound, F.lit(False)), F.col("n"))), F.lit(0)).alias("strict_unknown_events")))
-    bits = F.bit_or(F.when(in_late, day_bit(F.col("block_date"), late[0])))
     flags = opened.groupBy("account").agg(
         F.count_if(within(ts, campaign.start, campaign.end)).alias("entered"),
         (F.count_if(in_late) > 0).alias("r30"), (F.count_if(within(ts, *anywhere)) > 0).alias("cumulative30"),
-        (F.bit_count(F.coalesce(bits, F.lit(0).cast("long"))) >= 2).alias("sustained30"),
+        (distinct_days(in_late, F.to_date(ts), *late) >= 2).alias("sustained30"),
         (F.count_if(within(ts, *second)) > 0).alias("r60")).filter("entered > 0").drop("entered")
     return flags.join(strict, "account", "left").withColumns({
         "strict_r30": F.coalesce("strict_r30", F.lit(False)),

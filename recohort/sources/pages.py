@@ -38,14 +38,15 @@ def page_records(pages: DataFrame) -> DataFrame:
             .select("page", "pos", "a.*"))
 
 
-def ingest_action_pages(pages: DataFrame, low: datetime, high: datetime) -> DataFrame:
-    """Executions of perpetual orders inside the requested seconds."""
+def ingest_action_pages(pages: DataFrame, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+    """Executions of perpetual orders, inside the requested seconds if bounds are given."""
     seconds = F.col("timestamp")
     kinds = (*INCREASE_CODES, *DECREASE_CODES, LIQUIDATION_CODE)
     # Bounds are UTC; epoch seconds need no session zone.
-    first, last = (int((v - datetime(1970, 1, 1)).total_seconds()) for v in (low, high))
-    return page_records(pages).filter((F.col("eventName") == "OrderExecuted") & F.col("orderType").isin(*kinds)
-                                      & (seconds >= first) & (seconds < last))
+    first, last = (v and int((v - datetime(1970, 1, 1)).total_seconds()) for v in (low, high))
+    found = page_records(pages).filter((F.col("eventName") == "OrderExecuted") & F.col("orderType").isin(*kinds))
+    found = found if first is None else found.filter(seconds >= first)
+    return found if last is None else found.filter(seconds < last)
 
 
 def page_creations(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recohort.contracts import Campaign, AUDIT_FIELDS, DAILY_FIELDS
 from recohort.operators import classify, cohort as co, matching as m, quality
+from recohort.session import pin
 from recohort.suite import tables as t
 from recohort.suite.registry import query, rounded
 
@@ -17,7 +18,7 @@ def _zero():
     return F.lit(0).cast("bigint")
 
 
-# Lines of 1997 carry both the campaign and its return windows.
+# The campaign and its return windows lie in one year of the lines; creations count up to its end.
 LINE_CAMPAIGN = Campaign(datetime(1997, 1, 15), datetime(1997, 9, 1))
 UPPER = datetime(1998, 1, 1)
 
@@ -169,13 +170,15 @@ wide AS (
          coalesce(ed.n, 0) AS execution_rows, coalesce(ed.dup, 0) AS duplicate_execution_events,
          coalesce(a.joined_position_rows, 0) - coalesce(pd.n, 0) AS position_join_extra_rows,
          coalesce(a.joined_execution_rows, 0) - coalesce(ed.n, 0) AS execution_join_extra_rows
-  FROM (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1997-12-31', INTERVAL '1 day')) AS DATE) AS day) g
+  FROM (SELECT CAST(unnest(generate_series(min(block_date), max(block_date), INTERVAL '1 day')) AS DATE) AS day
+        FROM (SELECT block_date FROM positions UNION ALL SELECT block_date FROM executions)) g
   LEFT JOIN audit a ON a.block_date = g.day LEFT JOIN pd ON pd.block_date = g.day LEFT JOIN ed ON ed.block_date = g.day)"""
 
 
 def _dense(spark, d):
-    days = m.dates_between(spark, date(1997, 1, 1), date(1998, 1, 1))
-    return m.daily_audit(days, *_sides(spark, d), t.creations(spark, d), _zero())
+    p, e = (pin(side, "side") for side in _sides(spark, d))
+    days = m.date_grid(p.select("block_time").unionByName(e.select("block_time")), "block_time")
+    return m.daily_audit(days, p, e, t.creations(spark, d), _zero())
 
 
 @query("densify_dates", _DENSE_SQL + " SELECT day, " + ", ".join(
@@ -241,13 +244,11 @@ def _enrich(spark, d):
         "order_key", "execution_index", "block_date", "order_created_at", "account_mismatch")
 
 
-@query("date_coverage_diff", """WITH found AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem
-  WHERE l_quantity = 50 AND l_discount = 0 AND l_shipdate >= TIMESTAMP '1996-12-01' AND l_shipdate < TIMESTAMP '1997-12-15'),
-want AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1997-12-31', INTERVAL '1 day')) AS DATE) AS day)
+# Days on which something was shipped, against the days from the first order to the last one.
+@query("date_coverage_diff", """WITH found AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
+want AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(o_orderdate)), date_trunc('day', max(o_orderdate)), INTERVAL '1 day')) AS DATE) AS day FROM orders)
 SELECT day, 'missing' AS problem FROM want WHERE day NOT IN (SELECT day FROM found)
 UNION ALL SELECT day, 'unexpected' FROM found WHERE day NOT IN (SELECT day FROM want)""")
 def _coverage(spark, d):
-    lines = t.table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount = 0").filter(
-        F.col("l_shipdate").between(F.lit("1996-12-01").cast("timestamp_ntz"), F.lit("1997-12-14").cast("timestamp_ntz")))
-    return quality.date_coverage_diff(lines.select(F.to_date("l_shipdate").alias("day")),
-                                      m.dates_between(spark, date(1997, 1, 1), date(1998, 1, 1)))
+    shipped = t.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    return quality.date_coverage_diff(shipped, m.date_grid(t.table(spark, d, "orders"), "o_orderdate"))

@@ -101,7 +101,7 @@ def _altered(rows):
     f"""SELECT day, '{n}' AS field, CAST(coalesce("{n}", 0) + 1 AS BIGINT) AS exported, CAST(coalesce("{n}", 0) AS BIGINT) AS "local" FROM wide WHERE day(day) = {k}"""
     for n, k in _EXPORT_CHANGE.items()))
 def _daily(spark, d):
-    local = au._dense(spark, d)
+    local = pin(au._dense(spark, d), "daily-audit")
     return rc.reconcile_daily(_altered(local), local)
 
 

@@ -64,6 +64,17 @@ def _sustained(spark, d):
     return _event_profile(spark, d).select("account", "sustained30")
 
 
+# Windows of one, three and thirteen months: one word of days is not enough for the longer ones.
+SPANS = {"days_30": (1, 31), "days_90": (30, 120), "days_400": (0, 400)}
+
+
+@query("return_days", f"""WITH {t.order_trades_sql()}, {t.FLAGS_SQL}
+SELECT account, """ + ", ".join(f"count(DISTINCT CASE WHEN {t.inside_sql('ts', *C.window(span))} THEN CAST(ts AS DATE) END) AS {name}" for name, span in SPANS.items())
+       + f" FROM flagged WHERE opened GROUP BY account HAVING bool_or({IN_CAMPAIGN})")
+def _return_days(spark, d):
+    return co.return_days(t.order_trades(spark, d), C, SPANS)
+
+
 @query("strict_return", t.EVENT_CASE_SQL + " SELECT account, strict_r30, strict_missing FROM profile")
 def _strict(spark, d):
     return _event_profile(spark, d).select("account", "strict_r30", "strict_missing")
@@ -230,14 +241,14 @@ def _windows(spark, d):
 
 
 _PROGRAMMES_SQL = """programmes AS (SELECT o_orderpriority AS name, min(o_orderdate) AS start, max(o_orderdate) AS "end"
-  FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"""
+  FROM orders GROUP BY 1)"""
 
 
 @query("campaign_timeline", f"""WITH {_PROGRAMMES_SQL}
 SELECT name, start, "end", round(epoch(start - TIMESTAMP '1995-01-01') / epoch(TIMESTAMP '2001-08-02' - TIMESTAMP '1995-01-01'), 9) AS "offset",
        round(epoch("end" - start) / epoch(TIMESTAMP '2001-08-02' - TIMESTAMP '1995-01-01'), 9) AS length FROM programmes""")
 def _timeline(spark, d):
-    programmes = t.table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("name")).agg(
+    programmes = t.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
         F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end"))
     return rounded(quality.campaign_timeline(programmes, *t.ORDER_COVERAGE), "offset", "length")
 

@@ -72,14 +72,15 @@ def page_texts(spark, d):
 
 
 _LOW, _HIGH = datetime(1996, 1, 1), datetime(1999, 1, 1)
-_PAGE_SQL = f"""WITH p AS (SELECT o_orderkey AS k, '0x' || lpad(CAST(o_orderkey AS VARCHAR), 64, '0') AS tx,
+_PAGE_SQL = """WITH p AS (SELECT o_orderkey AS k, '0x' || lpad(CAST(o_orderkey AS VARCHAR), 64, '0') AS tx,
   '0xab' || lpad(CAST(o_custkey AS VARCHAR), 38, '0') AS account, o_orderdate AS ts, o_orderkey % 6 + 2 AS kind,
-  CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM orders WHERE {t.inside_sql('o_orderdate', _LOW, _HIGH)}),
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM orders),
 r AS (SELECT *, CASE WHEN k % 31 = 0 THEN '0' ELSE CAST(cents AS VARCHAR) || repeat('0', 21) || lpad(CAST(k % 10000000 AS VARCHAR), 7, '0') END AS raw FROM p)"""
 
 
 @query("ingest_action_pages", _PAGE_SQL + """
-SELECT tx || ':10' AS id, kind AS "orderType", '0xAB' || substr(account, 5) AS account, CAST(epoch(ts) AS BIGINT) AS "timestamp", raw AS "sizeDeltaUsd" FROM r""")
+SELECT tx || ':10' AS id, kind AS "orderType", '0xAB' || substr(account, 5) AS account, CAST(epoch(ts) AS BIGINT) AS "timestamp", raw AS "sizeDeltaUsd" FROM r WHERE """
+       + t.inside_sql("ts", _LOW, _HIGH))
 def _pages(spark, d):
     return sp.ingest_action_pages(sp.parse_pages(page_texts(spark, d)), _LOW, _HIGH).select(
         "id", "orderType", "account", "timestamp", "sizeDeltaUsd")
@@ -104,7 +105,7 @@ SELECT '42161' AS chain_id, tx AS tx_hash, '10' AS log_index, account, tx AS ord
 def _normalize(spark, d):
     # Executions and creations read the same pages, so they are parsed and written once.
     pages = pin(sp.parse_pages(page_texts(spark, d)), "pages")
-    rows = sp.normalize_execution(sp.ingest_action_pages(pages, _LOW, _HIGH), sp.page_creations(pages), 42161)
+    rows = sp.normalize_execution(sp.ingest_action_pages(pages), sp.page_creations(pages), 42161)
     return rows.withColumn("faults", F.size("faults"))
 
 
@@ -216,13 +217,12 @@ def _external(spark, d):
 
 
 @query("write_results", f"""WITH {t.EVENT_TRADES_SQL}, {t.FLAGS_SQL}
-SELECT account, CAST(ts AS DATE) AS day, count(CASE WHEN opened THEN 1 END) AS increases FROM flagged
-WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2""")
+SELECT account, CAST(ts AS DATE) AS day, count(CASE WHEN opened THEN 1 END) AS increases FROM flagged GROUP BY 1, 2""")
 def _write(spark, d):
     from recohort.operators.cohort import wallet_daily
     path = new_folder(spark, "wallet_daily")
     sf.write_results(wallet_daily(t.event_trades(spark, d)), path, partition=["day"])
-    return spark.read.parquet(path).filter("day >= DATE '2024-01-10' AND day < DATE '2024-01-13'").select("account", "day", "increases")
+    return spark.read.parquet(path).select("account", "day", "increases")
 
 
 @query("file_digest_manifest", """SELECT CAST(doc_id AS VARCHAR) AS file, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256,

@@ -174,14 +174,11 @@ samples AS (
   LEFT JOIN spread s ON s.as_of = p.as_of AND s.account = p.account)"""
 
 
-# Matched events: lines shipped in 1997 with their order.
+# Matched events: every line with its order.
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").filter(
-        (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
-        & (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,8 +218,7 @@ def creations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MATCH_SQL = """WITH lines AS (
-  SELECT l.*, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE l.l_shipdate >= TIMESTAMP '1997-01-01' AND l.l_shipdate < TIMESTAMP '1998-01-01'),
+  SELECT l.*, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 positions AS (
   SELECT CAST(l_shipdate AS DATE) AS block_date, l_shipdate AS block_time, l_orderkey AS tx_hash,
          CAST(l_linenumber AS BIGINT) AS position_index,
