@@ -18,7 +18,7 @@ HEADLINE = (
     "event_quality_profile", "daily_quality", "cohort_intersection", "full_outer_match", "densify_dates",
     "retention_metrics_long", "landmark_samples", "split_summary", "feature_shift", "evaluate_scores",
     "subgroup_metrics", "reliability_bins", "reward_epoch_summary", "reconcile_daily", "compare_tables",
-    "score_logistic", "score_boosting",
+    "score_logistic", "score_boosting", "score_mlp", "permutation_importance", "model_metrics",
 )
 
 

@@ -5,34 +5,42 @@ Only fitted parameters and one metric per candidate reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recohort.contracts import BINARY_FEATURE, FEATURES, LOG_FEATURES
 from recohort.operators.evaluation import average_precision
 from recohort.operators.ranking import positions
-from recohort.session import pin
+from recohort.session import pin, shared_folder
 
 SEEDS = (17, 42, 73)  # Fixed values: seeds of the neural runs; 42 is the primary one.
 PRIMARY_SEED = 42
+PARALLEL = 4  # Fits that run at once.
 SCALED = tuple(name for name in FEATURES if name != BINARY_FEATURE)
 _ID = ("account", "as_of", "split", "label")
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """A model, the setting that won on validation, and every candidate's validation score."""
+    """A model, the setting that won on validation, and every candidate's validation score.
+
+    ``rounds`` says how many trees of a boosted model count; the model may have more.
+    """
 
     name: str
     model: Model
     setting: float
     candidates: tuple[tuple[float, float | None], ...]
+    rounds: int | None = None
 
 
 def _logged(name: str) -> Column:
@@ -67,21 +75,54 @@ def with_vector(scaled: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
 
 
+def _kept(rows: DataFrame) -> list[str]:
+    return [name for name in rows.columns if name not in ("features", *FEATURES)]
+
+
 def _scored(model: Model, rows: DataFrame) -> DataFrame:
-    out = model.transform(rows)
-    keep = [name for name in rows.columns if name not in ("features", *FEATURES)]
-    return out.select(*keep, vector_to_array("probability")[1].alias("score"))
+    return model.transform(rows).select(*_kept(rows), vector_to_array("probability")[1].alias("score"))
+
+
+def staged_scores(model: Model, rows: DataFrame, stages: list[int]) -> DataFrame:
+    """Scores of a boosted model cut off after each number of rounds, one column ``score_<rounds>`` each.
+
+    Boosting adds one tree a round, so the first trees of a long fit are the model of a shorter one,
+    and their weighted sum is its margin.
+    """
+    trees, weights, kept = model.trees, model.treeWeights, _kept(rows)
+    out, margin, found = rows, F.lit(0.0), {}
+    for k in range(max(stages)):
+        out = trees[k].setPredictionCol(f"_tree{k}").transform(out)
+        margin = margin + F.lit(float(weights[k])) * F.col(f"_tree{k}")
+        if k + 1 in stages:
+            found[k + 1] = F.lit(1.0) / (1 + F.exp(-2 * margin))
+    return out.select(*kept, *[found[stage].alias(f"score_{stage}") for stage in stages])
+
+
+def _together(spark: SparkSession, jobs: list[Callable[[], object]]) -> list:
+    """Results of independent fits, which share the cluster instead of waiting for each other."""
+    with ThreadPoolExecutor(min(len(jobs), PARALLEL)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def _training(rows: DataFrame) -> DataFrame:
+    """What fits read again and again, kept in memory or on disk; the caller unpersists it."""
+    return rows.filter(F.col("split") == "train").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _best(found: dict[int, float | None], count: int) -> int:
+    return max(range(count), key=lambda i: (found.get(i) is not None, found.get(i) or 0.0, -i))
 
 
 def _choose(name: str, rows: DataFrame, settings, build) -> Fitted:
     """Fit every candidate on training rows and keep the best; all are evaluated in one pass."""
-    train = rows.filter(F.col("split") == "train")
-    validation = rows.filter(F.col("split") == "validation")
-    models = [build(setting).fit(train) for setting in settings]
+    train, validation = _training(rows), rows.filter(F.col("split") == "validation")
+    models = _together(rows.sparkSession, [partial(build(setting).fit, train) for setting in settings])
+    train.unpersist()
     scored = reduce(DataFrame.unionByName, [
         _scored(model, validation).withColumn("candidate", F.lit(i)) for i, model in enumerate(models)])
     found = {row["candidate"]: row["average_precision"] for row in average_precision(scored, ("candidate",)).collect()}
-    best = max(range(len(models)), key=lambda i: (found.get(i) is not None, found.get(i) or 0.0, -i))
+    best = _best(found, len(models))
     tried = tuple((float(setting), found.get(i)) for i, setting in enumerate(settings))
     return Fitted(name, models[best], float(settings[best]), tried)
 
@@ -104,10 +145,43 @@ def fit_logistic(rows: DataFrame, strengths=(0.1, 1.0, 10.0)) -> Fitted:
         regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-5))
 
 
+def optimality(fitted: Fitted, rows: DataFrame) -> DataFrame:
+    """Gradient of the penalised mean loss at the fitted weights, one row per feature and one for the intercept.
+
+    At the optimum every component is zero: mean((p - y) x) + weight / (C n), without the penalty for the
+    intercept. One aggregate over the training rows, whatever the solver did.
+    """
+    scored = _scored(fitted.model, rows.filter(F.col("split") == "train").withColumn("_x", F.array(*FEATURES)))
+    error = F.col("score") - F.col("label")
+    sums = scored.agg(F.count("*").alias("train_rows"), F.count_if(F.col("label") == 1).alias("train_positives"),
+                      *[F.avg(error * F.get("_x", F.lit(i))).alias(f"g{i}") for i in range(len(FEATURES))], F.avg(error).alias("g_intercept"))
+    names = [*FEATURES, "intercept"]
+    weights = [*map(float, fitted.model.coefficients), 0.0]
+    parts = [F.struct(F.lit(name).alias("feature"), F.lit(weight).alias("weight"),
+                      (F.col("g_intercept" if name == "intercept" else f"g{i}") + F.lit(weight) / (F.lit(fitted.setting) * F.col("train_rows"))).alias("gradient"))
+             for i, (name, weight) in enumerate(zip(names, weights, strict=True))]
+    return sums.select("train_rows", "train_positives", F.explode(F.array(*parts)).alias("part")).select("part.*", "train_rows", "train_positives")
+
+
 def fit_boosting(rows: DataFrame, rounds=(100, 200), depth: int = 3, rate: float = 0.05) -> Fitted:
-    """Boosted small trees."""
-    return _choose("gradient_boosting", rows, rounds, lambda r: GBTClassifier(
-        maxIter=r, maxDepth=depth, stepSize=rate, seed=PRIMARY_SEED, cacheNodeIds=True, checkpointInterval=-1))
+    """Boosted small trees: one fit of the most rounds, whose first trees are the other candidates."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{shared_folder(rows.sparkSession)}/checkpoints")
+    train, validation = _training(rows), rows.filter(F.col("split") == "validation")
+    # Each round builds on the one before; the interval keeps that lineage short.
+    model = GBTClassifier(maxIter=max(rounds), maxDepth=depth, stepSize=rate, seed=PRIMARY_SEED, checkpointInterval=25).fit(train)
+    train.unpersist()
+    # A fit may end early, when nothing is left to learn.
+    stages = sorted({min(r, len(model.trees)) for r in rounds})
+    scored = staged_scores(model, validation, stages)
+    columns = F.explode(F.array(*[F.struct(F.lit(s).alias("candidate"), F.col(f"score_{s}").alias("score")) for s in stages])).alias("c")
+    each = scored.select("account", "label", columns).select("account", "label", "c.*")
+    by_stage = {row["candidate"]: row["average_precision"] for row in average_precision(each, ("candidate",)).collect()}
+    found = {i: by_stage.get(min(r, len(model.trees))) for i, r in enumerate(rounds)}
+    best = _best(found, len(rounds))
+    tried = tuple((float(r), found[i]) for i, r in enumerate(rounds))
+    return Fitted("gradient_boosting", model, float(rounds[best]), tried, min(rounds[best], len(model.trees)))
 
 
 def fit_mlp(rows: DataFrame, seed: int = PRIMARY_SEED, iterations=(50, 100)) -> Fitted:
@@ -117,6 +191,8 @@ def fit_mlp(rows: DataFrame, seed: int = PRIMARY_SEED, iterations=(50, 100)) ->
 
 
 def score_model(fitted: Fitted, rows: DataFrame) -> DataFrame:
+    if fitted.rounds is not None:
+        return staged_scores(fitted.model, rows, [fitted.rounds]).withColumnRenamed(f"score_{fitted.rounds}", "score")
     return _scored(fitted.model, rows)
 
 
@@ -128,32 +204,50 @@ def score_boosting(rows: DataFrame, rounds=(100, 200)) -> DataFrame:
     return score_model(fit_boosting(rows, rounds), rows)
 
 
+def fit_networks(rows: DataFrame, seeds=SEEDS, iterations=(50, 100)) -> dict[int, Fitted]:
+    """The network of each seed, all fitted at once."""
+    return dict(zip(seeds, _together(rows.sparkSession, [partial(fit_mlp, rows, seed, iterations) for seed in seeds]), strict=True))
+
+
 def score_mlp(rows: DataFrame, seeds=SEEDS, iterations=(50, 100)) -> DataFrame:
     """Scores of every seed."""
-    runs = [score_model(fit_mlp(rows, seed, iterations), rows).withColumn("seed", F.lit(seed)) for seed in seeds]
-    return reduce(DataFrame.unionByName, runs)
+    fitted = fit_networks(rows, seeds, iterations)
+    return reduce(DataFrame.unionByName, [score_model(f, rows).withColumn("seed", F.lit(seed)) for seed, f in fitted.items()])
 
 
-def permutation_importance(fitted: Fitted, rows: DataFrame, repeats: int = 10, seed: int = PRIMARY_SEED) -> DataFrame:
+def shuffled_by_key(rows: DataFrame, repeats: int, seed: int, keep: list[Column]) -> DataFrame:
+    """For each repeat the rows in an order that depends on key and seed alone: (rep, position, kept columns).
+
+    The order is that of the SHA-256 of ``account:seed:repeat``, so any engine repeats it.
+    """
+    reps = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+    drawn = rows.select(reps.alias("rep"), "account", *keep).withColumn("_h", F.sha2(F.concat_ws(":", F.col("account").cast("string"), F.lit(str(seed)), "rep"), 256))
+    return positions(drawn, [F.asc("_h"), F.asc("account")], ("rep",)).drop("_h", "group_size")
+
+
+def permutation_importance(scorer: Fitted | Callable[[DataFrame], DataFrame], rows: DataFrame, repeats: int = 10,
+                           seed: int = PRIMARY_SEED) -> DataFrame:
     """Loss of validation average precision when one feature is shuffled: mean and population deviation.
 
-    A repeat's shuffle pairs two global orders of the rows, by account and by a seeded hash. The
-    pairs meet on (repeat, position), and all repeats and features are scored in one pass.
+    ``scorer`` is a fitted model, or a function that adds ``score`` to rows with the features. A repeat's
+    shuffle pairs the rows in the order of their accounts with the rows in a keyed order; the pairs
+    meet on (repeat, position), and all repeats and features are scored in one pass.
     """
+    def score(found: DataFrame) -> DataFrame:
+        return score_model(scorer, with_vector(found)) if isinstance(scorer, Fitted) else scorer(found)
+
     validation = rows.filter(F.col("split") == "validation").select("account", "label", *FEATURES)
     base = positions(validation, [F.asc("account")])
+    donors = shuffled_by_key(validation, repeats, seed, [F.array(*FEATURES).alias("donor")]).drop("account")
     reps = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    shuffled = validation.select(reps.alias("rep"), "account", F.array(*FEATURES).alias("donor")).withColumn(
-        "_h", F.xxhash64("account", F.lit(seed), "rep"))
-    donors = positions(shuffled, [F.asc("_h"), F.asc("account")], ("rep",)).select("rep", "position", "donor")
     own = base.select(reps.alias("rep"), "position", "account", "label", F.array(*FEATURES).alias("own"))
     pairs = own.join(donors, ["rep", "position"])
     spread = pairs.select("rep", "account", "label", "own", "donor",
                           F.explode(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))).alias("f"))
     mixed = [F.when(F.col("f") == i, F.get("donor", F.lit(i))).otherwise(F.get("own", F.lit(i))).alias(name)
              for i, name in enumerate(FEATURES)]
-    scored = _scored(fitted.model, with_vector(spread.select("rep", "f", "account", "label", *mixed)))
-    baseline = average_precision(_scored(fitted.model, with_vector(validation))).scalar()
+    scored = score(spread.select("rep", "f", "account", "label", *mixed)).select("rep", "f", "account", "label", "score")
+    baseline = average_precision(score(validation)).scalar()
     drops = average_precision(scored, ("rep", "f")).withColumn("drop", baseline - F.col("average_precision"))
     names = F.array(*[F.lit(name) for name in FEATURES])
     return (drops.groupBy(F.get(names, F.col("f")).alias("feature"))

@@ -32,7 +32,7 @@ def run_study(samples: DataFrame, repeats: int = 10, seeds=mo.SEEDS, rounds=(100
     """Scores of every run, validation and test metrics, subgroups, selection and importance."""
     rows = mo.prepared(samples)
     logistic, boosting = mo.fit_logistic(rows), mo.fit_boosting(rows, rounds)
-    networks = {seed: mo.fit_mlp(rows, seed, iterations) for seed in seeds}
+    networks = mo.fit_networks(rows, seeds, iterations)
     primary = mo.PRIMARY_SEED if mo.PRIMARY_SEED in networks else seeds[0]
 
     def run(scores: DataFrame, name: str, seed: int | None = None) -> DataFrame:

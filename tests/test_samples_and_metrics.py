@@ -1,5 +1,6 @@
 """Feature boundaries, invariance to the future, metrics against plain formulas, leakage."""
 
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -235,3 +236,57 @@ def test_whole_curve_has_every_threshold(spark):
     assert [r.point for r in curve] == list(range(1001)) and (curve[-1].precision, curve[-1].recall) == (1.0, 0.0)
     thinned = {r.point: tuple(r[1:4]) for r in ev.pr_curve_points(scores).collect()}
     assert len(thinned) == 500 and all(tuple(curve[p][1:4]) == r for p, r in thinned.items())
+
+
+def test_gradient_is_zero_at_the_fitted_weights(study):
+    rows = mo.prepared(study)
+    fitted = mo.fit_logistic(rows, (0.5, 5.0))
+    found = {r.feature: r for r in mo.optimality(fitted, rows).collect()}
+    assert set(found) == {*FEATURES, "intercept"} and all(abs(r.gradient) < 1e-5 for r in found.values())
+    assert {(r.train_rows, r.train_positives) for r in found.values()} == {(64, 32)}
+    # By hand, and not zero elsewhere: the same weights under another penalty.
+    train = [r for r in mo.score_model(fitted, rows.select("*", F.array(*FEATURES).alias("x"))).collect() if r.split == "train"]
+    for i, name in enumerate(FEATURES):
+        by_hand = sum((r.score - r.label) * r.x[i] for r in train) / 64 + found[name].weight / (fitted.setting * 64)
+        assert found[name].gradient == pytest.approx(by_hand, abs=1e-12)
+    other = mo.Fitted(fitted.name, fitted.model, fitted.setting / 100, ())
+    assert max(abs(r.gradient) for r in mo.optimality(other, rows).collect()) > 1e-3
+
+
+def test_first_trees_of_a_long_fit_are_the_short_fit(study):
+    rows = mo.prepared(study.withColumn("label", F.when(F.col("opening_count_7d") > 4, 1).otherwise(F.col("label"))))
+    together = mo.fit_boosting(rows, (3, 8))
+    staged = mo.staged_scores(together.model, rows, [3, 8])
+    for rounds in (3, 8):
+        alone = mo.fit_boosting(rows, (rounds,))
+        pairs = staged.join(mo.score_model(alone, rows), ["account", "as_of"])
+        assert pairs.agg(F.max(F.abs(F.col("score") - F.col(f"score_{rounds}")))).first()[0] < 1e-12
+        assert dict(together.candidates)[float(rounds)] == alone.candidates[0][1]
+    assert together.rounds == int(together.setting)
+    assert mo.score_model(together, rows).columns == ["account", "as_of", "split", "label", "score"]
+
+
+def test_importance_of_a_given_score(study):
+    rows = study.filter("split = 'validation'").collect()
+    found = {r.feature: r for r in mo.permutation_importance(
+        lambda frame: frame.withColumn("score", F.col("opening_count_7d") + F.col("top_market_share_30d")), study, repeats=4, seed=7).collect()}
+
+    def precision(pairs):
+        pairs = sorted(pairs, reverse=True)
+        total, hits, value = sum(label for _, label in pairs), 0, 0.0
+        for score in sorted({s for s, _ in pairs}, reverse=True):
+            own = [label for s, label in pairs if s == score]
+            hits += sum(own)
+            value += sum(own) / total * hits / sum(s >= score for s, _ in pairs)
+        return value
+
+    rows = sorted(rows, key=lambda r: r.account)
+    base = precision([(r.opening_count_7d + r.top_market_share_30d, r.label) for r in rows])
+    for feature in FEATURES:
+        drops = []
+        for rep in range(1, 5):
+            donors = sorted(rows, key=lambda r: (hashlib.sha256(f"{r.account}:7:{rep}".encode()).hexdigest(), r.account))
+            mixed = [{**r.asDict(), feature: d[feature]} for r, d in zip(rows, donors, strict=True)]
+            drops.append(base - precision([(m["opening_count_7d"] + m["top_market_share_30d"], m["label"]) for m in mixed]))
+        assert found[feature].ap_drop_mean == pytest.approx(sum(drops) / 4, abs=1e-12) and found[feature].repeats == 4
+    assert found["opening_count_60d"].ap_drop_std == 0

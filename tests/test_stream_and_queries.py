@@ -1,5 +1,6 @@
 """Incremental ingest over landed parts, and every registered query beside its SQL."""
 
+import inspect
 from datetime import datetime, timedelta
 
 import pytest
@@ -69,18 +70,16 @@ def test_entry(spark):
 
 
 def test_registered_models_use_the_operators_settings(monkeypatch):
-    from unittest.mock import MagicMock
-
+    from recohort.operators import models as mo
     from recohort.suite import models
 
-    tried, explained = [], []
-    monkeypatch.setattr(models, "_prepared", lambda spark, d: MagicMock())
-    monkeypatch.setattr(models, "rounded", lambda rows, *names, digits: rows)
-    monkeypatch.setattr(models.mo, "_choose", lambda name, rows, settings, build: tried.append((name, settings)) or name)
-    monkeypatch.setattr(models.mo, "score_model", lambda fitted, rows: MagicMock())
-    monkeypatch.setattr(models.mo.F, "lit", lambda value: value)
-    monkeypatch.setattr(models.mo, "reduce", lambda join, runs: runs)
-    monkeypatch.setattr(models.mo, "permutation_importance", lambda fitted, rows: explained.append(fitted))
-    for name in ("score_boosting", "score_mlp", "permutation_importance"):
-        QUERIES[name].__wrapped__(None, "")
-    assert tried == [("gradient_boosting", (100, 200))] + [("mlp", (50, 100))] * 4 and explained == ["mlp"]
+    assert inspect.signature(mo.fit_boosting).parameters["rounds"].default == (100, 200)
+    assert inspect.signature(mo.fit_networks).parameters["iterations"].default == (50, 100)
+    assert inspect.signature(mo.fit_networks).parameters["seeds"].default == (17, 42, 73)
+    given = []
+    monkeypatch.setattr(models, "_prepared", lambda spark, d: "rows")
+    for name in ("fit_logistic", "fit_boosting", "fit_networks"):
+        monkeypatch.setattr(models.mo, name, lambda *args, name=name, **more: given.append((name, args, more)))
+    for fit in (models._logistic_fit, models._boosting_fit, models._network_fits):
+        fit.__wrapped__(None, "")
+    assert given == [(name, ("rows",), {}) for name in ("fit_logistic", "fit_boosting", "fit_networks")]
