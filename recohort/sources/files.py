@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recohort.functions.scalars import fold, git_blob_digest
+from recohort.sources.headed import plain_name, read_headed_csv
 
-
-def normalized_names(names: list[str], required: tuple[str, ...]) -> list[str]:
-    """Trimmed, case-folded names; refuses missing or repeated ones."""
-    folded = [name.lstrip("\ufeff").strip().casefold() for name in names]
-    if len(set(folded)) != len(folded) or not set(required) <= set(folded):
-        raise ValueError("missing or duplicate columns")
-    return folded
+STREAMED_ABOVE = 256 << 20  # Bytes of a file that may be one row.
+PIECE = 4 << 20
 
 
 def normalized_header(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    return rows.toDF(*normalized_names(rows.columns, required))
+    """The columns under trimmed, case-folded names; refuses missing or repeated ones."""
+    folded = [plain_name(name) for name in rows.columns]
+    if len(set(folded)) != len(folded) or not set(required) <= set(folded):
+        raise ValueError(f"missing or duplicate columns: {folded}")
+    return rows.toDF(*folded)
 
 
 def read_external_export(spark: SparkSession, path, required: tuple[str, ...], key: str) -> DataFrame:
-    """An export as text with normalized names and key."""
-    # The reader renames repeated names, so the header line is checked as data first.
-    header = spark.read.csv(path).limit(1).collect()
-    names = normalized_names([value or "" for value in header[0]] if header else [], required)
-    rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(path).toDF(*names)
+    """An export as text with normalized names and key; every file is read by its own header.
+
+    A line that does not fit its header has a null key, which the key gate reports.
+    """
+    rows = read_headed_csv(spark, path, required).select(*required)
     return rows.withColumn(key, fold(F.col(key)))
 
 
@@ -55,10 +61,34 @@ def write_results(rows: DataFrame, path: str, kind: str = "parquet", order: list
     writer.format(kind).save(path)
 
 
-def file_digest_manifest(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """Bytes, SHA-256 and Git blob SHA-1 of each file."""
+def file_digest_manifest(spark: SparkSession, path, pattern: str = "*", streamed_above: int = STREAMED_ABOVE) -> DataFrame:
+    """Bytes, SHA-256 and Git blob SHA-1 of each file, whatever its size.
+
+    Small files are digested as rows; a file above the bound, which may not fit in a row (2 GiB) or in
+    memory, is opened by its task and digested a few megabytes at a time.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return content_digests(files.select(F.col("path").alias("file"), "content"))
+    small = content_digests(files.filter(F.col("length") <= streamed_above).select(F.col("path").alias("file"), "content"))
+    # Without the column of contents, the listing reads no content.
+    large = files.filter(F.col("length") > streamed_above).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    return small.unionByName(large.repartition("file").mapInArrow(_streamed_digests, "file string, bytes long, sha256 string, git_sha1 string"))
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            system, place = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file:///") else file)
+            sha, git, seen = hashlib.sha256(), hashlib.sha1(b"blob %d\0" % size), 0
+            with system.open_input_stream(unquote(place)) as source:
+                while piece := source.read(PIECE):
+                    sha.update(piece)
+                    git.update(piece)
+                    seen += len(piece)
+            if seen != size:
+                raise ValueError(f"{file} changed while it was read")
+            rows.append({"file": file, "bytes": size, "sha256": sha.hexdigest(), "git_sha1": git.hexdigest()})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("git_sha1", pa.string())]))
 
 
 def content_digests(contents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recohort.contracts import DECREASE_CODES, INCREASE_CODES, LIQUIDATION_CODE
 from recohort.functions.exact import fee_fault, net_fee, scale_usd
@@ -17,16 +17,32 @@ ACTION_SCHEMA = ("id string, eventName string, orderKey string, orderType int, a
 PAGE_SCHEMA = f"data struct<tradeActions: array<struct<{', '.join(c.replace(' ', ': ', 1) for c in ACTION_SCHEMA.split(', '))}>>>"
 
 
+_CORRUPT = "_corrupt"
+
+
 def read_pages(spark: SparkSession, path) -> DataFrame:
-    """One row per page file."""
-    return (spark.read.schema(PAGE_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-            .select(F.input_file_name().alias("page"), F.col("data.tradeActions").alias("actions")))
+    """One row per page file: page, actions and ``fault``, which is null for a readable page."""
+    rows = (spark.read.schema(f"{PAGE_SCHEMA}, {_CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    actions = F.col("data.tradeActions")
+    return rows.select(F.col("_metadata.file_path").alias("page"), actions.alias("actions"), _page_fault(F.col(_CORRUPT).isNotNull(), actions))
 
 
 def parse_pages(texts: DataFrame) -> DataFrame:
-    """Pages from (page, text) rows."""
-    parsed = F.from_json("text", PAGE_SCHEMA, {"mode": "FAILFAST"})
-    return texts.select("page", parsed["data"]["tradeActions"].alias("actions"))
+    """The same from (page, text) rows, as of pages that are lines of a file."""
+    parsed = F.from_json("text", f"{PAGE_SCHEMA}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = texts.select("page", parsed.alias("p"))
+    actions = F.col("p.data.tradeActions")
+    return rows.select("page", actions.alias("actions"), _page_fault(F.col(f"p.{_CORRUPT}").isNotNull(), actions))
+
+
+def _page_fault(corrupt: Column, actions: Column) -> Column:
+    return F.when(corrupt, "unreadable page").when(actions.isNull(), "page without a list of actions").alias("fault")
+
+
+def page_faults(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be used, to be enforced before their records are."""
+    return pages.filter(F.col("fault").isNotNull()).select("page", F.col("fault").alias("rule"))
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from recohort.contracts import Campaign, utc
 from recohort.operators import cohort as co, gates, ranking
 from recohort.plans import campaign_case, cross_check
 from recohort.sources import events as se
+from tests.fixtures import boundary_fixture
 
 CASE = Campaign(datetime(2023, 11, 15), datetime(2024, 3, 29))
 COVERAGE = (datetime(2023, 9, 20), datetime(2024, 5, 29))
@@ -16,7 +17,7 @@ COVERAGE = (datetime(2023, 9, 20), datetime(2024, 5, 29))
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    return se.boundary_fixture(spark, CASE.start, CASE.end).cache()
+    return boundary_fixture(spark, CASE.start, CASE.end).cache()
 
 
 def changed(raw, index, column, value):
@@ -136,9 +137,14 @@ def test_duplicate_gate(raw):
 def test_boundary_and_provenance_gates():
     with pytest.raises(ValueError, match="30 full"):
         gates.check_case_boundaries(CASE, COVERAGE[0], datetime(2024, 4, 27))
-    with pytest.raises(ValueError, match="unverified"):
+    with pytest.raises(ValueError, match="the campaign and 30 full"):
+        gates.check_case_boundaries(CASE, COVERAGE[1], COVERAGE[0])
+    gates.check_provenance({"is_synthetic": False, "boundary_status": "provisional"}, {"is_synthetic": False}, exploratory=True)
+    gates.check_provenance({"is_synthetic": True, "boundary_status": "synthetic"}, {"is_synthetic": True})
+    assert gates.provenance_problems({"is_synthetic": False, "boundary_status": "synthetic"}, {"is_synthetic": False})
+    with pytest.raises(ValueError, match="nobody verified"):
         gates.check_provenance({"is_synthetic": False, "boundary_status": "provisional"}, {"is_synthetic": False})
-    with pytest.raises(ValueError, match="disagree"):
+    with pytest.raises(ValueError, match="different things"):
         gates.check_provenance({"is_synthetic": True, "boundary_status": "synthetic"}, {"is_synthetic": False})
     with pytest.raises(ValueError, match="timezone"):
         utc("2024-03-29T00:00:00")
@@ -155,7 +161,7 @@ def test_csv_round_trip(spark, raw, tmp_path):
     campaign_case.write_case(tables, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/wallet_cohorts")).count() == 6
     raw.drop("market").write.option("header", True).csv(str(tmp_path / "short"))
-    with pytest.raises(ValueError, match="missing required"):
+    with pytest.raises(ValueError, match="required columns"):
         se.read_event_text(spark, str(tmp_path / "short"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recohort.plans.history import merge_history, publish
-from recohort.sources.events import boundary_fixture
+from tests.fixtures import boundary_fixture
 
 WEEKS = [("2023-09-20T00:00:00Z", "2023-09-27T00:00:00Z"), ("2023-09-27T00:00:00Z", "2023-10-04T00:00:00Z")]
 COVERAGE = (datetime(2023, 9, 20), datetime(2023, 10, 4))

@@ -98,7 +98,7 @@ def test_fee_gate_and_frozen_counts(spark):
 
 @pytest.mark.parametrize("train, validation, message", [
     ([datetime(2023, 11, 15)], datetime(2023, 12, 1), "mature"), ([datetime(2023, 11, 15)], datetime(2024, 2, 15), "mature"),
-    ([datetime(2023, 11, 15)], datetime(2024, 1, 1, 12), "midnight"), ([], datetime(2024, 1, 1), "midnight"),
+    ([datetime(2023, 11, 15)], datetime(2024, 1, 1, 12), "midnight"), ([], datetime(2024, 1, 1), "training cutoffs"),
     ([datetime(2023, 10, 15)], datetime(2024, 1, 1), "increase")])
 def test_cutoffs(train, validation, message):
     with pytest.raises(ValueError, match=message):
