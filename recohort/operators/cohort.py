@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recohort.contracts import Campaign, midnight
 from recohort.functions.scalars import rate
 from recohort.functions.times import distinct_days, entry_week, instant, within
-from recohort.operators.classify import history_kind, opening, participation
+from recohort.operators.classify import history_kind, opening, participation, withhold_metric
 
 RETURN_FLAGS = ("r30", "cumulative30", "sustained30", "open_or_decrease30", "voluntary30", "strict_r30", "r60")
 
@@ -115,7 +115,7 @@ def summary_row(profile: DataFrame, *, coverage_end: datetime | None = None,
     withheld = {"strict_r30": F.col("strict_missing") > 0, "r60": F.lit(not long_enough),
                 "voluntary30": F.lit(not decreases_verified)}
     return totals.select("cohort_size", "strict_missing", *[
-        F.when(~withheld.get(name, F.lit(False)), F.col(name)).alias(name) for name in RETURN_FLAGS])
+        withhold_metric(F.col(name), withheld.get(name, F.lit(False))).alias(name) for name in RETURN_FLAGS])
 
 
 def _long(totals: DataFrame, metrics) -> DataFrame:

@@ -58,11 +58,13 @@ def snapshot_provenance(parts: DataFrame) -> DataFrame:
         single("normalization_version"), F.sum("row_count").alias("row_count"))
 
 
-def merge_partitions(parts: list[DataFrame]) -> DataFrame:
-    """Union of typed parts by column name; the gates above run before it."""
-    if not parts:
-        raise ValueError("history partitions are empty")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def merge_partitions(rows: DataFrame, parts: DataFrame, time: str = "timestamp") -> DataFrame:
+    """Rows with the part (part_start, part_end) that each belongs to; what no part wants is left out.
+
+    One pass over the rows for any number of parts: the starts, which do not overlap once the gates above
+    have passed, are one sorted array beside each row.
+    """
+    starts = parts.agg(F.sort_array(F.collect_list(F.struct("part_start", "part_end"))).alias("all")).scalar()
+    mine = F.filter("_parts", lambda p: (p["part_start"] <= F.col(time)) & (F.col(time) < p["part_end"]))
+    placed = rows.withColumn("_parts", starts).withColumn("_part", F.get(mine, F.lit(0)))
+    return placed.filter("_part IS NOT NULL").select("*", "_part.part_start", "_part.part_end").drop("_part", "_parts")

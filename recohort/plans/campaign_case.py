@@ -15,9 +15,10 @@ from recohort.sources.files import write_results
 
 def load_checked(spark, path, chain_id: int, coverage: tuple[datetime, datetime], size_type: str = "double") -> DataFrame:
     """Typed events of a CSV snapshot; any broken row or repeated event refuses the whole snapshot."""
-    raw = read_event_text(prepare(spark), path)
-    gates.enforce(gates.validate_rows(raw, chain_id, *coverage))
-    trades = type_events(raw, size_type)
+    raw = pin(read_event_text(prepare(spark), path), "raw")
+    gates.enforce(gates.validate_rows(raw, chain_id, *coverage, size_type=size_type))
+    # Typed once: every table of a case reads these rows again.
+    trades = pin(type_events(raw, size_type), "events")
     gates.enforce(gates.validate_unique_events(trades))
     return trades
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recohort.contracts import EVENT_FIELDS
 from recohort.functions.times import iso, utc_instant
 from recohort.sources.headed import read_headed_csv
 
-TEXT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in EVENT_FIELDS])
-
-
 def read_event_text(spark: SparkSession, path) -> DataFrame:
     """Every column as text in contract order, whatever the order in each file's header; missing ones are refused.
 
@@ -19,12 +16,7 @@ def read_event_text(spark: SparkSession, path) -> DataFrame:
     return read_headed_csv(spark, path, EVENT_FIELDS).select(*EVENT_FIELDS)
 
 
-def parse_event_lines(lines: Column) -> Column:
-    """Struct of text fields from one CSV line."""
-    return F.from_csv(lines, TEXT_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "))
-
-
-def type_events(raw: DataFrame, size_type: str = "double") -> DataFrame:
+def type_events(raw: DataFrame, size_type: str = "double", keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed events from text; identifiers are lower-cased and unusable values become null.
 
     The gates run on the text, so a null here is never silently a value. ``size_type`` may be a
@@ -38,7 +30,7 @@ def type_events(raw: DataFrame, size_type: str = "double") -> DataFrame:
         F.col("success").try_cast("boolean").alias("success"),
         F.col("size_delta_usd").try_cast(size_type).alias("size_delta_usd"),
         F.col("position_fee_usd").try_cast("decimal(38,12)").alias("position_fee_usd"),
-        utc_instant(F.col("order_created_at")).alias("order_created_at"))
+        utc_instant(F.col("order_created_at")).alias("order_created_at"), *keep)
 
 
 def event_text(trades: DataFrame) -> DataFrame:

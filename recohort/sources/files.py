@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -62,7 +62,7 @@ def write_results(rows: DataFrame, path: str, kind: str = "parquet", order: list
 
 
 def file_digest_manifest(spark: SparkSession, path, pattern: str = "*", streamed_above: int = STREAMED_ABOVE) -> DataFrame:
-    """Bytes, SHA-256 and Git blob SHA-1 of each file, whatever its size.
+    """Bytes, SHA-256 and Git blob SHA-1 of each file, whatever its size; Spark lists no empty files.
 
     Small files are digested as rows; a file above the bound, which may not fit in a row (2 GiB) or in
     memory, is opened by its task and digested a few megabytes at a time.
@@ -78,9 +78,12 @@ def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         rows = []
         for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            system, place = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file:///") else file)
+            if file.startswith("file:"):
+                system, place = fs.LocalFileSystem(), "/" + file.removeprefix("file:").lstrip("/")
+            else:
+                system, place = fs.FileSystem.from_uri(quote(file, safe=":/@"))
             sha, git, seen = hashlib.sha256(), hashlib.sha1(b"blob %d\0" % size), 0
-            with system.open_input_stream(unquote(place)) as source:
+            with system.open_input_stream(place) as source:
                 while piece := source.read(PIECE):
                     sha.update(piece)
                     git.update(piece)

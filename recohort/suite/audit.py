@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from recohort.contracts import Campaign, AUDIT_FIELDS, DAILY_FIELDS
 from recohort.operators import classify, cohort as co, matching as m, quality
-from recohort.session import pin
+from recohort.session import new_folder, pin
+from recohort.sources.files import write_results
 from recohort.suite import tables as t
 from recohort.suite.registry import query, rounded
 
@@ -35,7 +36,10 @@ def _grid(spark, d):
 @query("scan_decoded_events", """SELECT event_id, CAST(ts AS DATE) AS block_date, ts AS block_time, user_id AS account
 FROM events WHERE event_type IN ('view', 'click') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""")
 def _decoded(spark, d):
-    return classify.scan_decoded_events(_decoded_rows(spark, d), date(2024, 1, 5), date(2024, 1, 20), t.EMITTER).select(
+    # Stored by day, so that the bounds on the day leave whole folders unread.
+    path = new_folder(spark, "decoded")
+    write_results(_decoded_rows(spark, d), path, partition=["block_date"])
+    return classify.scan_decoded_events(spark.read.parquet(path), date(2024, 1, 5), date(2024, 1, 20), t.EMITTER).select(
         "event_id", "block_date", "block_time", "account")
 
 

@@ -6,8 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from recohort.functions.times import within
 from recohort.operators import classify, gates, partitions as pt, quality
+from recohort.plans.reward_report import reward_report
 from recohort.session import new_folder, pin
 from recohort.sources import events as se, files as sf, pages as sp, rewards as sr
 from recohort.streaming import ingest as stream
@@ -43,8 +43,16 @@ def event_text_rows(spark, d):
   CASE WHEN o_orderkey % 997 <> 0 THEN o_totalprice END AS position_fee_usd,
   CASE WHEN o_orderkey % 997 <> 0 THEN o_orderdate - to_days(CAST(o_orderkey % 60 AS INTEGER)) END AS order_created_at FROM orders""")
 def _scan(spark, d):
-    lines = event_text_rows(spark, d).select(F.concat_ws(",", "*").alias("line"))
-    return se.type_events(lines.select(se.parse_event_lines(F.col("line")).alias("r")).select("r.*"))
+    return se.type_events(se.read_event_text(spark, landed_events(spark, d)))
+
+
+def landed_events(spark, d) -> str:
+    """Event CSV in two sets of parts whose columns stand in different orders."""
+    path, rows = new_folder(spark, "landed-events"), event_text_rows(spark, d)
+    odd = F.col("tx_hash").substr(-3, 1).isin(*"13579")
+    sf.write_results(rows.filter(~odd), f"{path}/one", kind="csv")
+    sf.write_results(rows.filter(odd).select(*reversed(rows.columns)), f"{path}/two", kind="csv")
+    return f"{path}/*"
 
 
 def page_texts(spark, d):
@@ -71,6 +79,18 @@ def page_texts(spark, d):
                                               F.to_json(F.struct(F.struct(actions.alias("tradeActions")).alias("data"))).alias("text"))
 
 
+def landed_pages(spark, d, records: int = 1000) -> str:
+    """Page files as they come from an interface: many records each, one file a page."""
+    path = new_folder(spark, "landed-pages")
+    listed = F.get_json_object("text", "$.data.tradeActions")
+    inner = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    several = page_texts(spark, d).groupBy(F.floor(F.col("page").cast("bigint") / records).alias("page")).agg(
+        F.array_join(F.sort_array(F.collect_list(inner)), ",").alias("records"))
+    text = F.concat(F.lit('{"data":{"tradeActions":['), "records", F.lit("]}}"))
+    several.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(path)
+    return path
+
+
 _LOW, _HIGH = datetime(1996, 1, 1), datetime(1999, 1, 1)
 _PAGE_SQL = """WITH p AS (SELECT o_orderkey AS k, '0x' || lpad(CAST(o_orderkey AS VARCHAR), 64, '0') AS tx,
   '0xab' || lpad(CAST(o_custkey AS VARCHAR), 38, '0') AS account, o_orderdate AS ts, o_orderkey % 6 + 2 AS kind,
@@ -82,7 +102,9 @@ r AS (SELECT *, CASE WHEN k % 31 = 0 THEN '0' ELSE CAST(cents AS VARCHAR) || rep
 SELECT tx || ':10' AS id, kind AS "orderType", '0xAB' || substr(account, 5) AS account, CAST(epoch(ts) AS BIGINT) AS "timestamp", raw AS "sizeDeltaUsd" FROM r WHERE """
        + t.inside_sql("ts", _LOW, _HIGH))
 def _pages(spark, d):
-    return sp.ingest_action_pages(sp.parse_pages(page_texts(spark, d)), _LOW, _HIGH).select(
+    pages = pin(sp.read_pages(spark, landed_pages(spark, d)), "pages")
+    gates.enforce(sp.page_faults(pages))
+    return sp.ingest_action_pages(pages, _LOW, _HIGH).select(
         "id", "orderType", "account", "timestamp", "sizeDeltaUsd")
 
 
@@ -146,12 +168,15 @@ def _plan(spark, d):
     return pt.weekly_partition_plan(coverage)
 
 
-@query("merge_partitions", """SELECT year(o_orderdate)::BIGINT AS year, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS size FROM orders GROUP BY 1""")
+@query("merge_partitions", """WITH c AS (SELECT min(o_orderdate) AS a, max(o_orderdate) + INTERVAL '1 day' AS b FROM orders),
+s AS (SELECT unnest(generate_series(a, b - INTERVAL '1 microsecond', INTERVAL '7 days')) AS part_start, b FROM c),
+p AS (SELECT part_start, least(part_start + INTERVAL '7 days', b) AS part_end FROM s)
+SELECT o_orderkey AS tx_hash, part_start, part_end FROM orders JOIN p ON o_orderdate >= part_start AND o_orderdate < part_end""")
 def _merge(spark, d):
+    """Every order in the week of its snapshot, as one pass over any number of weeks."""
     trades = t.order_trades(spark, d)
-    parts = [trades.filter(within(F.col("timestamp"), datetime(y, 1, 1), datetime(y + 1, 1, 1))) for y in range(1995, 2002)]
-    return pt.merge_partitions(parts).groupBy(F.year("timestamp").alias("year")).agg(
-        F.count("*").alias("rows"), F.sum("size_delta_usd").alias("size"))
+    coverage = trades.agg(F.min("timestamp").alias("coverage_start"), (F.max("timestamp") + F.expr("INTERVAL '1' DAY")).alias("coverage_end"))
+    return pt.merge_partitions(trades, pt.weekly_partition_plan(coverage)).select("tx_hash", "part_start", "part_end")
 
 
 _PARTS_SQL = """parts AS (SELECT o_orderpriority AS snapshot, date_trunc('month', o_orderdate) AS part_start, count(*) AS row_count,
@@ -212,8 +237,27 @@ def _cross(spark, d):
 @query("read_external_export", """SELECT 'e' || CAST(event_id % 4000 AS VARCHAR) AS day, count(*) AS copies FROM events GROUP BY 1 HAVING count(*) > 1""")
 def _external(spark, d):
     key = F.concat(F.when(F.col("event_id") % 2 == 0, " E").otherwise("e"), (F.col("event_id") % 4000).cast("string"), F.lit(" "))
-    export = t.table(spark, d, "events").select(key.alias(" Day"), F.col("event_type").alias("ROWS "))
-    return sf.export_key_faults(sf.normalized_header(export, ("day", "rows")), "day")
+    export, path = t.table(spark, d, "events").select(key.alias(" Day"), F.col("event_type").alias("ROWS "), "event_id"), new_folder(spark, "export")
+    sf.write_results(export.filter("event_id % 3 = 0").drop("event_id"), f"{path}/one", kind="csv")
+    # Another run of the export had more columns, in another order, packed.
+    sf.write_results(export.filter("event_id % 3 <> 0").select("ROWS ", "event_id", " Day"), f"{path}/two", kind="csv", compression="gzip")
+    return sf.export_key_faults(sf.read_external_export(spark, f"{path}/*", ("day", "rows"), "day"), "day")
+
+
+# Week, number of recipients and exact total of one distribution file a week.
+@query("landed_distributions", """SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS epoch_start, count(DISTINCT o_custkey) AS recipients,
+  CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS VARCHAR) AS total FROM orders GROUP BY 1""")
+def _distributions(spark, d):
+    """Distribution files are written, found by their path and checked before they are summed."""
+    path, cents = new_folder(spark, "distributions"), (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
+    week = F.date_format(F.date_trunc("week", "o_orderdate"), "yyyy-MM-dd")
+    per = t.table(spark, d, "orders").groupBy(week.alias("epoch"), t._address(F.col("o_custkey")).alias("who")).agg(F.sum(cents).cast("string").alias("raw"))
+    amounts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("who", "raw"))))
+    grouped = per.groupBy("epoch").agg(amounts.alias("amounts")).select("epoch", F.to_json(F.struct(
+        F.lit(t.TOKEN).alias("token"), F.lit(t.REWARD_TYPE).alias("distributionTypeId"), F.concat("epoch", F.lit(f"_{t.REWARD_TYPE}")).alias("id"), "amounts")).alias("value"))
+    grouped.repartition("epoch").write.partitionBy("epoch").text(path)
+    found = reward_report(sr.read_distribution_texts(spark, f"{path}/*"), t.TOKEN, t.REWARD_TYPE)
+    return found["epochs"].select("epoch_start", F.col("recipient_count").alias("recipients"), F.col("amount_raw").alias("total"))
 
 
 @query("write_results", f"""WITH {t.EVENT_TRADES_SQL}, {t.FLAGS_SQL}
@@ -232,13 +276,40 @@ def _digests(spark, d):
                                                                     F.col("text").cast("binary").alias("content")))
 
 
+# One file a language: its length is that of its lines, each with its end.
+@query("landed_file_digests", """SELECT coalesce(lang, '') AS lang, CAST(sum(octet_length(encode(sha256(text))) + 1) AS BIGINT) AS bytes,
+  sha256(string_agg(sha256(text) || chr(10), '' ORDER BY doc_id)) AS sha256, TRUE AS same_when_streamed FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def _file_digests(spark, d):
+    """Files are written and digested as rows and, once more, a piece at a time."""
+    path = new_folder(spark, "digested")
+    lines = t.table(spark, d, "documents").filter("text IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", F.sha2("text", 256).alias("value"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    rows, streamed = sf.file_digest_manifest(spark, path, "*.txt"), sf.file_digest_manifest(spark, path, "*.txt", streamed_above=0)
+    lang = F.regexp_extract("file", "/lang=([^/]*)/", 1)
+    both = rows.join(streamed.select("file", F.struct("bytes", "sha256", "git_sha1").alias("again")), "file")
+    return both.select(F.when(lang == "__HIVE_DEFAULT_PARTITION__", "").otherwise(lang).alias("lang"), "bytes", "sha256",
+                       (F.struct("bytes", "sha256", "git_sha1") == F.col("again")).alias("same_when_streamed"))
+
+
 @query("incremental_ingest", "SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1")
 def _stream(spark, d):
-    schema = t.table(spark, d, "events").schema
-    accepted, state = new_folder(spark, "accepted"), new_folder(spark, "stream")
-    parts = stream.new_parts(spark, d, schema, pattern="events*.parquet")
-    stream.incremental_ingest(parts, ["event_id"], accepted, state)
-    return stream.daily_counts(stream.accepted_events(spark, accepted, ["event_id"], schema), "ts")
+    """Three parts that overlap, one after another, and in a second run a late one with the oldest days."""
+    events = t.table(spark, d, "events")
+    landed, accepted, state = (new_folder(spark, name) for name in ("landed", "accepted", "stream"))
+    middle = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    late, key = F.col("ts") < middle, F.col("event_id") % 3
+
+    def run():
+        parts = stream.new_parts(spark, landed, events.schema, files_per_batch=2)
+        stream.incremental_ingest(parts, ["event_id"], accepted, state, "ts")
+
+    for k in range(3):
+        # A fifth of every part stands in the next one as well.
+        events.filter(~late & ((key == k) | ((key == (k + 1) % 3) & (F.col("event_id") % 5 == 0)))).write.mode("append").parquet(landed)
+    run()
+    events.filter(late | (F.col("event_id") % 7 == 0)).write.mode("append").parquet(landed)
+    run()
+    return stream.daily_counts(stream.accepted_events(spark, accepted, events.schema))
 
 
 @query("classify_action", """SELECT l_linenumber::BIGINT AS code, CASE WHEN l_suppkey % 41 = 0 THEN 0 ELSE l_quantity END = 0 AS zero,

@@ -177,8 +177,12 @@ def test_weekly_parts(spark):
     assert [tuple(r) for r in pt.weekly_partition_plan(frame).orderBy("part_start").collect()] == parts
     with pytest.raises(ValueError, match="coverage"):
         pt.weekly_parts(datetime(2024, 1, 2), datetime(2024, 1, 1))
-    with pytest.raises(ValueError, match="empty"):
-        pt.merge_partitions([])
+    rows = spark.createDataFrame([(datetime(2023, 9, 20),), (datetime(2023, 9, 26, 23),), (datetime(2023, 10, 5),), (datetime(2023, 10, 6),)], "timestamp timestamp_ntz")
+    merged = pt.merge_partitions(rows, pt.weekly_partition_plan(frame))
+    assert sorted((r.timestamp, r.part_start) for r in merged.collect()) == [
+        (datetime(2023, 9, 20), parts[0][0]), (datetime(2023, 9, 26, 23), parts[0][0]), (datetime(2023, 10, 5), parts[2][0])]
+    # One read of the rows, however many parts there are.
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
 
 
 def test_contiguity(spark):

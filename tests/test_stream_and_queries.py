@@ -5,7 +5,11 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from recohort.operators import classify
 from recohort.session import new_folder
+from recohort.sources.files import write_results
 from recohort.streaming import ingest
 from recohort.suite import ORACLES, QUERIES
 from tests.oracle import connect, difference
@@ -19,9 +23,8 @@ def test_incremental_ingest(spark, tmp_path):
     part = spark.createDataFrame([(i, first + timedelta(hours=i)) for i in range(48)], "id long, ts timestamp_ntz")
 
     def run():
-        ingest.incremental_ingest(ingest.new_parts(spark, landed, part.schema), ["id"], accepted, state)
-        events = ingest.accepted_events(spark, accepted, ["id"], part.schema)
-        return {str(r.day): r.rows for r in ingest.daily_counts(events, "ts").collect()}
+        ingest.incremental_ingest(ingest.new_parts(spark, landed, part.schema), ["id"], accepted, state, "ts")
+        return {str(r.day): r.rows for r in ingest.daily_counts(ingest.accepted_events(spark, accepted, part.schema)).collect()}
 
     part.coalesce(1).write.mode("append").parquet(landed)
     assert run() == {"2024-01-01": 24, "2024-01-02": 24}
@@ -30,6 +33,11 @@ def test_incremental_ingest(spark, tmp_path):
     later = spark.createDataFrame([(i, first + timedelta(hours=i)) for i in range(40, 72)], part.schema)
     later.coalesce(1).write.mode("append").parquet(landed)
     assert run() == {"2024-01-01": 24, "2024-01-02": 24, "2024-01-03": 24}
+    # Reading needs no shuffle, and bounds on the day reach the folders.
+    events = ingest.accepted_events(spark, accepted, part.schema, datetime(2024, 1, 2).date(), datetime(2024, 1, 3).date())
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert events.count() == 24 and "Exchange" not in plan
+    assert "PartitionFilters: [isnotnull(accepted_day" in plan and "accepted_day" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
 
 
 @pytest.mark.parametrize("runs", [1, 3])
@@ -41,12 +49,46 @@ def test_parts_out_of_order_lose_nothing(spark, tmp_path, runs):
         part.coalesce(1).write.mode("append").parquet(landed)
         if runs == 3 or k == 2:
             parts = ingest.new_parts(spark, landed, part.schema, files_per_batch=1)
-            ingest.incremental_ingest(parts, ["id"], accepted, state)
-    events = ingest.accepted_events(spark, accepted, ["id"], part.schema)
-    assert {str(r.day): r.rows for r in ingest.daily_counts(events, "ts").collect()} == {
+            ingest.incremental_ingest(parts, ["id"], accepted, state, "ts")
+    events = ingest.accepted_events(spark, accepted, part.schema)
+    assert {str(r.day): r.rows for r in ingest.daily_counts(events).collect()} == {
         "2024-01-01": 10, "2024-03-01": 10, "2024-03-02": 10}
 
 
+def test_a_batch_that_runs_again_adds_what_is_missing(spark, tmp_path):
+    """Half of a batch was stored before it failed; keys and times may be null, keys may stand on two days."""
+    accepted, schema = new_folder(spark, "accepted"), "id long, kind string, ts timestamp_ntz, v int"
+    rows = [(1, "a", datetime(2024, 1, 1), 5), (1, "a", datetime(2024, 1, 1), 3), (1, None, datetime(2024, 1, 1), 1), (1, None, datetime(2024, 1, 1), 1),
+            (2, "a", None, 1), (1, "a", datetime(2024, 1, 2), 9), (None, None, None, 4)]
+    batch = spark.createDataFrame(rows, schema)
+    stored = batch.filter("v = 3 or id = 2").withColumn(ingest.DAY, F.to_date("ts"))
+    stored.write.partitionBy(ingest.DAY).parquet(accepted)
+    for _ in range(2):
+        fresh = ingest.new_events(batch, ingest._stored(spark, accepted, batch.schema), ["id", "kind"], "ts")
+        fresh.select(*batch.columns, ingest.DAY).write.mode("append").partitionBy(ingest.DAY).parquet(accepted)
+        found = ingest.accepted_events(spark, accepted, batch.schema)
+        assert sorted(map(str, (tuple(r)[:4] for r in found.collect()))) == sorted(map(str, [
+            (1, "a", datetime(2024, 1, 1), 3), (1, None, datetime(2024, 1, 1), 1), (2, "a", None, 1), (1, "a", datetime(2024, 1, 2), 9), (None, None, None, 4)]))
+    assert [tuple(r) for r in ingest.conflicting_keys(found, ["id", "kind"]).collect()] == [(1, "a", 2)]
+
+
+def test_scan_of_decoded_events_prunes_days(spark, tmp_path):
+    path = str(tmp_path / "decoded")
+    start = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(start + timedelta(days=i), bytes([171] * 20)) for i in range(30)], "block_time timestamp_ntz, contract_address binary")
+    write_results(rows.withColumn("block_date", F.to_date("block_time")), path, partition=["block_date"])
+    found = classify.scan_decoded_events(spark.read.parquet(path), start.date(), (start + timedelta(days=3)).date(), "ab" * 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "block_date" in filters[0] and ">= 2024-01-01" in filters[0] and "< 2024-01-04" in filters[0]
+    assert "contract_address" in filters[1] and "block_time" in filters[1]
+    assert found.count() == 3
+    # Days beyond the bounds are not opened: a broken file there does no harm.
+    broken = next(p for p in (tmp_path / "decoded" / "block_date=2024-01-20").glob("*.parquet"))
+    broken.write_bytes(b"no parquet")
+    assert found.count() == 3
+
+
 @pytest.fixture(scope="module")
 def database():
     db = connect(FOLDER)
