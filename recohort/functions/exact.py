@@ -1,7 +1,7 @@
 """Exact arithmetic on integers kept as text, of any width, in native expressions.
 
 A decimal holds 38 digits; raw amounts may have up to 78. Text is cut into limbs of fixed width,
-limbs are added as decimals (so a sum is a plain, mergeable aggregate) and carried afterwards.
+limbs are added as numbers (so a sum is a plain, mergeable aggregate) and carried once, at the end.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from recohort.contracts import INTEGER_PATTERN, TOKEN_PLACES, USD_PLACES
 
-SUM_LIMB = 18
-SUM_LIMBS = 5
+SUM_LIMB = 9
+SUM_LIMBS = 10
 _BASE = 10 ** SUM_LIMB
 
 
@@ -47,26 +47,29 @@ def scale_token_units(raw: Column, places: int = TOKEN_PLACES) -> Column:
     return F.when(raw.rlike("^-?[0-9]+$"), F.concat(sign, whole, F.lit("."), fraction))
 
 
-def sum_limbs(raw: Column) -> Column:
-    """Aggregate: per-limb sums of integer text, as one struct; nulls are skipped."""
-    padded = F.lpad(raw, SUM_LIMB * SUM_LIMBS, "0")
-    checked = F.when(F.length(raw) > SUM_LIMB * SUM_LIMBS,
+def sum_limbs(raw: Column, limbs: int = SUM_LIMBS) -> Column:
+    """Aggregate: per-limb sums of integer text of up to ``9 * limbs`` digits, as one struct; nulls are skipped.
+
+    A limb's sum is a long, which some nine billion rows of one group can fill; more are an error, not a wrong sum.
+    """
+    padded = F.lpad(raw, SUM_LIMB * limbs, "0")
+    checked = F.when(F.length(raw) > SUM_LIMB * limbs,
                      F.raise_error("integer text is wider than the sum supports")).otherwise(padded)
-    sums = []
-    for limb in range(SUM_LIMBS):
-        start = SUM_LIMB * (SUM_LIMBS - 1 - limb) + 1
-        piece = F.substring(checked, start, SUM_LIMB).cast(f"decimal({SUM_LIMB},0)")
-        sums.append(F.sum(piece.cast("decimal(38,0)")).alias(f"s{limb}"))
-    return F.struct(*sums)
+    return F.struct(*[F.sum(F.substring(checked, SUM_LIMB * (limbs - 1 - k) + 1, SUM_LIMB).cast("bigint")).alias(f"s{k}") for k in range(limbs)])
+
+
+def merge_limbs(sums: str, limbs: int = SUM_LIMBS) -> Column:
+    """Aggregate: the sum of structs that ``sum_limbs`` made of smaller groups, without going through text."""
+    return F.struct(*[F.sum(F.col(f"{sums}.s{k}").cast("decimal(38,0)")).alias(f"s{k}") for k in range(limbs)])
 
 
-def carry_limbs(limbs: Column) -> Column:
+def carry_limbs(sums: Column, limbs: int = SUM_LIMBS) -> Column:
     """Integer text from a struct of per-limb sums."""
-    base = F.lit(_BASE).cast("decimal(19,0)")
+    base = F.lit(_BASE).cast("decimal(10,0)")
     digits, carry = [], F.lit(0).cast("decimal(38,0)")
-    for limb in range(SUM_LIMBS):
-        total = (F.coalesce(limbs[f"s{limb}"], F.lit(0).cast("decimal(38,0)")) + carry).cast("decimal(38,0)")
-        last = limb == SUM_LIMBS - 1
+    for limb in range(limbs):
+        total = (F.coalesce(sums[f"s{limb}"].cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) + carry).cast("decimal(38,0)")
+        last = limb == limbs - 1
         digit = total if last else (total % base).cast(f"decimal({SUM_LIMB},0)")
         digits.insert(0, F.lpad(digit.cast("string"), 38 if last else SUM_LIMB, "0"))
         carry = F.call_function("div", total, base).cast("decimal(38,0)") if not last else carry

@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recohort.functions.scalars import is_finite, rate
-from recohort.operators.ranking import linear_quantiles, running_totals, top_count
+from recohort.operators.ranking import join_groups, positions, running_totals, top_count
 
 _SALTS = 256
 
@@ -85,74 +85,111 @@ def pr_curve_points(scores: DataFrame, within: tuple[str, ...] = (), most: int =
             .select(*within, "point", "precision", "recall", "threshold", (full > most).alias("sampled"), "full_point_count"))
 
 
-def top_decile_metrics(scores: DataFrame, within: tuple[str, ...] = (), share: float = 0.1) -> DataFrame:
+def _tied_hits(scores: DataFrame, edges: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """Positives among the first ``need`` rows, by account, of those that share the score at the edge.
+
+    Only the rows at that very score are ordered; all the others are settled by their counts.
+    """
+    tied = join_groups(scores.select(*within, "score", "account", "label"), edges.select(*within, "score", "need"), [*within, "score"])
+    ranked = positions(tied.drop("score"), [F.asc("account")], within)
+    return ranked.groupBy(*within).agg(F.sum(F.when(F.col("position") <= F.col("need"), F.col("label"))).alias("tied_hits"))
+
+
+def top_decile_metrics(scores: DataFrame, within: tuple[str, ...] = (), share: float = 0.1, steps: DataFrame | None = None) -> DataFrame:
     """Precision, recall and lift of the ceil(share) best scores, ties by account."""
-    ranked = running_totals(scores.select(*within, "account", "label", "score"),
-                            [F.desc("score"), F.asc("account")],
-                            {"n": F.lit(1).cast("long"), "hits": F.col("label")}, within)
-    chosen = F.col("n_before") < top_count(F.col("n_total"), share)
-    totals = ranked.groupBy(*within).agg(F.max("n_total").alias("n"), F.max("hits_total").alias("positives"),
-                                         F.count_if(chosen).alias("top10_count"),
-                                         F.count_if(chosen & (F.col("label") == 1)).alias("top_hits"))
-    precision = rate(F.col("top_hits"), F.col("top10_count"))
-    return totals.select(*within, "top10_count", precision.alias("top10_precision"),
-                         rate(F.col("top_hits"), F.col("positives")).alias("top10_recall"),
-                         rate(precision, rate(F.col("positives"), F.col("n"))).alias("top10_lift"))
+    steps = score_steps(scores, within) if steps is None else steps
+    count = top_count(F.col("n_total"), share)
+    whole, cut = F.col("n_upto") <= count, (F.col("n_before") < count) & (F.col("n_upto") > count)
+    # A step whose labels are all the same needs no order.
+    mixed = cut & (F.col("hits") > 0) & (F.col("hits") < F.col("n"))
+    plain = F.when(whole, F.col("hits")).when(cut & ~mixed & (F.col("hits") > 0), count - F.col("n_before")).otherwise(0)
+    totals = steps.groupBy(*within).agg(F.max("n_total").alias("n"), F.max("hits_total").alias("positives"), F.max(count).alias("top10_count"),
+                                        F.sum(plain).alias("plain_hits"))
+    edges = steps.filter(mixed).select(*within, "score", (count - F.col("n_before")).alias("need"))
+    found = join_groups(totals, _tied_hits(scores, edges, within), list(within), "left") if within else totals.withColumn(
+        "tied_hits", _tied_hits(scores, edges, within).agg(F.sum("tied_hits")).scalar())
+    hits = F.col("plain_hits") + F.coalesce("tied_hits", F.lit(0))
+    precision = rate(hits, F.col("top10_count"))
+    return found.select(*within, "top10_count", precision.alias("top10_precision"), rate(hits, F.col("positives")).alias("top10_recall"),
+                        rate(precision, rate(F.col("positives"), F.col("n"))).alias("top10_lift"))
+
+
+def _log_loss(score: Column, label: Column) -> Column:
+    epsilon = sys.float_info.epsilon
+    clipped = F.greatest(F.lit(epsilon), F.least(F.lit(1 - epsilon), score.cast("double")))
+    return -F.ln(F.when(label == 1, clipped).otherwise(1 - clipped))
 
 
 def brier_logloss(scores: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Mean squared error, and log loss with scores kept off 0 and 1 by machine epsilon."""
-    epsilon = sys.float_info.epsilon
-    clipped = F.greatest(F.lit(epsilon), F.least(F.lit(1 - epsilon), F.col("score").cast("double")))
-    loss = -F.ln(F.when(F.col("label") == 1, clipped).otherwise(1 - clipped))
     return scores.groupBy(*within).agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("brier"),
-                                       F.avg(loss).alias("log_loss"))
+                                       F.avg(_log_loss(F.col("score"), F.col("label"))).alias("log_loss"))
+
+
+def _quantiles_of_steps(steps: DataFrame, probabilities: list[float], within: tuple[str, ...]) -> DataFrame:
+    """Exact quantiles of the scores with linear interpolation; the steps run from the highest score down."""
+    below = F.col("n_total") - F.col("n_upto")
+    spots = [(F.col("n_total") - 1).cast("double") * F.lit(float(p)) for p in probabilities]
 
+    def at(position: Column) -> Column:
+        return F.max(F.when((below <= position) & (position < below + F.col("n")), F.col("score").cast("double")))
 
-def reliability_bins(scores: DataFrame, within: tuple[str, ...] = (), bins: int = 10) -> DataFrame:
-    """Quantile bins with merged duplicate edges: mean score, observed rate and count."""
-    probabilities = [i / bins for i in range(bins + 1)]
-    edges = linear_quantiles(scores, "score", probabilities, within).withColumn(
+    ends = [at(end(spot)) for spot in spots for end in (F.floor, F.ceil)]
+    shares = [F.max(spot - F.floor(spot)) for spot in spots]
+    found = steps.groupBy(*within).agg(*[e.alias(f"_e{i}") for i, e in enumerate(ends)], *[s.alias(f"_s{i}") for i, s in enumerate(shares)])
+    values = [F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * F.col(f"_s{i}") for i in range(len(spots))]
+    return found.select(*within, F.array(*values).alias("quantiles"))
+
+
+def reliability_bins(scores: DataFrame, within: tuple[str, ...] = (), bins: int = 10, steps: DataFrame | None = None) -> DataFrame:
+    """Quantile bins with merged duplicate edges: mean score, observed rate and count.
+
+    Edges, means and rates all come from the steps, so rows are counted by score once and never ordered.
+    """
+    steps = score_steps(scores, within) if steps is None else steps
+    edges = _quantiles_of_steps(steps, [i / bins for i in range(bins + 1)], within).withColumn(
         "edges", F.array_sort(F.array_distinct("quantiles"))).drop("quantiles")
     # Inner edges only; one array of at most bins + 1 numbers per run.
     inner = F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))))
     if within:
-        # A run may hold most rows: its edges are copied to every salt so that its rows still spread.
-        salted = scores.withColumn("_salt", F.pmod(F.xxhash64("account"), F.lit(_SALTS)).cast("int"))
+        # A run may hold most steps: its edges are copied to every salt so that its steps still spread.
+        salted = steps.withColumn("_salt", F.pmod(F.xxhash64("score"), F.lit(_SALTS)).cast("int"))
         copies = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        placed = salted.join(copies, [*within, "_salt"])
+        placed = join_groups(salted, copies, [*within, "_salt"])
     else:
-        placed = scores.withColumn("edges", edges.select("edges").scalar())
+        placed = steps.withColumn("edges", edges.select("edges").scalar())
     bucket = F.size(F.filter(F.coalesce(inner, F.array().cast("array<double>")), lambda e: e <= F.col("score")))
-    return (placed.groupBy(*within, bucket.alias("bin"))
-            .agg(F.avg("score").alias("mean_probability"), F.avg("label").alias("observed_rate"),
-                 F.count("*").alias("count")))
+    sums = placed.groupBy(*within, bucket.alias("bin")).agg(
+        F.sum(F.col("score") * F.col("n")).alias("_score"), F.sum("hits").alias("_hits"), F.sum("n").alias("count"))
+    return sums.select(*within, "bin", rate(F.col("_score"), F.col("count")).alias("mean_probability"),
+                       rate(F.col("_hits"), F.col("count")).alias("observed_rate"), "count")
 
 
-def evaluate_scores(scores: DataFrame, within: tuple[str, ...] = (), probability: bool = True) -> DataFrame:
+def evaluate_scores(scores: DataFrame, within: tuple[str, ...] = (), probability: bool = True, steps: DataFrame | None = None) -> DataFrame:
     """All scalar metrics, one row per run; undefined ones are null.
 
-    Recency-like runs are rankings, not probabilities: pass ``probability=False`` for them.
+    Rows are counted by score once; every metric is a sum over those steps, and only rows tied at the edge of
+    the top tenth are looked at again. Recency-like runs are rankings, not probabilities: pass
+    ``probability=False`` for them.
     """
-    steps = score_steps(scores, within)
-    base = scores.groupBy(*within).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives"))
-    parts = [base.withColumn("prevalence", rate(F.col("positives"), F.col("n"))),
-             average_precision(scores, within, steps), roc_auc(scores, within, steps),
-             top_decile_metrics(scores, within)]
-    if probability:
-        parts.append(brier_logloss(scores, within))
-    if within:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.join(part, list(within), "left")
-    else:
-        out = parts[0]
-        for part in parts[1:]:
-            row = part.select(F.struct("*").alias("r")).scalar()
-            out = out.withColumn("_r", row).select("*", "_r.*").drop("_r")
-    if not probability:
-        out = out.withColumns({"brier": F.lit(None).cast("double"), "log_loss": F.lit(None).cast("double")})
-    return out
+    steps = score_steps(scores, within) if steps is None else steps
+    score, hits, misses = F.col("score").cast("double"), F.col("hits"), F.col("n") - F.col("hits")
+    squares = F.sum(hits * F.pow(score - 1, F.lit(2)) + misses * F.pow(score, F.lit(2)))
+    losses = F.sum(F.when(hits > 0, hits * _log_loss(score, F.lit(1))).otherwise(0.0) + F.when(misses > 0, misses * _log_loss(score, F.lit(0))).otherwise(0.0))
+    n = F.sum("n")
+    unknown = F.lit(None).cast("double")
+    base = steps.groupBy(*within).agg(
+        F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("positives"), rate(F.sum("hits"), n).alias("prevalence"),
+        (rate(squares, n) if probability else unknown).alias("brier"), (rate(losses, n) if probability else unknown).alias("log_loss"))
+    parts = [average_precision(scores, within, steps), roc_auc(scores, within, steps), top_decile_metrics(scores, within, steps=steps)]
+    out = base
+    for part in parts:
+        if within:
+            out = join_groups(out, part, list(within), "left")
+        else:
+            out = out.withColumn("_r", part.select(F.struct("*").alias("r")).scalar()).select("*", "_r.*").drop("_r")
+    last = ["brier", "log_loss"]
+    return out.select(*[name for name in out.columns if name not in last], *last)
 
 
 def subgroup_metrics(scores: DataFrame, group: Column, within: tuple[str, ...] = (),

@@ -16,6 +16,13 @@ from recohort.session import pin
 _SLICE = "_slice"
 
 
+def join_groups(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join by group columns in which a null group meets itself; the right side's copies of the names are dropped."""
+    theirs = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
+    same = [left[name].eqNullSafe(theirs[f"_r_{name}"]) for name in names]
+    return left.join(theirs, same, how).drop(*[f"_r_{name}" for name in names])
+
+
 def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, Column],
                    within: tuple[str, ...] = ()) -> DataFrame:
     """Add ``<name>_before``, the sum over all earlier rows of the same group, and ``<name>_total``.
@@ -35,7 +42,7 @@ def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, Colum
             F.coalesce(F.sum(f"_t_{name}").over(earlier), zero).alias(f"_o_{name}"),
             F.sum(f"_t_{name}").over(whole).alias(f"{name}_total"))])
     before = Window.partitionBy(*group, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.join(offsets, [*group, _SLICE]).withColumns({
+    placed = join_groups(sliced, offsets, [*group, _SLICE]).withColumns({
         f"{name}_before": F.col(f"_o_{name}") + F.coalesce(F.sum(f"_v_{name}").over(before), zero)
         for name in totals})
     return placed.drop(_SLICE, *[f"_v_{name}" for name in totals], *[f"_o_{name}" for name in totals])
@@ -71,10 +78,11 @@ def order_statistics(values: DataFrame, value: str, within: tuple[str, ...],
                      targets: dict[str, Column]) -> DataFrame:
     """Exact values at given 1-based positions of each group's sorted values.
 
-    ``targets`` maps an output name to a position computed from the column ``n`` (the group's
-    size). Duplicates are counted first, so the order runs over distinct values only.
+    ``targets`` maps an output name to a position computed from the column ``n`` (the group's number of
+    values). Nulls are no values; a group of nulls has n = 0 and null statistics. Duplicates are counted
+    first, so the order runs over distinct values only.
     """
-    counted = values.groupBy(*within, value).agg(F.count("*").alias("_c"))
+    counted = values.groupBy(*within, value).agg(F.count(value).alias("_c"))
     sized = running_totals(counted, [F.asc(value)], {"_c": F.col("_c")}, within).withColumn("n", F.col("_c_total"))
     picks = []
     for name, position in targets.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recohort.functions.exact import (
-    carry_limbs, compare_text, is_integer_text, scale_token_units, strip_zeros, subtract_text, sum_limbs,
+    carry_limbs, compare_text, is_integer_text, merge_limbs, scale_token_units, strip_zeros, subtract_text, sum_limbs,
 )
 from recohort.functions.scalars import is_address
 
@@ -91,10 +91,8 @@ def reward_epoch_summary(ledger: DataFrame, overrides: DataFrame | None = None)
 
     Recipients are merged first: an epoch's rows never meet in one task before they are summed.
     """
-    per = ledger.groupBy("epoch_start", "recipient").agg(sum_limbs(F.col("amount_raw")).alias("limbs")).select(
-        "epoch_start", "recipient", carry_limbs(F.col("limbs")).alias("amount_raw"))
-    out = per.groupBy("epoch_start").agg(F.count("*").alias("recipient_count"),
-                                         sum_limbs(F.col("amount_raw")).alias("limbs"))
+    per = ledger.groupBy("epoch_start", "recipient").agg(sum_limbs(F.col("amount_raw")).alias("limbs"))
+    out = per.groupBy("epoch_start").agg(F.count("*").alias("recipient_count"), merge_limbs("limbs").alias("limbs"))
     out = out.select("epoch_start", F.date_format(F.date_add(F.to_date("epoch_start"), 7), "yyyy-MM-dd").alias("epoch_end_exclusive"),
                      "recipient_count", carry_limbs(F.col("limbs")).alias("amount_raw"))
     out = out.withColumn("amount_units", scale_token_units(F.col("amount_raw")))
@@ -110,10 +108,9 @@ def reward_epoch_summary(ledger: DataFrame, overrides: DataFrame | None = None)
 
 def reward_totals(ledger: DataFrame) -> DataFrame:
     """Exact grand total and distinct recipients."""
-    per = ledger.groupBy("recipient").agg(F.count("*").alias("n"), sum_limbs(F.col("amount_raw")).alias("limbs")).select(
-        "n", carry_limbs(F.col("limbs")).alias("amount_raw"))
+    per = ledger.groupBy("recipient").agg(F.count("*").alias("n"), sum_limbs(F.col("amount_raw")).alias("limbs"))
     out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recipient_epoch_rows"), F.count("*").alias("unique_recipients"),
-                  sum_limbs(F.col("amount_raw")).alias("limbs"))
+                  merge_limbs("limbs").alias("limbs"))
     total = carry_limbs(F.col("limbs"))
     return out.select("recipient_epoch_rows", "unique_recipients", total.alias("total_amount_raw"),
                       scale_token_units(total).alias("total_amount_units"))

@@ -47,14 +47,17 @@ def run_study(samples: DataFrame, repeats: int = 10, seeds=mo.SEEDS, rounds=(100
     scored = pin(lm.seen_in_training_flag(reduce(DataFrame.unionByName, probabilities).filter(held), train), "scores")
     ranked = pin(lm.seen_in_training_flag(run(mo.score_recency(samples), "recency").filter(held), train), "scores")
     key, group = ("model", "seed", "split"), F.col("seen_in_training")
-    # A null seed would not meet itself in a join.
-    scored, ranked = (s.withColumn("seed", F.coalesce("seed", F.lit(0))) for s in (scored, ranked))
-    metrics = pin(ev.evaluate_scores(scored, key).unionByName(ev.evaluate_scores(ranked, key, probability=False)), "metrics")
+    gates.enforce(ev.scored_faults(scored))
+    gates.enforce(ev.scored_faults(ranked, probability=False))
+    steps, ranked_steps = ev.score_steps(scored, key), ev.score_steps(ranked, key)
+    metrics = pin(ev.evaluate_scores(scored, key, steps=steps).unionByName(
+        ev.evaluate_scores(ranked, key, probability=False, steps=ranked_steps)), "metrics")
     subgroups = ev.subgroup_metrics(scored, group, key).unionByName(ev.subgroup_metrics(ranked, group, key, probability=False))
     validation = metrics.filter((F.col("split") == "validation") & ((F.col("model") != "mlp") | (F.col("seed") == primary)))
     return {
         "predictions": scored.unionByName(ranked).filter("split = 'test'"), "metrics": metrics, "subgroups": subgroups,
-        "reliability": ev.reliability_bins(scored, key), "pr_curve": ev.pr_curve(scored.unionByName(ranked), key),
+        "reliability": ev.reliability_bins(scored, key, steps=steps),
+        "pr_curve": ev.pr_curve(scored, key, steps).unionByName(ev.pr_curve(ranked, key, ranked_steps)),
         "selected": ev.select_model(validation, [logistic.name, boosting.name, "mlp"]),
         "importance": mo.permutation_importance(networks[primary], rows, repeats),
         "feature_shift": lm.feature_shift(samples),

@@ -141,9 +141,8 @@ def _evaluate(spark, d):
 
 @query("subgroup_metrics", _metrics_sql(_ORDER_SCORES_SQL, "subgroup"))
 def _subgroups(spark, d):
-    scores = _order_scores(spark, d)
-    return rounded(ev.subgroup_metrics(scores.drop("subgroup").join(
-        scores.select("account", F.col("subgroup").alias("g")), "account"), F.col("g")), *_RATIOS)
+    scores = _order_scores(spark, d).withColumnRenamed("subgroup", "priority")
+    return rounded(ev.subgroup_metrics(scores, F.col("priority")), *_RATIOS)
 
 
 @query("select_model", f"""WITH {_ORDER_SCORES_SQL}, {_steps_sql('subgroup')},

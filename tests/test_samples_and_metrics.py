@@ -290,3 +290,40 @@ def test_importance_of_a_given_score(study):
             drops.append(base - precision([(m["opening_count_7d"] + m["top_market_share_30d"], m["label"]) for m in mixed]))
         assert found[feature].ap_drop_mean == pytest.approx(sum(drops) / 4, abs=1e-12) and found[feature].repeats == 4
     assert found["opening_count_60d"].ap_drop_std == 0
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(g, f"a{i:02d}", int(i % 3 == 0), [0.9, 0.4, 0.4, 0.1][i % 4] if g != "flat" else 0.5) for g in (None, "x", "flat") for i in range(21)]
+    scores = spark.createDataFrame(rows, "g string, account string, label int, score double")
+    together = {r.g: r.asDict() for r in ev.evaluate_scores(scores, ("g",)).collect()}
+    assert set(together) == {None, "x", "flat"}
+    for group in together:
+        alone = ev.evaluate_scores(scores.filter(F.col("g").eqNullSafe(group))).first().asDict()
+        assert {**alone, "g": group} == together[group] and alone["average_precision"] is not None
+    assert {k: v for k, v in together[None].items() if k != "g"} == {k: v for k, v in together["x"].items() if k != "g"}
+    bins = {}
+    for r in ev.reliability_bins(scores, ("g",), bins=4).collect():
+        bins.setdefault(r.g, set()).add((r.bin, round(r.mean_probability, 9), r["count"]))
+    assert bins[None] == bins["x"] and sum(c for _, _, c in bins[None]) == 21 and bins["flat"] == {(0, 0.5, 21)}
+    sub = {r.subgroup: r.average_precision for r in ev.subgroup_metrics(scores.drop("g"), F.when(F.col("label") == 1, "pos"), ()).collect()}
+    assert sub == {"pos": 1.0, None: None}
+
+
+@pytest.mark.parametrize("size", [1, 10, 11, 40])
+def test_top_tenth_with_ties_at_its_edge(spark, size):
+    for seed in range(3):
+        random.seed(seed)
+        rows = [(f"a{i:03d}", random.randrange(2), random.choice([0.2, 0.8, 0.8])) for i in range(size)]
+        found = ev.evaluate_scores(spark.createDataFrame(rows, "account string, label int, score double").repartition(4)).first()
+        best = sorted(rows, key=lambda r: (-r[2], r[0]))[:math.ceil(size * 0.1)]
+        assert (found.top10_count, found.top10_precision) == (len(best), sum(r[1] for r in best) / len(best))
+        assert found.brier == pytest.approx(sum((s - y) ** 2 for _, y, s in rows) / size)
+
+
+def test_statistics_leave_nulls_out(spark):
+    rows = [("a", None), ("a", None), ("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0), (None, None), (None, 6.0), (None, 100.0)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    assert {r.g: r["median"] for r in rk.medians(frame, "v", ("g",)).collect()} == {"a": 2.0, "b": None, None: 6.0}
+    assert {r.g: r.quantiles for r in rk.linear_quantiles(frame, "v", [0.0, 0.5, 1.0], ("g",)).collect()} == {
+        "a": [1.0, 2.0, 3.0], "b": [None] * 3, None: [5.0, 6.0, 100.0]}
+    assert {(r.g, r["quantile"]): r.value for r in rk.floor_percentiles(frame, "v", [0.5], ("g",)).collect()} == {("a", 0.5): 1.0, ("b", 0.5): None, (None, 0.5): 6.0}
