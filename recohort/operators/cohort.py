@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recohort.contracts import Campaign, midnight
 from recohort.functions.scalars import rate
-from recohort.functions.times import distinct_days, entry_week, instant, within
+from recohort.functions.times import WORD_DAYS, distinct_days, entry_week, instant, within
 from recohort.operators.classify import history_kind, opening, participation, withhold_metric
+from recohort.session import pin
 
 RETURN_FLAGS = ("r30", "cumulative30", "sustained30", "open_or_decrease30", "voluntary30", "strict_r30", "r60")
 
@@ -189,12 +190,29 @@ def post_weeks(campaign: Campaign, coverage_end: datetime) -> int:
     return max(0, (coverage_end - campaign.anchor).days // 7)
 
 
-def _returns_by_week(trades: DataFrame, campaign: Campaign, weeks: int) -> DataFrame:
-    """Distinct (account, post week) pairs: at most ``weeks`` rows per account reach the join."""
-    high = campaign.anchor + timedelta(days=7 * weeks)
-    rows = trades.filter(opening() & within(F.col(_TS), campaign.anchor, high))
-    week = F.floor(F.datediff(F.to_date(_TS), F.lit(campaign.anchor.date())) / 7).cast("int") + 1
-    return rows.select("account", week.alias("week")).distinct()
+def weekly_profile(trades: DataFrame, campaign: Campaign, weeks: int) -> DataFrame:
+    """Per account of the cohort its entry week and, sorted, the post weeks in which it opened again.
+
+    Weeks are bits that merge map-side, in as many words as there are, so one scan and one shuffle of
+    accounts answer every question about weeks.
+    """
+    ts = F.col(_TS)
+    high = max(campaign.end, campaign.anchor + timedelta(days=7 * weeks))
+    entering, after = within(ts, campaign.start, campaign.end), within(ts, campaign.anchor, high)
+    place = F.floor(F.datediff(F.to_date(_TS), F.lit(campaign.anchor.date())) / 7)
+    words = []
+    for first in range(0, weeks, WORD_DAYS):
+        here = after & (place >= first) & (place < first + WORD_DAYS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place - first).cast("int"))
+        words.append(F.coalesce(F.bit_or(F.when(here, bit)), F.lit(0).cast("long")).alias(f"_w{first // WORD_DAYS}"))
+    found = (trades.filter(opening() & within(ts, campaign.start, high)).groupBy("account")
+             .agg(F.min(F.when(entering, ts)).alias("first_qualifying"), *words).filter("first_qualifying IS NOT NULL"))
+    returned = F.array().cast("array<int>")
+    if weeks:
+        bits = F.array(*[F.col(f"_w{k}") for k in range(len(words))])
+        returned = F.filter(F.sequence(F.lit(1), F.lit(weeks)), lambda w: F.call_function(
+            "shiftright", F.get(bits, F.floor((w - 1) / WORD_DAYS).cast("int")), ((w - 1) % WORD_DAYS).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return found.select("account", entry_week(F.col("first_qualifying")).alias("entry_week"), returned.alias("returned"))
 
 
 def _week_grid(sized: DataFrame, weeks: int) -> DataFrame:
@@ -202,12 +220,12 @@ def _week_grid(sized: DataFrame, weeks: int) -> DataFrame:
     return sized.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(weeks)))).filter("week > 0")
 
 
-def weekly_repeat(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime) -> DataFrame:
+def weekly_repeat(trades: DataFrame, campaign: Campaign, coverage_end: datetime, profile: DataFrame | None = None) -> DataFrame:
     """Distinct returning accounts in each post week over the fixed denominator, zeros kept."""
     weeks = post_weeks(campaign, coverage_end)
-    hits = (_returns_by_week(trades, campaign, weeks).join(cohort.select("account"), "account", "left_semi")
-            .groupBy("week").agg(F.count("*").alias("n")))
-    grid = _week_grid(cohort.agg(F.count("*").alias("cohort_size")), weeks)
+    profile = pin(weekly_profile(trades, campaign, weeks), "weeks") if profile is None else profile
+    hits = profile.select(F.explode("returned").alias("week")).groupBy("week").agg(F.count("*").alias("n"))
+    grid = _week_grid(profile.agg(F.count("*").alias("cohort_size")), weeks)
     start = instant(campaign.anchor) + F.make_dt_interval(days=(F.col("week") - 1) * 7)
     return (grid.join(hits, "week", "left")
             .select("week", start.alias("start"), (start + F.expr("INTERVAL '7' DAY")).alias("end"),
@@ -215,12 +233,12 @@ def weekly_repeat(trades: DataFrame, cohort: DataFrame, campaign: Campaign, cove
             .withColumn("rate", rate(F.col("n"), F.col("cohort_size"))))
 
 
-def cohort_heatmap(trades: DataFrame, cohort: DataFrame, campaign: Campaign, coverage_end: datetime) -> DataFrame:
+def cohort_heatmap(trades: DataFrame, campaign: Campaign, coverage_end: datetime, profile: DataFrame | None = None) -> DataFrame:
     """Entry week by post week: distinct returners and rate, zero cells kept."""
     weeks = post_weeks(campaign, coverage_end)
-    hits = (_returns_by_week(trades, campaign, weeks).join(cohort.select("account", "entry_week"), "account")
-            .groupBy("entry_week", "week").agg(F.count("*").alias("n")))
-    grid = _week_grid(cohort.groupBy("entry_week").agg(F.count("*").alias("size")), weeks)
+    profile = pin(weekly_profile(trades, campaign, weeks), "weeks") if profile is None else profile
+    hits = profile.select("entry_week", F.explode("returned").alias("week")).groupBy("entry_week", "week").agg(F.count("*").alias("n"))
+    grid = _week_grid(profile.groupBy("entry_week").agg(F.count("*").alias("size")), weeks)
     return (grid.join(hits, ["entry_week", "week"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
             .withColumn("rate", rate(F.col("n"), F.col("size")))

@@ -47,10 +47,15 @@ def join_history(cohort: DataFrame, openings: DataFrame) -> DataFrame:
     return cohort.join(openings, "account").filter(F.col("timestamp") < F.col("as_of"))
 
 
-def join_trailing_window(cohort: DataFrame, openings: DataFrame, days: int = 30) -> DataFrame:
-    """Openings in [as_of - days, as_of)."""
-    low = F.col("as_of") - F.make_dt_interval(days=F.lit(days))
-    return join_history(cohort, openings).filter(F.col("timestamp") >= low)
+def join_trailing_window(cohort: DataFrame, openings: DataFrame, marks: list[Landmark], days: int = 30) -> DataFrame:
+    """Openings in [as_of - days, as_of) of sampled accounts.
+
+    An opening first meets the few cutoffs as a literal; one that lies in no window is dropped before anything moves.
+    """
+    span = F.make_dt_interval(days=F.lit(days))
+    near = F.filter(landmark_array(marks), lambda m: (F.col("timestamp") >= m["as_of"] - span) & (F.col("timestamp") < m["as_of"]))
+    inside = openings.select("*", F.explode(F.transform(near, lambda m: m["as_of"])).alias("as_of"))
+    return cohort.join(inside, ["account", "as_of"])
 
 
 def label_exists(cohort: DataFrame, openings: DataFrame, marks: list[Landmark]) -> DataFrame:

@@ -30,14 +30,15 @@ def describe_campaign(trades: DataFrame, campaign: Campaign, coverage: tuple[dat
     gates.check_case_boundaries(campaign, *coverage)
     profile = pin(co.retention_profile(trades, campaign), "profile")
     daily = pin(co.wallet_daily(trades), "daily")
+    weeks = pin(co.weekly_profile(trades, campaign, co.post_weeks(campaign, coverage[1])), "weeks")
     evidence = {"coverage_end": coverage[1], "campaign": campaign, "decreases_verified": decreases_verified}
     return {
         "wallet_cohorts": profile, "wallet_daily": daily,
         "summary": co.retention_summary(profile, **evidence),
         "cohorts": co.entry_cohorts(profile, campaign, history_complete),
         "history": co.history_groups(profile, campaign, history_complete),
-        "weekly": co.weekly_repeat(trades, profile, campaign, coverage[1]),
-        "heatmap": co.cohort_heatmap(trades, profile, campaign, coverage[1]),
+        "weekly": co.weekly_repeat(trades, campaign, coverage[1], weeks),
+        "heatmap": co.cohort_heatmap(trades, campaign, coverage[1], weeks),
         "segments": ranking.exclude_top_percent(profile),
         "activity": co.activity_intensity(daily, profile, campaign, coverage[0]),
         "quality": quality.event_quality_profile(trades),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from recohort.contracts import AUDIT_FIELDS, DAILY_FIELDS, EVENT_FIELDS, MUST_BE_ZERO
-from recohort.operators import cohort as co, gates, quality, reconcile as rc, rewards as rw
+from recohort.operators import cohort as co, gates, matching as m, quality, reconcile as rc, rewards as rw
 from recohort.session import pin
 from recohort.sources import rewards as sr
 from recohort.suite import audit as au, tables as t
@@ -151,17 +152,41 @@ def _metrics(spark, d):
     return out.withColumn("issues", F.array_join("issues", ","))
 
 
-@query("reconcile_status", _METRICS_SQL + """
-SELECT CASE WHEN count(CASE WHEN issues <> '' THEN 1 END) > 0 THEN 'invalid_or_incomplete' WHEN count(CASE WHEN differs THEN 1 END) > 0 THEN 'differences' ELSE 'agreement' END AS comparison_status,
-  CASE WHEN count(CASE WHEN issues NOT IN ('', 'strict_creation_unknown') THEN 1 END) > 0 THEN 'invalid_or_incomplete'
-       WHEN count(CASE WHEN differs AND metric <> 'strict_r30' THEN 1 END) > 0 THEN 'differences' ELSE 'agreement' END AS opening_retention_status,
-  FALSE AS validated, FALSE AS opening_retention_validated FROM compared""")
+# What else the comparison found, one kind of fault at a time; each kind meets days that have it.
+_STATUS_CASES = ("metrics_only", "daily_differences", "daily_issues", "coverage_issues")
+
+
+@query("reconcile_status", au._DENSE_SQL + _ID_SQL + _METRICS_SQL[len(t.MATCH_SQL):] + f""",
+days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
+ordered AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(o_orderdate)), date_trunc('day', max(o_orderdate)), INTERVAL '1 day')) AS DATE) AS day FROM orders),
+found AS (SELECT {' + '.join(f"count(CASE WHEN day(day) = {k} THEN 1 END)" for k in _EXPORT_CHANGE.values())} AS differences FROM dense),
+broken AS (SELECT count(CASE WHEN accounts > "rows" OR increase + decrease + liquidation + collateral <> "rows" OR zero_size > "rows" THEN 1 END)
+  + count(CASE WHEN position_rows <> "rows" OR execution_rows <> "rows" + out_of_scope_execution_rows THEN 1 END)
+  + {' + '.join(f'count(CASE WHEN {n} <> 0 THEN 1 END)' for n in MUST_BE_ZERO)} AS issues FROM dense),
+gaps AS (SELECT (SELECT count(*) FROM ordered WHERE day NOT IN (SELECT day FROM days)) + (SELECT count(*) FROM days WHERE day NOT IN (SELECT day FROM ordered)) AS n),
+cases(kind, daily, other) AS (SELECT 'metrics_only', 0, 0 UNION ALL SELECT 'daily_differences', differences, 0 FROM found
+  UNION ALL SELECT 'daily_issues', 0, issues FROM broken UNION ALL SELECT 'coverage_issues', 0, n FROM gaps),
+m AS (SELECT count(CASE WHEN issues <> '' THEN 1 END) AS issues, count(CASE WHEN issues NOT IN ('', 'strict_creation_unknown') THEN 1 END) AS hard,
+  count(CASE WHEN differs THEN 1 END) AS differences, count(CASE WHEN differs AND metric <> 'strict_r30' THEN 1 END) AS open_differences FROM compared)
+SELECT kind AS "case", daily AS daily_differences, other AS other_issues,
+  CASE WHEN issues + other > 0 THEN 'invalid_or_incomplete' WHEN differences + daily > 0 THEN 'differences' ELSE 'agreement' END AS comparison_status,
+  CASE WHEN hard + other > 0 THEN 'invalid_or_incomplete' WHEN open_differences + daily > 0 THEN 'differences' ELSE 'agreement' END AS opening_retention_status,
+  FALSE AS validated, FALSE AS opening_retention_validated FROM cases, m""")
 def _status(spark, d):
-    metrics = rc.reconcile_metrics(au.matched_metrics(spark, d), _local_metrics(spark, d))
-    days = t.positions(spark, d).select(F.col("block_date").alias("day"))
-    daily = days.groupBy("day").agg(F.count("*").alias("rows"))
-    same = rc.reconcile_daily(daily, daily, ("rows",))
-    return rc.reconcile_status(metrics, same, same, quality.date_coverage_diff(days, days), synthetic=True)
+    """The verdict on the metrics alone, and beside each other kind of finding."""
+    metrics = pin(rc.reconcile_metrics(au.matched_metrics(spark, d), _local_metrics(spark, d)), "metrics")
+    local = pin(au._dense(spark, d), "daily-audit")
+    differences, issues = pin(rc.reconcile_daily(_altered(local), local), "differences"), pin(rc.daily_grain_identities(local), "issues")
+    gaps = pin(quality.date_coverage_diff(t.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")),
+                                          m.date_grid(t.table(spark, d, "orders"), "o_orderdate")), "gaps")
+
+    def case(name):
+        parts = [rows if name == kind else rows.limit(0) for kind, rows in zip(_STATUS_CASES[1:], (differences, issues, gaps), strict=True)]
+        counts = [rows.agg(F.count("*")).scalar() for rows in parts]
+        return rc.reconcile_status(metrics, *parts, synthetic=True).withColumns(
+            {"case": F.lit(name), "daily_differences": counts[0], "other_issues": counts[1] + counts[2]})
+
+    return reduce(DataFrame.unionByName, [case(name) for name in _STATUS_CASES])
 
 
 _COPY_SQL = """WITH o AS (SELECT * FROM orders),
@@ -170,10 +195,11 @@ c AS (SELECT o_orderkey, o_totalprice * (1 + CASE WHEN o_orderkey % 50 = 0 THEN
 
 
 @query("compare_tables", _COPY_SQL + """
-SELECT CASE WHEN o.o_totalprice <> c.price AND abs(o.o_totalprice - c.price) <= 1e-12 * greatest(o.o_totalprice, c.price) THEN 'drift' ELSE 'difference' END AS kind,
-  'o_totalprice' AS field, count(*) AS n FROM o JOIN c USING (o_orderkey) WHERE o.o_totalprice <> c.price GROUP BY 1
-UNION ALL SELECT 'difference', 'o_orderstatus', count(*) FROM o JOIN c USING (o_orderkey) WHERE o.o_orderstatus IS DISTINCT FROM c.status
-UNION ALL SELECT 'missing_from_right', 'row', count(*) FROM o WHERE o_orderkey % 90 = 3""")
+SELECT o_orderkey, 'o_totalprice' AS field,
+  CASE WHEN o.o_totalprice <> c.price AND abs(o.o_totalprice - c.price) <= 1e-12 * greatest(o.o_totalprice, c.price) THEN 'drift' ELSE 'difference' END AS kind
+FROM o JOIN c USING (o_orderkey) WHERE o.o_totalprice <> c.price
+UNION ALL SELECT o_orderkey, 'o_orderstatus', 'difference' FROM o JOIN c USING (o_orderkey) WHERE o.o_orderstatus IS DISTINCT FROM c.status
+UNION ALL SELECT o_orderkey, 'row', 'missing_from_right' FROM o WHERE o_orderkey % 90 = 3""")
 def _tables(spark, d):
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     left = t.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
@@ -181,7 +207,7 @@ def _tables(spark, d):
         "o_totalprice": price * (1 + F.when(key % 50 == 0, 1e-13).otherwise(0.0)) + F.when(key % 100 == 1, 1).otherwise(0),
         "o_orderstatus": F.when(key % 70 != 2, F.col("o_orderstatus"))})
     changes = rc.compare_tables(left, right, ["o_orderkey"], tolerance=1e-12, numeric=("o_totalprice",))
-    return changes.groupBy("kind", "field").agg(F.count("*").alias("n"))
+    return changes.select("o_orderkey", "field", "kind")
 
 
 @query("compare_results", """SELECT o_custkey AS k, '$.n' AS path, CAST(count(*) AS VARCHAR) AS left_value, CAST(count(*) + 1 AS VARCHAR) AS right_value, 'difference' AS kind

@@ -155,9 +155,7 @@ SELECT w.week, TIMESTAMP '1998-01-01' + to_days(CAST((w.week - 1) * 7 AS INTEGER
        round((SELECT count(*) FROM hits h WHERE h.week = w.week)::DOUBLE / nullif((SELECT count(*) FROM profile), 0), 9) AS rate
 FROM (SELECT CAST(range AS BIGINT) AS week FROM range(1, 188)) w""")
 def _weekly(spark, d):
-    trades = t.order_trades(spark, d)
-    out = co.weekly_repeat(trades, co.campaign_cohort(trades, C), C, t.ORDER_COVERAGE[1])
-    return rounded(out, "rate")
+    return rounded(co.weekly_repeat(t.order_trades(spark, d), C, t.ORDER_COVERAGE[1]), "rate")
 
 
 @query("cohort_heatmap", _WEEKLY_SQL + """
@@ -166,9 +164,7 @@ FROM (SELECT entry_week, count(*) AS size FROM profile GROUP BY 1) g
 JOIN (SELECT CAST(range AS BIGINT) AS week FROM range(1, 188)) w ON TRUE
 LEFT JOIN hits h ON h.entry_week = g.entry_week AND h.week = w.week GROUP BY 1, 2, 3""")
 def _heatmap(spark, d):
-    trades = t.order_trades(spark, d)
-    cohort = co.join_first_seen(co.campaign_cohort(trades, C), co.first_seen(trades))
-    return rounded(co.cohort_heatmap(trades, cohort, C, t.ORDER_COVERAGE[1]), "rate")
+    return rounded(co.cohort_heatmap(t.order_trades(spark, d), C, t.ORDER_COVERAGE[1]), "rate")
 
 
 _DAILY_SQL = """daily AS (

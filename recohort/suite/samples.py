@@ -62,7 +62,7 @@ SELECT m.as_of, m.account, o.market, o.ts AS "timestamp"
 FROM members m JOIN openings o ON o.account = m.account AND o.ts < m.as_of AND o.ts >= m.as_of - INTERVAL '30 days'""")
 def _trailing(spark, d):
     rows = study_openings(spark, d)
-    return lm.join_trailing_window(lm.join_landmarks(rows, t.STUDY_MARKS, t.STUDY_START), rows).select(
+    return lm.join_trailing_window(lm.join_landmarks(rows, t.STUDY_MARKS, t.STUDY_START), rows, t.STUDY_MARKS).select(
         "as_of", "account", "market", "timestamp")
 
 

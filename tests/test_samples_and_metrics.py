@@ -74,7 +74,7 @@ def test_joined_forms_agree_with_the_one_pass_form(spark):
     one = lm.landmark_samples(opened, MARKS, START)
     members = lm.join_landmarks(opened, MARKS, START)
     labels = lm.label_exists(members, opened, MARKS).select("as_of", "account", "label")
-    counts = lm.join_trailing_window(members, opened, 30).groupBy("as_of", "account").agg(
+    counts = lm.join_trailing_window(members, opened, MARKS, 30).groupBy("as_of", "account").agg(
         F.count("*").alias("c"), F.count_distinct(F.to_date("timestamp")).alias("days"))
     both = members.select("as_of", "account").join(labels, ["as_of", "account"]).join(counts, ["as_of", "account"], "left")
     want = {(r.as_of, r.account, r.label, float(r.c or 0), float(r.days or 0)) for r in both.collect()}

@@ -84,3 +84,25 @@ def test_matching_covers_every_line(spark):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
     assert t.positions(spark, FOLDER).count() == lines.filter("l_orderkey % 50 <> 0").count()
     assert t.executions(spark, FOLDER).count() == lines.filter("l_orderkey % 40 <> 0").count()
+
+
+@pytest.mark.parametrize("weeks", [0, 1, 63, 64, 65, 130])
+def test_weeks_of_any_number(spark, weeks):
+    campaign = Campaign(START, START + timedelta(days=10))
+    random.seed(weeks)
+    rows = [(a, START + timedelta(days=a % 9)) for a in range(12)]
+    rows += [(a % 14, campaign.anchor + timedelta(days=random.randrange(-3, 7 * weeks + 9), hours=random.randrange(24))) for a in range(200)]
+    trades = spark.createDataFrame(rows, "account long, timestamp timestamp_ntz").withColumns({
+        "action": F.lit("increase"), "success": F.lit(True), "size_delta_usd": F.lit(2.0)})
+    entered = {a: min(ts for b, ts in rows if b == a) for a in range(14) if any(b == a and START <= ts < campaign.end for b, ts in rows)}
+    want = {a: set() for a in entered}
+    for a, ts in rows:
+        week = (ts.date() - campaign.anchor.date()).days // 7 + 1
+        if a in want and ts >= campaign.anchor and 1 <= week <= weeks:
+            want[a].add(week)
+    assert {r.account: r.returned for r in co.weekly_profile(trades, campaign, weeks).collect()} == {a: sorted(w) for a, w in want.items()}
+    end = campaign.anchor + timedelta(days=7 * weeks + 3)
+    repeat = {r.week: r.n for r in co.weekly_repeat(trades, campaign, end).collect()}
+    assert repeat == {w: sum(w in found for found in want.values()) for w in range(1, weeks + 1)}
+    cells = co.cohort_heatmap(trades, campaign, end)
+    assert sum(r.n for r in cells.collect()) == sum(repeat.values())
