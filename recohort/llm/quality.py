@@ -57,7 +57,9 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     doubled = (length > 1) & (last == chunk.data[np.maximum(ends - 2, 0)]) & (sign > 1)
     pair = mix(low[:-1] ^ (low[1:] * np.uint64(3)) ^ doc[1:].astype(np.uint64) << np.uint64(40)) if len(low) > 1 else np.zeros(0, np.uint64)
     again = np.ones(len(low), bool)
-    again[1 + np.unique(pair, return_index=True)[1]] = False
+    # A pair across two texts is none, so what stands before a text does not matter.
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    again[1 + inside[np.unique(pair[inside], return_index=True)[1]]] = False
     again[before[:-1][before[:-1] < before[1:]]] = False
     shape = upper(first) | upper(second) << 1 | doubled.astype(np.int64) << 2 | again.astype(np.int64) << 3 | np.minimum(np.log2(length).astype(np.int64), 5) << 4 | sign.astype(np.int64) << 8
     out = np.empty(2 * len(low), np.int64)
