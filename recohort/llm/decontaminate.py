@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from recohort.llm.text import LETTERS, Chunk, chunks, each_range, giving_back, small_batches
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 GROUP_BYTES = 8 << 20
 #: Every so many positions of a stretch have their place noted.
 SAMPLED = 8
