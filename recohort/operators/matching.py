@@ -173,10 +173,15 @@ def matched_events(positions: DataFrame, executions: DataFrame, creations: DataF
     return join_creation_any_side(full_outer_match(positions, executions), creation_per_order(relevant, upper))
 
 
-def daily_audit(days: DataFrame, positions: DataFrame, executions: DataFrame, creations: DataFrame,
+def daily_audit(days: DataFrame | None, positions: DataFrame, executions: DataFrame, creations: DataFrame,
                 zero_account: Column, upper=None) -> DataFrame:
-    """The whole daily audit. Both sides are written once, so that matching, grouping and counting read each source once."""
+    """The whole daily audit. Both sides are written once, so that matching, grouping and counting read each source once.
+
+    Without ``days``, the grid spans every date of either side.
+    """
     positions, executions = pin(positions, "positions"), pin(executions, "executions")
+    if days is None:
+        days = date_grid(positions.select("block_time").unionByName(executions.select("block_time")), "block_time")
     audit = daily_join_audit(matched_events(positions, executions, creations, upper), zero_account)
     return densify_dates(days, audit, duplicate_event_counts(positions, "position_index"),
                          duplicate_event_counts(executions, "execution_index"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recohort.contracts import Campaign, AUDIT_FIELDS, DAILY_FIELDS
 from recohort.operators import classify, cohort as co, matching as m, quality
-from recohort.session import new_folder, pin
+from recohort.session import new_folder
 from recohort.sources.files import write_results
 from recohort.suite import tables as t
 from recohort.suite.registry import query, rounded
@@ -180,9 +180,7 @@ wide AS (
 
 
 def _dense(spark, d):
-    p, e = (pin(side, "side") for side in _sides(spark, d))
-    days = m.date_grid(p.select("block_time").unionByName(e.select("block_time")), "block_time")
-    return m.daily_audit(days, p, e, t.creations(spark, d), _zero())
+    return m.daily_audit(None, *_sides(spark, d), t.creations(spark, d), _zero())
 
 
 @query("densify_dates", _DENSE_SQL + " SELECT day, " + ", ".join(
