@@ -25,6 +25,7 @@ from recohort.session import pin, shared_folder
 SEEDS = (17, 42, 73)  # Fixed values: seeds of the neural runs; 42 is the primary one.
 PRIMARY_SEED = 42
 PARALLEL = 4  # Fits that run at once.
+ROWS_PER_TASK = 100_000
 SCALED = tuple(name for name in FEATURES if name != BINARY_FEATURE)
 _ID = ("account", "as_of", "split", "label")
 
@@ -106,8 +107,12 @@ def _together(spark: SparkSession, jobs: list[Callable[[], object]]) -> list:
 
 
 def _training(rows: DataFrame) -> DataFrame:
-    """What fits read again and again, kept in memory or on disk; the caller unpersists it."""
-    return rows.filter(F.col("split") == "train").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    """What fits read again and again, kept in memory or on disk; the caller unpersists it.
+
+    A fit is hundreds of short passes, so few rows are not spread thinner than a task is worth.
+    """
+    train = rows.filter(F.col("split") == "train").select("features", "label")
+    return train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _best(found: dict[int, float | None], count: int) -> int:
