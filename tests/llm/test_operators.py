@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -22,81 +23,122 @@ def pairs(spark, table, *columns):
     return [tuple(r) for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(*columns).collect()]
 
 
+LAST = 2**62  # Stands for a null doc_id, which comes after all others.
+
+
+def lowered(text) -> bytes:
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+
+
+def blank_words(text) -> list[bytes]:
+    return re.findall(rb"[^\x20\x09-\x0D]+", lowered(text))
+
+
+def letter_words(text) -> list[bytes]:
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+
+
 def plain_repeats(docs):
-    docs=[(d if d is not None else 2**62,(t or '').encode(),k) for k,(d,t) in enumerate(docs)]
-    first={}
-    for d,t,_ in docs:
-        for i in range(len(t)-49):
-            w=t[i:i+50]; f=first.get(w)
-            if f is None or d<f: first[w]=d
-    out=[]
-    for d,t,_ in docs:
-        g=np.zeros(len(t)+1,int)
-        for i in range(len(t)-49):
-            if first[t[i:i+50]]<d: g[i]+=1; g[min(i+50,len(t))]-=1
-        r=np.cumsum(g[:-1])>0
-        out.append((d if d<2**62 else None,len(t),int(r.sum()),int((r&~np.append(False,r[:-1])).sum()) if len(t) else 0,hashlib.sha256(np.frombuffer(t,np.uint8)[~r].tobytes()).hexdigest()))
-    return sorted(out,key=str)
+    """Rows of op3 by looking up every 50-byte string."""
+    texts = [(LAST if doc_id is None else doc_id, (text or "").encode()) for doc_id, text in docs]
+    first: dict[bytes, int] = {}
+    for doc_id, text in texts:
+        for i in range(len(text) - 49):
+            string = text[i:i + 50]
+            first[string] = min(first.get(string, doc_id), doc_id)
+    rows = []
+    for doc_id, text in texts:
+        removed = np.zeros(len(text), bool)
+        for i in range(len(text) - 49):
+            if first[text[i:i + 50]] < doc_id:
+                removed[i:i + 50] = True
+        spans = int((removed & ~np.append(False, removed[:-1])).sum()) if len(text) else 0
+        kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
+        rows.append((None if doc_id == LAST else doc_id, len(text), int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(rows, key=str)
 
 
 def plain_near(docs):
-    S={}
-    for d,t in docs:
-        w=re.findall(rb"[^\x20\x09-\x0D]+",bytes(c+32 if 65<=c<=90 else c for c in (t or '').encode()))
-        S[d]=frozenset(tuple(w[i:i+5]) for i in range(max(1,len(w)-4))) if w else frozenset()
-    inv=defaultdict(list)
-    for d,s in S.items():
-        for x in s: inv[x].append(d)
-    C=defaultdict(int)
-    for x,l in inv.items():
-        for i in range(len(l)):
-            for j in range(i): C[(l[j],l[i]) if l[j]<l[i] else (l[i],l[j])]+=1
-    p={d:d for d in S}
-    def f(x):
-        while p[x]!=x: p[x]=p[p[x]]; x=p[x]
+    """{doc_id: (n_shingles, component_id, kept)} by counting shared shingles of all pairs that share one."""
+    sets = {}
+    for doc_id, text in docs:
+        words = blank_words(text)
+        sets[doc_id] = frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    having = defaultdict(list)
+    for doc_id, own in sets.items():
+        for shingle in own:
+            having[shingle].append(doc_id)
+    shared = Counter(pair for ids in having.values() for pair in itertools.combinations(sorted(ids), 2))
+    parent = {doc_id: doc_id for doc_id in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
-    for (a,b),c in C.items():
-        if 100*c>=75*(len(S[a])+len(S[b])-c):
-            a,b=f(a),f(b); p[max(a,b)]=min(a,b)
-    return {d:(len(S[d]),f(d),f(d)==d) for d in S}
-
-
-def plain_hits(docs,items):
-    W=lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",bytes(c+32 if 65<=c<=90 else c for c in (t or '').encode()))
-    win={}
-    for i,t in items:
-        w=W(t)
-        for a in range(max(1,len(w)-9) if w else 0): win.setdefault(tuple(w[a:a+10]),set()).add(str(i))
-    L=sorted({len(k) for k in win}); out={}
-    for d,t in docs:
-        w=W(t); hit=set(); its=set()
-        for n in L:
-            for a in range(len(w)-n+1):
-                s=win.get(tuple(w[a:a+n]))
-                if s: its|=s; hit|=set(range(a,a+n))
-        out[d]=(len(w),len(hit),len(its),hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(),bool(hit))
+
+    for (one, two), both in shared.items():
+        if 100 * both >= 75 * (len(sets[one]) + len(sets[two]) - both):
+            low, high = sorted((root(one), root(two)))
+            parent[high] = low
+    return {doc_id: (len(own), root(doc_id), root(doc_id) == doc_id) for doc_id, own in sets.items()}
+
+
+def plain_hits(docs, items):
+    """{doc_id: the other columns of op8} by looking up every run of words."""
+    windows: dict[tuple, set[str]] = {}
+    for item_id, text in items:
+        words = letter_words(text)
+        for i in range(max(1, len(words) - 9) if words else 0):
+            windows.setdefault(tuple(words[i:i + 10]), set()).add(str(item_id))
+    sizes = sorted({len(window) for window in windows})
+    out = {}
+    for doc_id, text in docs:
+        words, hit, found = letter_words(text), set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                owners = windows.get(tuple(words[i:i + size]))
+                if owners:
+                    found |= owners
+                    hit |= set(range(i, i + size))
+        out[doc_id] = (len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
 
 
 def plain_scores(docs):
-    T={d:re.findall(rb"[^\x20\x09-\x0D]+",bytes(c+32 if 65<=c<=90 else c for c in (t or '').encode()))+[0] for d,t in docs}
-    uni=Counter();bi=Counter()
-    for d,w in T.items():
-        if zlib.crc32(str(d).encode())%7!=2:
-            uni.update(w); bi.update(zip([1]+w,w))
-    Nn=sum(uni.values());V=len(uni)
-    nc=Counter(bi.values()); D=N.discounts(*[nc[k] for k in (1,2,3,4)])
-    ctx=defaultdict(lambda:[0,0,0,0]); cont=Counter()
-    for (a,c),n in bi.items():
-        ctx[a][0]+=n; ctx[a][min(n,3)]+=1; cont[c]+=1
-    kc=Counter(cont.values()); E=N.discounts(*[kc[k] for k in (1,2,3,4)]); K=len(bi)
-    rest=(E[1]*kc[1]+E[2]*kc[2]+E[3]*(len(cont)-kc[1]-kc[2]))/K/(V+1)
-    def p(a,c):
-        q=(max(cont[c]-E[min(cont[c],3)],0)/K if c in cont else 0)+rest
-        if a not in ctx: return q
-        t=ctx[a]; n=bi.get((a,c),0)
-        return max(n-D[min(n,3)],0)/t[0]+(D[1]*t[1]+D[2]*t[2]+D[3]*t[3])/t[0]*q
-    return {d:(zlib.crc32(str(d).encode())%7==2,len(w),sum(uni[x]>0 for x in w),Nn,sum(math.log10((uni[x]+1)/(Nn+V+1)) for x in w),sum(math.log10(p(a,c)) for a,c in zip([1]+w,w))) for d,w in T.items()}
+    """{doc_id: the other columns of op9} from the formulas of interpolated modified Kneser-Ney."""
+    end, start = 0, 1
+    texts = {doc_id: [*blank_words(text), end] for doc_id, text in docs}
+    held_out = {doc_id: zlib.crc32(str(doc_id).encode()) % 7 == 2 for doc_id in texts}
+    words, bigrams = Counter(), Counter()
+    for doc_id, own in texts.items():
+        if not held_out[doc_id]:
+            words.update(own)
+            bigrams.update(zip([start, *own], own, strict=False))
+    total, kinds = sum(words.values()), len(words)
+    of_count = Counter(bigrams.values())
+    higher = N.discounts(*[of_count[k] for k in (1, 2, 3, 4)])
+    context, preceding = defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    for (before, word), n in bigrams.items():
+        context[before][0] += n
+        context[before][min(n, 3)] += 1
+        preceding[word] += 1
+    of_preceding = Counter(preceding.values())
+    lower = N.discounts(*[of_preceding[k] for k in (1, 2, 3, 4)])
+    lost = lower[1] * of_preceding[1] + lower[2] * of_preceding[2] + lower[3] * (len(preceding) - of_preceding[1] - of_preceding[2])
+    rest = lost / len(bigrams) / (kinds + 1)
+
+    def probability(before, word):
+        q = (max(preceding[word] - lower[min(preceding[word], 3)], 0) / len(bigrams) if word in preceding else 0) + rest
+        if before not in context:
+            return q
+        n, one, two, more = context[before]
+        count = bigrams.get((before, word), 0)
+        return max(count - higher[min(count, 3)], 0) / n + (higher[1] * one + higher[2] * two + higher[3] * more) / n * q
+
+    return {doc_id: (held_out[doc_id], len(own), sum(words[w] > 0 for w in own), total,
+                     sum(math.log10((words[w] + 1) / (total + kinds + 1)) for w in own),
+                     sum(math.log10(probability(a, c)) for a, c in zip([start, *own], own, strict=False))) for doc_id, own in texts.items()}
 
 
 HARD = [(1, None), (2, ""), (3, "a b c d e f g"), (4, "A b c d e f g"), (4, "A b c d e f g"), (5, "one"), (6, "x" * 400), (7, "y" + "x" * 90), (None, "x" * 120)]
