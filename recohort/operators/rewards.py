@@ -47,7 +47,7 @@ def reward_row_faults(allocations: DataFrame, overrides: DataFrame | None = None
     known = allocations.select("file", F.lower("recipient").alias("receiver")).distinct()
     given = overrides.filter("original IS NOT NULL").select("file", F.lower("receiver").alias("receiver"),
                                                             F.lower("original").alias("original"))
-    absent = given.join(known, ["file", "receiver"], "left_anti").select(
+    absent = given.join(known.hint("merge"), ["file", "receiver"], "left_anti").select(
         "file", F.col("receiver").alias("recipient"), F.lit("absent override recipient").alias("rule"))
     twice = (given.groupBy("file", "original").agg(F.count("*").alias("n")).filter("n > 1")
              .select("file", F.col("original").alias("recipient"), F.lit("repeated override source").alias("rule")))
@@ -59,7 +59,7 @@ def batch_total_faults(allocations: DataFrame, batches: DataFrame) -> DataFrame:
     usable = F.when(is_integer_text(F.col("amount_raw")), F.col("amount_raw"))
     sums = allocations.groupBy("file").agg(sum_limbs(usable).alias("limbs")).select(
         "file", carry_limbs(F.col("limbs")).alias("sum_raw"))
-    return (batches.join(sums, "file", "left").filter(~F.col("sum_raw").eqNullSafe(strip_zeros(F.col("total_raw"))))
+    return (batches.join(sums.hint("merge"), "file", "left").filter(~F.col("sum_raw").eqNullSafe(strip_zeros(F.col("total_raw"))))
             .select("file", F.lit("allocation sum differs from batch total").alias("rule"), "sum_raw", "total_raw"))
 
 
@@ -75,13 +75,14 @@ def reward_ledger(allocations: DataFrame, overrides: DataFrame, token: str) -> D
 
     A missing override map is unknown; it is not the same as an empty one.
     """
+    # Sizes of parsed documents are guessed far too low, so no side of these joins may be sent to every task.
     recorded = overrides.groupBy("file").agg(F.max(F.col("recorded").cast("int")).alias("recorded"))
     destinations = (overrides.filter("receiver IS NOT NULL")
                     .select("file", F.lower("receiver").alias("recipient")).distinct().withColumn("_to", F.lit(True)))
     evidence = (F.when(F.coalesce("recorded", F.lit(0)) == 0, "unrecorded")
                 .when(F.col("_to"), "recorded_destination").otherwise("not_in_recorded_overrides"))
     rows = allocations.withColumn("recipient", F.lower("recipient"))
-    return (rows.join(recorded, "file", "left").join(destinations, ["file", "recipient"], "left")
+    return (rows.join(recorded.hint("merge"), "file", "left").join(destinations.hint("merge"), ["file", "recipient"], "left")
             .select("file", "epoch_start", "recipient", F.lit(token).alias("token"), "amount_raw",
                     scale_token_units(F.col("amount_raw")).alias("amount_units"), evidence.alias("override_evidence")))
 
