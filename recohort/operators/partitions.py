@@ -61,10 +61,12 @@ def snapshot_provenance(parts: DataFrame) -> DataFrame:
 def merge_partitions(rows: DataFrame, parts: DataFrame, time: str = "timestamp") -> DataFrame:
     """Rows with the part (part_start, part_end) that each belongs to; what no part wants is left out.
 
-    One pass over the rows for any number of parts: the starts, which do not overlap once the gates above
-    have passed, are one sorted array beside each row.
+    One pass over the rows for any number of parts: a row meets the parts that touch its day, which are few
+    because parts do not overlap once the gates above have passed; the first one that holds it wins.
     """
-    starts = parts.agg(F.sort_array(F.collect_list(F.struct("part_start", "part_end"))).alias("all")).scalar()
+    days = F.explode(F.sequence(F.to_date("part_start"), F.to_date("part_end"))).alias("_day")
+    touching = (parts.filter("part_start < part_end").select(F.struct("part_start", "part_end").alias("_p"), days)
+                .groupBy("_day").agg(F.sort_array(F.collect_list("_p")).alias("_parts")))
     mine = F.filter("_parts", lambda p: (p["part_start"] <= F.col(time)) & (F.col(time) < p["part_end"]))
-    placed = rows.withColumn("_parts", starts).withColumn("_part", F.get(mine, F.lit(0)))
-    return placed.filter("_part IS NOT NULL").select("*", "_part.part_start", "_part.part_end").drop("_part", "_parts")
+    placed = rows.withColumn("_day", F.to_date(time)).join(touching, "_day").withColumn("_part", F.get(mine, F.lit(0)))
+    return placed.filter("_part IS NOT NULL").select("*", "_part.part_start", "_part.part_end").drop("_day", "_part", "_parts")

@@ -1,9 +1,12 @@
 """What must not grow with the tables: rows sent to every task, work per row, bytes moved, rows per task."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from recohort.operators import rewards as rw
-from recohort.sources import rewards as sr
+from recohort.operators import partitions as pt, rewards as rw
+from recohort.sources import pages as sp, rewards as sr
+from recohort.suite import ingest
 
 
 def plan(frame) -> str:
@@ -23,4 +26,36 @@ def test_reward_joins_are_not_broadcast(spark):
     assert "Broadcast" not in plan(rw.batch_total_faults(allocations, batches))
     assert ledger.groupBy("recipient", "override_evidence").count().sort("recipient").collect() == [
         ("0xa", "recorded_destination", 50), ("0xb", "not_in_recorded_overrides", 50)]
-    assert rw.validate_rewards(allocations, batches, overrides).isEmpty()
+    assert rw.batch_total_faults(allocations, batches).isEmpty()
+
+
+def test_merge_meets_only_parts_of_the_day(spark):
+    """Rows are not compared with every part; overlaps, empty parts, nulls and edges come out as before."""
+    def at(*text):
+        return [v and datetime.fromisoformat(v) for v in text]
+
+    parts = spark.createDataFrame([at("2024-01-01", "2024-01-08"), at("2024-01-08", "2024-01-08T06:00"), at("2024-01-08T03:00", "2024-01-09"),
+                                   at("2024-01-20", "2024-01-10"), at(None, "2024-02-01"), at("2024-01-12", None)], "part_start timestamp, part_end timestamp")
+    times = ["2023-12-31T23:59:59", "2024-01-01", "2024-01-07T23:59:59", "2024-01-08", "2024-01-08T03:00", "2024-01-08T06:00", "2024-01-09", "2024-01-15", None]
+    rows = spark.createDataFrame([(i, *at(v)) for i, v in enumerate(times)], "`a.b` int, timestamp timestamp")
+    merged = pt.merge_partitions(rows, parts)
+    assert merged.columns == ["a.b", "timestamp", "part_start", "part_end"]
+    first, second, third = (tuple(at(*p)) for p in (("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-08T06:00"), ("2024-01-08T03:00", "2024-01-09")))
+    assert sorted((r[0], r[2], r[3]) for r in merged.collect()) == [(1, *first), (2, *first), (3, *second), (4, *second), (5, *third)]
+    assert "_day" in plan(merged)
+
+
+def test_landed_pages_move_orders_and_not_text(spark, tmp_path):
+    """Files are packed, and what is shuffled are the orders, once."""
+    orders = spark.range(3000).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(12.5).alias("o_totalprice"),
+        F.lit(datetime(1997, 1, 1)).alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    path = ingest.landed_pages(spark, str(tmp_path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").collect()
+    assert len(files) == 3 and all(row.path.endswith(".gz") for row in files)
+    assert sum(row.length for row in files) < 3000 * 200
+    found = sp.read_pages(spark, path)
+    assert sp.ingest_action_pages(found).count() == 3000
+    assert sorted(r[0] for r in found.select(F.size("actions")).collect()) == sorted(
+        sum(2 + (k % 19 != 0) for k in range(a, a + 1000)) for a in (0, 1000, 2000))
