@@ -4,9 +4,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from recohort.operators import partitions as pt, rewards as rw
+from recohort.operators import matching as m, partitions as pt, rewards as rw
 from recohort.sources import pages as sp, rewards as sr
-from recohort.suite import ingest
+from recohort.suite import audit, ingest, tables as t
 
 
 def plan(frame) -> str:
@@ -59,3 +59,41 @@ def test_landed_pages_move_orders_and_not_text(spark, tmp_path):
     assert sp.ingest_action_pages(found).count() == 3000
     assert sorted(r[0] for r in found.select(F.size("actions")).collect()) == sorted(
         sum(2 + (k % 19 != 0) for k in range(a, a + 1000)) for a in (0, 1000, 2000))
+
+
+def _match_tables(spark, path, orders: int):
+    """Orders with four lines each, of which two are equal."""
+    key = F.col("id")
+    spark.range(orders).select(
+        key.alias("o_orderkey"), (key % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(12.5).alias("o_totalprice"),
+        F.lit(datetime(1997, 1, 1)).cast("timestamp_ntz").alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority")).write.parquet(f"{path}/orders.parquet")
+    line = F.explode(F.array(*[F.lit(n) for n in (1, 1, 2, 3)])).alias("l_linenumber")
+    spark.range(orders).select(
+        key.alias("l_orderkey"), (key % 50).alias("l_partkey"), (key % 40 + 1).alias("l_suppkey"), line, F.lit(1.0).alias("l_extendedprice"), F.lit("N").alias("l_returnflag"),
+        F.lit(datetime(1997, 1, 2)).cast("timestamp_ntz").alias("l_shipdate")).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Twice the lines are twice the parts, and no side of the match is sent to every task."""
+    _match_tables(spark, tmp_path, 100)
+    monkeypatch.setattr(t, "parts", lambda rows, most: -(-rows.count() // 10))
+    for frame in (t.positions(spark, str(tmp_path)), t.executions(spark, str(tmp_path))):
+        assert "Broadcast" not in plan(frame)
+        assert ", 40), REPARTITION_BY_NUM" in plan(frame)
+    assert plan(audit._matched(spark, str(tmp_path))).count("hashpartitioning(order_key") >= 2
+
+
+def test_audit_counts_rows_that_stand_for_several(spark, tmp_path):
+    """Counted rows give the same matches and duplicates as the rows themselves."""
+    _match_tables(spark, tmp_path, 30)
+    sides = p, e = t.positions(spark, str(tmp_path)), t.executions(spark, str(tmp_path))
+    counted = m._counted(p, "position_index"), m._counted(e, "execution_index")
+    assert counted[0].count() < p.count()
+    rows = F.col("_rows")
+    key = ("block_date", "order_key", "account", "has_position", "has_execution", "pair_rows")
+    assert sorted(m.full_outer_match(*counted, rows).select(*key).collect()) == sorted(m.full_outer_match(*sides).select(*key).collect())
+    for one, few, index in zip(sides, counted, ("position_index", "execution_index")):
+        assert m.duplicate_event_counts(few, index, rows).collect() == m.duplicate_event_counts(one, index).collect()
+    out = m.daily_audit(None, *sides, t.creations(spark, str(tmp_path)), F.lit(0).cast("bigint"))
+    assert out.select("day", "position_rows", "duplicate_position_events", "position_join_extra_rows").collect() == [
+        (datetime(1997, 1, 2).date(), 29 * 4, 29, 29 * (4 * 4 - 4))]
