@@ -97,3 +97,23 @@ def test_audit_counts_rows_that_stand_for_several(spark, tmp_path):
     out = m.daily_audit(None, *sides, t.creations(spark, str(tmp_path)), F.lit(0).cast("bigint"))
     assert out.select("day", "position_rows", "duplicate_position_events", "position_join_extra_rows").collect() == [
         (datetime(1997, 1, 2).date(), 29 * 4, 29, 29 * (4 * 4 - 4))]
+
+
+def test_match_joins_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    """No join or grouping of lines is left to the session's fixed number of parts; only days are."""
+    _match_tables(spark, tmp_path, 100)
+    d, zero = str(tmp_path), F.lit(0).cast("bigint")
+    monkeypatch.setattr(t, "parts", lambda rows, most: -(-rows.count() // 10))
+    sides = t.positions(spark, d), t.executions(spark, d)
+    count, fixed = t.line_parts(spark, d), f", {spark.conf.get('spark.sql.shuffle.partitions')}), ENSURE_REQUIREMENTS"
+    matched = audit._matched(spark, d)
+    for frame in (matched, m.full_outer_match(*sides, parts=count), m.semi_matched_positions(*sides, count), m.semi_relevant_creations(t.creations(spark, d), sides[1], count)):
+        assert fixed not in plan(frame)
+        assert f", {count}), REPARTITION_BY_NUM" in plan(frame)
+    by_day = plan(m.daily_join_audit(matched, zero, count))
+    assert "hashpartitioning(block_date" in by_day and by_day.count(fixed) == 1
+    # The same rows as without parts.
+    plain = m.matched_events(*sides, t.creations(spark, d))
+    assert sorted(map(str, matched.collect())) == sorted(map(str, plain.collect()))
+    assert m.daily_join_audit(matched, zero, count).collect() == m.daily_join_audit(plain, zero).collect()
+    assert sorted(m.semi_matched_positions(*sides, count).collect()) == sorted(m.semi_matched_positions(*sides).collect())
