@@ -15,11 +15,12 @@ _SHARE = "top_market_share_30d"
 
 
 def study_openings(spark, d):
-    return classify.scan_openings(t.order_trades(spark, d))
+    """Dealt by account, so that later groupings by account, cutoff and market move nothing more."""
+    return t.dealt(classify.scan_openings(t.order_trades(spark, d)), t.table(spark, d, "orders"), "account")
 
 
 def event_openings(spark, d):
-    return classify.scan_openings(t.event_trades(spark, d))
+    return t.dealt(classify.scan_openings(t.event_trades(spark, d)), t.table(spark, d, "events"), "account")
 
 
 def study_samples(spark, d):
@@ -30,7 +31,7 @@ def study_samples(spark, d):
 SELECT account, market, ts AS "timestamp", CAST(size AS DOUBLE) AS size_usd, CAST(fee AS DOUBLE) AS fee_usd
 FROM trades WHERE success AND action = 'increase' AND size > 0""")
 def _openings(spark, d):
-    return event_openings(spark, d)
+    return classify.scan_openings(t.event_trades(spark, d))
 
 
 @query("landmark_table", t.STUDY_SQL + """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recohort.operators import matching as m, partitions as pt, rewards as rw
 from recohort.sources import pages as sp, rewards as sr
-from recohort.suite import audit, ingest, tables as t
+from recohort.suite import audit, ingest, samples, tables as t
 
 
 def plan(frame) -> str:
@@ -117,3 +117,18 @@ def test_match_joins_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypat
     assert sorted(map(str, matched.collect())) == sorted(map(str, plain.collect()))
     assert m.daily_join_audit(matched, zero, count).collect() == m.daily_join_audit(plain, zero).collect()
     assert sorted(m.semi_matched_positions(*sides, count).collect()) == sorted(m.semi_matched_positions(*sides).collect())
+
+
+def test_openings_of_large_tables_are_dealt_by_account(spark, tmp_path, monkeypatch):
+    """Samples of many orders are built in parts whose number follows the orders, with the same rows; few orders move as before."""
+    key, d = F.col("id"), str(tmp_path)
+    spark.range(300).select(
+        key.alias("o_orderkey"), (key % 40).alias("o_custkey"), F.when(key % 3 == 0, "O").otherwise("F").alias("o_orderstatus"), (key + 0.5).alias("o_totalprice"),
+        F.lit(datetime(1996, 5, 1)).cast("timestamp_ntz").alias("o_orderdate") + F.make_dt_interval(days=(key * 7).cast("int")),
+        (key % 3).cast("string").alias("o_orderpriority")).toDF("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    few = samples.study_samples(spark, d)
+    assert "REPARTITION_BY_NUM" not in plan(few)
+    monkeypatch.setattr(t, "parts", lambda rows, most: -(-rows.count() // 10))
+    many = samples.study_samples(spark, d)
+    assert "hashpartitioning(account" in plan(many) and ", 30), REPARTITION_BY_NUM" in plan(many) and "ENSURE_REQUIREMENTS" not in plan(many)
+    assert many.count() > 0 and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
