@@ -100,7 +100,7 @@ def staged_scores(model: Model, rows: DataFrame, stages: list[int]) -> DataFrame
     return out.select(*kept, *[found[stage].alias(f"score_{stage}") for stage in stages])
 
 
-def _together(spark: SparkSession, jobs: list[Callable[[], object]]) -> list:
+def together(spark: SparkSession, jobs: list[Callable[[], object]]) -> list:
     """Results of independent fits, which share the cluster instead of waiting for each other."""
     with ThreadPoolExecutor(min(len(jobs), PARALLEL)) as pool:
         return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
@@ -119,11 +119,15 @@ def _best(found: dict[int, float | None], count: int) -> int:
     return max(range(count), key=lambda i: (found.get(i) is not None, found.get(i) or 0.0, -i))
 
 
-def _choose(name: str, rows: DataFrame, settings, build) -> Fitted:
-    """Fit every candidate on training rows and keep the best; all are evaluated in one pass."""
-    train, validation = _training(rows), rows.filter(F.col("split") == "validation")
-    models = _together(rows.sparkSession, [partial(build(setting).fit, train) for setting in settings])
-    train.unpersist()
+def _choose(name: str, rows: DataFrame, settings, build, train: DataFrame | None = None) -> Fitted:
+    """Fit every candidate on training rows and keep the best; all are evaluated in one pass.
+
+    ``train`` are kept training rows that several choices share and the caller unpersists.
+    """
+    kept, validation = _training(rows) if train is None else train, rows.filter(F.col("split") == "validation")
+    models = together(rows.sparkSession, [partial(build(setting).fit, kept) for setting in settings])
+    if train is None:
+        kept.unpersist()
     scored = reduce(DataFrame.unionByName, [
         _scored(model, validation).withColumn("candidate", F.lit(i)) for i, model in enumerate(models)])
     found = {row["candidate"]: row["average_precision"] for row in average_precision(scored, ("candidate",)).collect()}
@@ -189,10 +193,10 @@ def fit_boosting(rows: DataFrame, rounds=(100, 200), depth: int = 3, rate: float
     return Fitted("gradient_boosting", model, float(rounds[best]), tried, min(rounds[best], len(model.trees)))
 
 
-def fit_mlp(rows: DataFrame, seed: int = PRIMARY_SEED, iterations=(50, 100)) -> Fitted:
+def fit_mlp(rows: DataFrame, seed: int = PRIMARY_SEED, iterations=(50, 100), train: DataFrame | None = None) -> Fitted:
     """A 17-32-16 network; the number of iterations is chosen like early stopping would."""
     return _choose("mlp", rows, iterations, lambda m: MultilayerPerceptronClassifier(
-        layers=[len(FEATURES), 32, 16, 2], seed=seed, maxIter=m, blockSize=256))
+        layers=[len(FEATURES), 32, 16, 2], seed=seed, maxIter=m, blockSize=256), train)
 
 
 def score_model(fitted: Fitted, rows: DataFrame) -> DataFrame:
@@ -210,8 +214,11 @@ def score_boosting(rows: DataFrame, rounds=(100, 200)) -> DataFrame:
 
 
 def fit_networks(rows: DataFrame, seeds=SEEDS, iterations=(50, 100)) -> dict[int, Fitted]:
-    """The network of each seed, all fitted at once."""
-    return dict(zip(seeds, _together(rows.sparkSession, [partial(fit_mlp, rows, seed, iterations) for seed in seeds]), strict=True))
+    """The network of each seed, all fitted at once on the same kept training rows."""
+    train = _training(rows)
+    fitted = together(rows.sparkSession, [partial(fit_mlp, rows, seed, iterations, train) for seed in seeds])
+    train.unpersist()
+    return dict(zip(seeds, fitted, strict=True))
 
 
 def score_mlp(rows: DataFrame, seeds=SEEDS, iterations=(50, 100)) -> DataFrame:

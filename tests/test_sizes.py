@@ -4,7 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from recohort.operators import matching as m, partitions as pt, rewards as rw
+from recohort.contracts import FEATURES
+from recohort.operators import matching as m, models as mo, partitions as pt, rewards as rw
 from recohort.sources import pages as sp, rewards as sr
 from recohort.suite import audit, ingest, samples, tables as t
 
@@ -132,3 +133,18 @@ def test_openings_of_large_tables_are_dealt_by_account(spark, tmp_path, monkeypa
     many = samples.study_samples(spark, d)
     assert "hashpartitioning(account" in plan(many) and ", 30), REPARTITION_BY_NUM" in plan(many) and "ENSURE_REQUIREMENTS" not in plan(many)
     assert many.count() > 0 and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_networks_share_their_training_rows(spark, monkeypatch):
+    """Training rows are kept once for all seeds, and given back."""
+    key = F.col("id")
+    rows = mo.with_vector(spark.range(60).select(
+        key.alias("account"), F.lit("x").alias("as_of"), F.when(key % 3 == 0, "validation").otherwise("train").alias("split"), (key % 2).cast("int").alias("label"),
+        *[((key * (i + 3)) % 7 / 7.0).alias(name) for i, name in enumerate(FEATURES)]))
+    kept, original = [], mo._training
+    monkeypatch.setattr(mo, "_training", lambda found: kept.append(original(found)) or kept[-1])
+    fitted = mo.fit_networks(rows, (17, 42), (2, 3))
+    assert len(kept) == 1 and not kept[0].storageLevel.useMemory
+    alone = mo.fit_mlp(rows, 42, (2, 3))
+    assert len(kept) == 2 and not kept[1].storageLevel.useMemory
+    assert alone.setting == fitted[42].setting and mo.score_model(alone, rows).collect() == mo.score_model(fitted[42], rows).collect()
