@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -105,6 +105,8 @@ SELECT model, CAST(seed AS BIGINT) AS seed, split, count(*) AS rows, count(DISTI
 def _scored_runs(spark, d):
     """Every learned run scores every sample of every split, with a probability."""
     rows = _prepared(spark, d)
+    # Boosting is many short passes, the networks are few long ones: together they fill the cluster.
+    mo.together(spark, [partial(fit, spark, d) for fit in (_logistic_fit, _boosting_fit, _network_fits)])
     one = [mo.score_model(_logistic_fit(spark, d), rows).withColumn("model", F.lit("logistic_regression")),
            mo.score_model(_boosting_fit(spark, d), rows).withColumn("model", F.lit("gradient_boosting"))]
     every = reduce(DataFrame.unionByName, one).withColumn("seed", F.lit(0)).unionByName(_network_scores(spark, d).withColumn("model", F.lit("mlp")))
