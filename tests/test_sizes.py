@@ -1,13 +1,15 @@
 """What must not grow with the tables: rows sent to every task, work per row, bytes moved, rows per task."""
 
+import threading
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from recohort.contracts import FEATURES
 from recohort.operators import matching as m, models as mo, partitions as pt, rewards as rw
 from recohort.sources import pages as sp, rewards as sr
-from recohort.suite import audit, ingest, samples, tables as t
+from recohort.suite import audit, ingest, models, samples, tables as t
 
 
 def plan(frame) -> str:
@@ -148,3 +150,24 @@ def test_networks_share_their_training_rows(spark, monkeypatch):
     alone = mo.fit_mlp(rows, 42, (2, 3))
     assert len(kept) == 2 and not kept[1].storageLevel.useMemory
     assert alone.setting == fitted[42].setting and mo.score_model(alone, rows).collect() == mo.score_model(fitted[42], rows).collect()
+
+
+def test_kinds_of_models_are_fitted_at_once(spark, monkeypatch):
+    """Each first fit waits until all three have begun."""
+    met, done = threading.Barrier(3, timeout=20), []
+
+    def fit(name):
+        def run(session, folder):
+            if name in done:
+                raise LookupError("fitted")
+            met.wait()
+            done.append(name)
+        return run
+
+    names = ["_boosting_fit", "_logistic_fit", "_network_fits"]
+    monkeypatch.setattr(models, "_prepared", lambda session, folder: None)
+    for name in names:
+        monkeypatch.setattr(models, name, fit(name))
+    with pytest.raises(LookupError):
+        models._scored_runs(spark, "")
+    assert sorted(done) == names
