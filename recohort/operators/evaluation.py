@@ -7,11 +7,15 @@ Rows need ``account``, ``label`` (0/1) and ``score``; ``within`` names the colum
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recohort.functions.scalars import is_finite, rate
 from recohort.operators.ranking import join_groups, positions, running_totals, top_count
+from recohort.session import enough_parts, pin
 
 _SALTS = 256
 
@@ -44,6 +48,98 @@ def average_precision(scores: DataFrame, within: tuple[str, ...] = (), steps: Da
             .select(*within, rate(F.col("gain"), F.col("positives")).alias("average_precision")))
 
 
+def variant_precision(records: DataFrame, repeats: int, width: int, most: int = 1_000_000) -> DataFrame:
+    """Average precision of a base run and of ``repeats`` x ``width`` runs that differ from it in some rows.
+
+    ``records`` (rep, bits, score, n, hits) with rep 0 are the rows of the base run. One with another rep is a row that
+    the runs (rep, f) have besides (n = 1), or have no longer (n = -1, hits negative), for every bit f of ``bits``.
+    Rows that a run shares with the base are moved and ordered once for all runs. A slice of the scores gives, for each
+    run, its counts and its steps with positives; what lies above a slice is added afterwards. The base is run (0, 0).
+    """
+    run = F.call_function("shiftleft", F.col("rep").cast("long"), F.lit(width)).bitwiseOR(F.col("bits").cast("long"))
+    kept = pin(records.select((run * F.col("n")).alias("run"), "score", "hits"), "records")
+    sliced = kept.repartitionByRange(enough_parts(kept.sparkSession, kept.count(), most), "score").select("run", "score", "hits")
+    steps = pin(sliced.mapInArrow(_slice_steps(repeats, width), "slice long, rep int, f int, n long, hits long, "
+                                  "step_hits array<long>, hits_upto array<long>, n_upto array<long>"), "steps")
+    above = Window.partitionBy("rep", "f").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = steps.select("slice", "rep", "f", *[F.coalesce(F.sum(name).over(above), F.lit(0)).alias(f"{name}_above") for name in ("n", "hits")])
+    gain = F.aggregate(F.arrays_zip("step_hits", "hits_upto", "n_upto"), F.lit(0.0), lambda total, step: total + step["step_hits"].cast("double") * (
+        step["hits_upto"] + F.col("hits_above")) / (step["n_upto"] + F.col("n_above")))
+    return (steps.join(offsets, ["slice", "rep", "f"]).groupBy("rep", "f").agg(F.sum(gain).alias("gain"), F.sum("hits").alias("positives"))
+            .select("rep", "f", rate(F.col("gain"), F.col("positives")).alias("average_precision")))
+
+
+def _slice_steps(repeats: int, width: int, loose: int = 4_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts and steps of every run over one slice of the scores. Equal records are summed when many have gathered."""
+    def ordered(batch: pa.RecordBatch) -> np.ndarray:
+        """Keys that rise as scores fall: NaN first, as in Spark's order, null last; zeros are one."""
+        score = batch.column("score")
+        values = score.to_numpy(zero_copy_only=False).astype(float) + 0.0
+        values[np.isnan(values)] = np.nan
+        bits = values.view(np.int64)
+        rising = bits ^ ((bits >> 63) & np.iinfo(np.int64).max)
+        rising[score.is_null().to_numpy(zero_copy_only=False)] = np.iinfo(np.int64).min
+        return ~rising
+
+    def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sums of sorted rows with equal keys."""
+        new = np.ones(len(keys[0]), bool)
+        if len(new):
+            new[1:] = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
+        first = np.flatnonzero(new)
+        return [key[first] for key in keys], [np.add.reduceat(value, first) if len(first) else value for value in values]
+
+    def upto(values: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(values)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, gathered, bound = [], 0, loose
+        for batch in batches:
+            run, hits = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("run", "hits"))
+            parts.append((np.abs(run), ordered(batch), np.where(run < 0, -1, 1), hits))
+            gathered += len(run)
+            if gathered > bound:
+                columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
+                order = np.lexsort(columns[1::-1])
+                keys, values = summed([column[order] for column in columns[:2]], [column[order] for column in columns[2:]])
+                parts, gathered = [(*keys, *values)], len(keys[0])
+                bound = max(loose, 2 * gathered)
+        if not gathered:
+            return
+        run, key, n, hits = (np.concatenate(column) for column in zip(*parts, strict=True))
+        rep = run >> width
+        by_rep = np.argsort(rep.astype(np.min_scalar_type(repeats)), kind="stable")
+        edges = np.searchsorted(rep[by_rep], np.arange(repeats + 2))
+        found, lists = [], [[], [], []]
+        for r in range(repeats + 1):
+            own = by_rep[edges[r]:edges[r + 1]]
+            own = own[np.argsort(key[own])]
+            own_bits, own_key, own_n, own_hits = (column[own] for column in (run, key, n, hits))
+            if not r:
+                (base,), (base_n, base_hits) = summed([own_key], [own_n, own_hits])
+                positive, base_n, base_hits = base[base_hits != 0], upto(base_n), upto(base_hits)
+            for f in range(width if r else 1):
+                here = np.flatnonzero(own_bits >> f & 1) if r else np.empty(0, int)
+                (other,), (other_n, other_hits) = summed([own_key[here]], [own_n[here], own_hits[here]])
+                points = np.union1d(positive, other[other_hits != 0])
+                other_n, other_hits = upto(other_n), upto(other_hits)
+                to, at = np.searchsorted(base, points, "right"), np.searchsorted(other, points, "right")
+                n_upto, hits_upto = base_n[to] + other_n[at], base_hits[to] + other_hits[at]
+                step = hits_upto - base_hits[np.searchsorted(base, points)] - other_hits[np.searchsorted(other, points)]
+                some = step != 0
+                found.append((r, f, base_n[-1] + other_n[-1], base_hits[-1] + other_hits[-1], np.count_nonzero(some)))
+                for values, one in zip(lists, (step, hits_upto, n_upto), strict=True):
+                    values.append(one[some])
+        reps, fs, ns, sums, sizes = map(np.array, zip(*found, strict=True))
+        offsets = pa.array(upto(sizes).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(reps), key.min())), pa.array(reps.astype(np.int32)), pa.array(fs.astype(np.int32)), pa.array(ns), pa.array(sums),
+             *[pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values))) for values in lists]],
+            names=["slice", "rep", "f", "n", "hits", "step_hits", "hits_upto", "n_upto"])
+
+    return each
+
+
 def roc_auc(scores: DataFrame, within: tuple[str, ...] = (), steps: DataFrame | None = None) -> DataFrame:
     """Probability that a positive outranks a negative, ties half; null with one class."""
     steps = score_steps(scores, within) if steps is None else steps

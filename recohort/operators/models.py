@@ -18,14 +18,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recohort.contracts import BINARY_FEATURE, FEATURES, LOG_FEATURES
-from recohort.operators.evaluation import average_precision
-from recohort.operators.ranking import positions
-from recohort.session import pin, shared_folder
+from recohort.operators.evaluation import average_precision, variant_precision
+from recohort.operators.ranking import numbered
+from recohort.session import enough_parts, pin, shared_folder
 
 SEEDS = (17, 42, 73)  # Fixed values: seeds of the neural runs; 42 is the primary one.
 PRIMARY_SEED = 42
 PARALLEL = 4  # Fits that run at once.
 ROWS_PER_TASK = 100_000
+ROWS_SORTED = 500_000  # Rows of a slice that is sorted and written.
 SCALED = tuple(name for name in FEATURES if name != BINARY_FEATURE)
 _ID = ("account", "as_of", "split", "label")
 
@@ -233,34 +234,51 @@ def shuffled_by_key(rows: DataFrame, repeats: int, seed: int, keep: list[Column]
     The order is that of the SHA-256 of ``account:seed:repeat``, so any engine repeats it.
     """
     reps = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    drawn = rows.select(reps.alias("rep"), "account", *keep).withColumn("_h", F.sha2(F.concat_ws(":", F.col("account").cast("string"), F.lit(str(seed)), "rep"), 256))
-    return positions(drawn, [F.asc("_h"), F.asc("account")], ("rep",)).drop("_h", "group_size")
+    digest = F.sha2(F.concat_ws(":", F.col("account").cast("string"), F.lit(str(seed)), "rep"), 256)
+    drawn = rows.select(reps.alias("rep"), "account", *keep).withColumn("_h", F.unhex(digest))
+    parts = enough_parts(rows.sparkSession, rows.count() * repeats, ROWS_SORTED)
+    return numbered(drawn, [F.asc("_h"), F.asc("account")], ("rep",), parts).drop("_h")
 
 
 def permutation_importance(scorer: Fitted | Callable[[DataFrame], DataFrame], rows: DataFrame, repeats: int = 10,
                            seed: int = PRIMARY_SEED) -> DataFrame:
     """Loss of validation average precision when one feature is shuffled: mean and population deviation.
 
-    ``scorer`` is a fitted model, or a function that adds ``score`` to rows with the features. A repeat's
-    shuffle pairs the rows in the order of their accounts with the rows in a keyed order; the pairs
-    meet on (repeat, position), and all repeats and features are scored in one pass.
+    ``scorer`` is a fitted model, or a function that adds ``score`` to rows with the features, from those alone. A
+    repeat's shuffle pairs the rows in the order of their accounts with the rows in a keyed order; the pairs meet on
+    the position. A row whose partner has the same value of a feature stays as it is and so keeps its score; all the
+    others, of all repeats and features, are scored in one pass.
     """
     def score(found: DataFrame) -> DataFrame:
         return score_model(scorer, with_vector(found)) if isinstance(scorer, Fitted) else scorer(found)
 
-    validation = rows.filter(F.col("split") == "validation").select("account", "label", *FEATURES)
-    base = positions(validation, [F.asc("account")])
-    donors = shuffled_by_key(validation, repeats, seed, [F.array(*FEATURES).alias("donor")]).drop("account")
-    reps = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    own = base.select(reps.alias("rep"), "position", "account", "label", F.array(*FEATURES).alias("own"))
-    pairs = own.join(donors, ["rep", "position"])
-    spread = pairs.select("rep", "account", "label", "own", "donor",
-                          F.explode(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))).alias("f"))
-    mixed = [F.when(F.col("f") == i, F.get("donor", F.lit(i))).otherwise(F.get("own", F.lit(i))).alias(name)
-             for i, name in enumerate(FEATURES)]
-    scored = score(spread.select("rep", "f", "account", "label", *mixed)).select("rep", "f", "account", "label", "score")
-    baseline = average_precision(score(validation)).scalar()
-    drops = average_precision(scored, ("rep", "f")).withColumn("drop", baseline - F.col("average_precision"))
+    spark = rows.sparkSession
+    validation = pin(rows.filter(F.col("split") == "validation").select("account", "label", *FEATURES), "validation")
+    count = validation.count()
+    ordered = numbered(validation, [F.asc("account")], (), enough_parts(spark, count, ROWS_SORTED))
+    base = pin(score(ordered.withColumn("own", F.array(*FEATURES))).select("position", "account", "label", "own", F.col("score").cast("double").alias("own_score")), "base")
+    donors = shuffled_by_key(base, repeats, seed, [F.col("own").alias("donor")]).drop("account")
+    parts = enough_parts(spark, count * repeats, ROWS_PER_TASK)
+    pairs = base.repartition(parts, "position").join(donors.repartition(parts, "position"), "position")
+    # Written with lambdas and once a pair: a long list of comparisons is too much code to be compiled.
+    changed = F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: ~F.get("own", i).eqNullSafe(F.get("donor", i)))
+    values = F.transform("changed", lambda i: F.struct(i.alias("f"), F.get("donor", i).alias("value")))
+    each = pairs.withColumn("changed", changed).select(
+        "rep", "account", "label", "own", "own_score", values.alias("values"),
+        F.aggregate("changed", F.lit(0), lambda bits, i: bits + F.call_function("shiftleft", F.lit(1), i)).alias("bits"))
+    # Outer, or the lists would be made once more to tell which are empty.
+    spread = each.select("rep", "account", "label", "own", "own_score", "bits", F.inline_outer("values")).filter("f IS NOT NULL")
+    mixed = [F.when(F.col("f") == i, F.col("value")).otherwise(F.get("own", F.lit(i))).alias(name) for i, name in enumerate(FEATURES)]
+    scored = score(spread.select("rep", "f", "bits", "account", "label", "own_score", *mixed))
+    one, hits, names = F.call_function("shiftleft", F.lit(1), F.col("f")), F.coalesce(F.col("label").cast("long"), F.lit(0)), ("rep", "bits", "score", "n", "hits")
+    # The old score leaves all runs of the repeat at once, beside the lowest changed feature.
+    gone = F.when(F.col("bits").bitwiseAND(one - 1) == 0, F.col("bits"))
+    changes = scored.select(F.stack(F.lit(2), "rep", one, F.col("score").cast("double"), F.lit(1), hits,
+                                    "rep", gone, "own_score", F.lit(-1), -hits).alias(*names)).filter("bits IS NOT NULL")
+    records = base.select(F.lit(0), F.lit(0), "own_score", F.lit(1), hits).toDF(*names).unionByName(changes)
+    found = variant_precision(records, repeats, len(FEATURES))
+    baseline = found.filter("rep = 0").select("average_precision").scalar()
+    drops = found.filter("rep > 0").withColumn("drop", baseline - F.col("average_precision"))
     names = F.array(*[F.lit(name) for name in FEATURES])
     return (drops.groupBy(F.get(names, F.col("f")).alias("feature"))
             .agg(F.avg("drop").alias("ap_drop_mean"), F.stddev_pop("drop").alias("ap_drop_std"),
