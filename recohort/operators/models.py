@@ -237,7 +237,7 @@ def shuffled_by_key(rows: DataFrame, repeats: int, seed: int, keep: list[Column]
     digest = F.sha2(F.concat_ws(":", F.col("account").cast("string"), F.lit(str(seed)), "rep"), 256)
     drawn = rows.select(reps.alias("rep"), "account", *keep).withColumn("_h", F.unhex(digest))
     parts = enough_parts(rows.sparkSession, rows.count() * repeats, ROWS_SORTED)
-    return numbered(drawn, [F.asc("_h"), F.asc("account")], ("rep",), parts).drop("_h")
+    return numbered(drawn, [F.asc("_h"), F.asc("account")], ("rep",), parts, ("_h", "account"))
 
 
 def permutation_importance(scorer: Fitted | Callable[[DataFrame], DataFrame], rows: DataFrame, repeats: int = 10,
@@ -257,8 +257,11 @@ def permutation_importance(scorer: Fitted | Callable[[DataFrame], DataFrame], ro
     count = validation.count()
     ordered = numbered(validation, [F.asc("account")], (), enough_parts(spark, count, ROWS_SORTED))
     base = pin(score(ordered.withColumn("own", F.array(*FEATURES))).select("position", "account", "label", "own", F.col("score").cast("double").alias("own_score")), "base")
-    donors = shuffled_by_key(base, repeats, seed, [F.col("own").alias("donor")]).drop("account")
+    # Ordered by number alone: a partner's values move once, to the row that they meet.
+    order = shuffled_by_key(base, repeats, seed, [F.col("position").alias("giver")])
     parts = enough_parts(spark, count * repeats, ROWS_PER_TASK)
+    givers = base.select(F.col("position").alias("giver"), F.col("own").alias("donor")).repartition(parts, "giver")
+    donors = order.repartition(parts, "giver").join(givers, "giver").drop("giver")
     pairs = base.repartition(parts, "position").join(donors.repartition(parts, "position"), "position")
     # Written with lambdas and once a pair: a long list of comparisons is too much code to be compiled.
     changed = F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: ~F.get("own", i).eqNullSafe(F.get("donor", i)))

@@ -55,15 +55,16 @@ def positions(rows: DataFrame, order: list[Column], within: tuple[str, ...] = ()
             .withColumnRenamed("_n_total", "group_size").drop("_n_before"))
 
 
-def numbered(rows: DataFrame, order: list[Column], within: tuple[str, ...], parts: int) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], within: tuple[str, ...], parts: int, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``position``, 1-based, in the given total order of each group, moving the rows once.
 
     A slice is written in its order with the number of each row, so that only its first number and
-    its rows per group, not the rows again, meet to give the offsets.
+    its rows per group, not the rows again, meet to give the offsets. Columns named by ``drop`` only
+    give the order and are not written.
     """
     group = list(within)
     spread = rows.repartitionByRange(parts, *[F.col(name) for name in group], *order).sortWithinPartitions(*group, *order)
-    written = pin(spread.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn(_SLICE, F.shiftright("_at", 33))
+    written = pin(spread.withColumn("_at", F.monotonically_increasing_id()).drop(*drop), "numbered").withColumn(_SLICE, F.shiftright("_at", 33))
     sums = written.groupBy(*group, _SLICE).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*group, _SLICE, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_offset"))

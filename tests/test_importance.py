@@ -137,3 +137,15 @@ def test_numbers_are_positions(spark):
         wanted = rk.positions(frame, order, within).drop("group_size")
         found = rk.numbered(frame, order, within, parts)
         assert found.columns == wanted.columns and sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_keyed_order_is_written_without_its_keys(spark, monkeypatch):
+    """A keyed order of all repeats is many rows; digests and accounts only give it."""
+    written, original = [], rk.pin
+    monkeypatch.setattr(rk, "pin", lambda frame, name: written.append(frame.columns) or original(frame, name))
+    frame = spark.createDataFrame([(i, i * 10) for i in range(30)], "account long, v int")
+    found = mo.shuffled_by_key(frame, 2, 7, [F.col("v").alias("kept")])
+    assert written == [["rep", "kept", "_at"]] and found.columns == ["rep", "kept", "position"]
+    for rep in (1, 2):
+        order = sorted(range(30), key=lambda i: hashlib.sha256(f"{i}:7:{rep}".encode()).hexdigest())
+        assert [r.kept for r in found.filter(F.col("rep") == rep).orderBy("position").collect()] == [i * 10 for i in order]
