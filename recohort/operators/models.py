@@ -263,17 +263,17 @@ def permutation_importance(scorer: Fitted | Callable[[DataFrame], DataFrame], ro
     givers = base.select(F.col("position").alias("giver"), F.col("own").alias("donor")).repartition(parts, "giver")
     donors = order.repartition(parts, "giver").join(givers, "giver").drop("giver")
     pairs = base.repartition(parts, "position").join(donors.repartition(parts, "position"), "position")
-    # Written with lambdas and once a pair: a long list of comparisons is too much code to be compiled.
-    changed = F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: ~F.get("own", i).eqNullSafe(F.get("donor", i)))
-    values = F.transform("changed", lambda i: F.struct(i.alias("f"), F.get("donor", i).alias("value")))
-    each = pairs.withColumn("changed", changed).select(
-        "rep", "account", "label", "own", "own_score", values.alias("values"),
-        F.aggregate("changed", F.lit(0), lambda bits, i: bits + F.call_function("shiftleft", F.lit(1), i)).alias("bits"))
-    # Outer, or the lists would be made once more to tell which are empty.
-    spread = each.select("rep", "account", "label", "own", "own_score", "bits", F.inline_outer("values")).filter("f IS NOT NULL")
+    # A fold, because a long list of comparisons is too much code to be compiled with the steps that follow.
+    features = F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))
+    one = F.call_function("shiftleft", F.lit(1), F.col("f"))
+    # Never null, or it would be made once more to tell where it is.
+    bits = F.coalesce(F.aggregate(features, F.lit(0), lambda found, i: F.when(F.get("own", i).eqNullSafe(F.get("donor", i)), found).otherwise(
+        found + F.call_function("shiftleft", F.lit(1), i))), F.lit(0))
+    spread = (pairs.select("rep", "account", "label", "own", "donor", "own_score", bits.alias("bits"))
+              .select("*", F.explode(features).alias("f")).filter(F.col("bits").bitwiseAND(one) != 0).withColumn("value", F.get("donor", F.col("f"))))
     mixed = [F.when(F.col("f") == i, F.col("value")).otherwise(F.get("own", F.lit(i))).alias(name) for i, name in enumerate(FEATURES)]
     scored = score(spread.select("rep", "f", "bits", "account", "label", "own_score", *mixed))
-    one, hits, names = F.call_function("shiftleft", F.lit(1), F.col("f")), F.coalesce(F.col("label").cast("long"), F.lit(0)), ("rep", "bits", "score", "n", "hits")
+    hits, names = F.coalesce(F.col("label").cast("long"), F.lit(0)), ("rep", "bits", "score", "n", "hits")
     # The old score leaves all runs of the repeat at once, beside the lowest changed feature.
     gone = F.when(F.col("bits").bitwiseAND(one - 1) == 0, F.col("bits"))
     changes = scored.select(F.stack(F.lit(2), "rep", one, F.col("score").cast("double"), F.lit(1), hits,
